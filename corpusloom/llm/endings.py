@@ -122,7 +122,7 @@ def phrase_counts(texts: DataFrame) -> DataFrame:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n): whole words that something follows."""
-    word = F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)[^\p{L}\p{M}\s]*\s+\S"), F.lit(1))).alias("word")
+    word = F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)(?=[^\p{L}\p{M}\s]*\s+\S)"), F.lit(1))).alias("word")
     pairs = texts.select(word).groupBy("word").agg(F.count("*").alias("n"))
     return pairs
 
