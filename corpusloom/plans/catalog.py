@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from corpusloom.plans.registry import ORACLES, QUERIES
 
-from corpusloom.session import table
+for _part in ("q_profile", "q_text"):
+    import_module(f"corpusloom.plans.{_part}")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-
-
-QUERIES["corpus_profile"] = corpus_profile
-ORACLES["corpus_profile"] = "SELECT source, count(*) AS n FROM documents GROUP BY source"
+__all__ = ["ORACLES", "QUERIES"]
