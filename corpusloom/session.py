@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,10 +39,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise once in the shared folder and cut the lineage; survives the
-    loss of executors, unlike cached blocks."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write once to the shared folder and read back: cuts the lineage, survives
+    the loss of executors, and is columnar and compressed. The folder is removed
+    when the program ends."""
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    atexit.register(_remove, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(path: str) -> None:
+    if path.startswith(("file:", "/")):
+        shutil.rmtree(path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
