@@ -6,7 +6,7 @@ from importlib import import_module
 
 from corpusloom.plans.registry import ORACLES, QUERIES
 
-for _part in ("q_profile", "q_text"):
+for _part in ("q_profile", "q_text", "q_records"):
     import_module(f"corpusloom.plans.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -248,10 +248,10 @@ def f34_timestamp_parse(t: Tables) -> DataFrame:
 
 
 @query(
-    "p15_language_guess",
+    "proj15_language_guess",
     r"""SELECT rec_id, CASE WHEN length(trim(coalesce(text, ''))) < 20 THEN 'too_short' WHEN length(regexp_replace(text, '[^\x00-\x7f]', '', 'g')) / CAST(length(text) AS DOUBLE) > 0.92e0 THEN 'english_like' ELSE 'other' END AS guess FROM smishtank_prepared""",
 )
-def p15_language_guess(t: Tables) -> DataFrame:
+def proj15_language_guess(t: Tables) -> DataFrame:
     return t("smishtank_prepared").select("rec_id", X.language_guess(F.col("text")).alias("guess"))
 
 
