@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.windows import seeded_rank
 
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in ``done`` yet."""
@@ -53,10 +54,9 @@ def match_tiers(left: DataFrame, right: DataFrame, key: str, tiers: list[list[st
     numbers; what is left goes to the next tier. Null key values match nothing."""
     lo, ro, out = left, right, None
     for n, cols in enumerate(tiers):
-        w = Window.partitionBy(*cols).orderBy(*seeded(seed, F.col(key)))
-        some = lambda d, cols=cols: d.dropna(subset=cols)
-        a = some(lo).withColumn("_n", F.row_number().over(w)).select(*cols, "_n", F.col(key).alias("left_id"))
-        b = some(ro).withColumn("_n", F.row_number().over(w)).select(*cols, "_n", F.col(key).alias("right_id"))
+        number = lambda d, cols=cols: seeded_rank(d.dropna(subset=cols).select(*cols, key), cols, seed, key, "_n")
+        a = number(lo).select(*cols, "_n", F.col(key).alias("left_id"))
+        b = number(ro).select(*cols, "_n", F.col(key).alias("right_id"))
         hit = a.join(b, [*cols, "_n"]).select("left_id", "right_id", F.lit(n).alias("tier"))
         out = hit if out is None else out.unionByName(hit)
         if n + 1 < len(tiers):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.joins import seeded
-from corpusloom.operators.windows import take_per
+from corpusloom.operators.windows import ordinal, seeded_rank, take_per
 
 
 def _all():  # noqa: ANN202 - WindowSpec over a table of strata
@@ -21,8 +21,7 @@ def _all():  # noqa: ANN202 - WindowSpec over a table of strata
 def balance(df: DataFrame, by: str, key: str, seed: int) -> DataFrame:
     """As many rows of every group as the smallest has."""
     least = df.groupBy(by).agg(F.count("*").alias("c")).agg(F.min("c").alias("_k"))
-    w = Window.partitionBy(by).orderBy(*seeded(seed, F.col(key)))
-    return df.withColumn("_r", F.row_number().over(w)).join(F.broadcast(least)).where("_r <= _k").drop("_r", "_k")
+    return seeded_rank(df, [by], seed, key, "_r").join(F.broadcast(least)).where("_r <= _k").drop("_r", "_k")
 
 
 def quotas(df: DataFrame, n: int, strata: list[str]) -> DataFrame:
@@ -39,7 +38,7 @@ def downsample(df: DataFrame, n: int, strata: list[str], key: str, seed: int) ->
     """Stratified sample of n rows; all rows if there are no more."""
     q = quotas(df, n, strata).select(*strata, F.least("quota", "cnt").alias("quota"))
     r = df.join(F.broadcast(q), strata)
-    return take_per(r, strata, F.col("quota"), seeded(seed, F.col(key))).drop("quota")
+    return take_per(r, strata, F.col("quota"), key, seed).drop("quota")
 
 
 def split_sizes(n: Column) -> tuple[Column, Column, Column]:
@@ -59,8 +58,7 @@ def stratified_split(df: DataFrame, strata: list[str], key: str, val: float, tes
     for c in strata:
         one = F.col(c).eqNullSafe(F.col(f"_{c}"))
         same = one if same is None else same & one
-    w = Window.partitionBy(*strata).orderBy(*seeded(seed, F.col(key)))
-    r = df.withColumn("_r", F.row_number().over(w)).join(F.broadcast(right), same)
+    r = seeded_rank(df, strata, seed, key, "_r").join(F.broadcast(right), same)
     small = (F.col("_n") < 3) | (F.col("_n") - F.col("_t") - F.col("_v") <= 0)
     return r.select(key, F.when(small, "train").when(F.col("_r") <= F.col("_t"), "test").when(F.col("_r") <= F.col("_t") + F.col("_v"), "val").otherwise("train").alias("new_split"))
 
@@ -68,8 +66,6 @@ def stratified_split(df: DataFrame, strata: list[str], key: str, val: float, tes
 def group_split(df: DataFrame, group: str, seed: int) -> DataFrame:
     """Rows with ``new_split``, equal for all rows of a group. Groups are ranked by
     hash across partitions, so their number does not matter."""
-    from corpusloom.operators.windows import ordinal
-
     g = df.select(group).distinct().withColumn("_o", F.concat(F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string"))), F.lit("|"), F.lpad(F.col(group).cast("string"), 20, "0")))
     g = ordinal(g, "_o", "_r")
     total = g.agg(F.count("*").alias("_n"))

@@ -37,11 +37,28 @@ def first_known(df: DataFrame, key: str, order: str, columns: list[str]) -> Data
     return df.groupBy(key).agg(*(value(c) for c in columns), F.count("*").alias("n_duplicate_rows"))
 
 
-def take_per(df: DataFrame, strata: list[str], k: Column | int, order: list[Column]) -> DataFrame:
-    """At most k rows of every stratum in the given order."""
+def seeded_rank(df: DataFrame, by: list[str], seed: int, key: str, name: str) -> DataFrame:
+    """Rank rows inside each group in the order of ``md5(seed|key), key``.
+
+    A group is cut into 256 ranges by the first hex digits of the hash; rows are
+    numbered inside a range and offset by the sizes of the earlier ranges, which
+    are counted with map-side combination. A group with a third of all rows is
+    therefore ranked by 256 tasks, not by one. Null is a group of its own."""
+    r = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))).withColumn("_b", F.substring("_h", 1, 2))
+    sizes = r.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*(F.col(c).alias(f"_g_{c}") for c in by), F.col("_b").alias("_g_b"), before.alias("_before"))
+    same = F.col("_b") == F.col("_g_b")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    inner = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
+    return r.join(starts, same).withColumn(name, (F.col("_before") + inner).cast("long")).drop("_h", "_b", "_g_b", "_before", *(f"_g_{c}" for c in by))
+
+
+def take_per(df: DataFrame, strata: list[str], k: Column | int, key: str, seed: int) -> DataFrame:
+    """At most k rows of every stratum in seeded order."""
     limit = F.lit(k) if isinstance(k, int) else k
-    w = Window.partitionBy(*strata).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+    return seeded_rank(df, strata, seed, key, "_n").where(F.col("_n") <= limit).drop("_n")
 
 
 def running(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:

@@ -307,7 +307,7 @@ def l5_budget(t: Tables) -> DataFrame:
 @query("b1_caps", "SELECT doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS n FROM documents) WHERE n <= CASE WHEN source IN ('enron_archive', 'sms_corpus') THEN 30 ELSE 20 END")
 def b1_caps(t: Tables) -> DataFrame:
     cap = F.when(F.col("source").isin("enron_archive", "sms_corpus"), 30).otherwise(20)
-    return W.take_per(t("documents").select("doc_id", "source"), ["source"], cap, J.seeded(42, F.col("doc_id"))).select("doc_id")
+    return W.take_per(t("documents").select("doc_id", "source"), ["source"], cap, "doc_id", 42).select("doc_id")
 
 
 @query("b2_separate_held_out", "SELECT coalesce(contains(lower(origin_model), 'claude'), false) AS held, count(*) AS n FROM core_records WHERE label = 1 GROUP BY 1")
@@ -384,7 +384,7 @@ def w3_quota(t: Tables) -> DataFrame:
 
 @query("w4_take_k", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY md5('3|' || doc_id), doc_id) AS r FROM documents) WHERE r <= 5")
 def w4_take_k(t: Tables) -> DataFrame:
-    return W.take_per(t("documents").select("doc_id", "source", "lang"), ["source", "lang"], 5, J.seeded(3, F.col("doc_id"))).select("doc_id")
+    return W.take_per(t("documents").select("doc_id", "source", "lang"), ["source", "lang"], 5, "doc_id", 3).select("doc_id")
 
 
 @query("b10_adaptive_strata", f"SELECT family, count(DISTINCT time_band) > 1 AS use_time_band, count(DISTINCT origin_model) > 1 AS use_model FROM ({CORE}) GROUP BY 1")
