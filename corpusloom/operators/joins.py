@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.windows import seeded_rank
+from corpusloom.session import cut
 
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in ``done`` yet."""
@@ -52,12 +53,15 @@ def match_tiers(left: DataFrame, right: DataFrame, key: str, tiers: list[list[st
 
     A tier numbers both sides in seeded order inside its key and joins equal
     numbers; what is left goes to the next tier. Null key values match nothing."""
-    lo, ro, out = left, right, None
+    cols_all = list(dict.fromkeys(c for cols in tiers for c in cols))
+    # Written once a tier: the next tier reads what is left, not the whole plan again.
+    lo, ro, out = cut(left.select(*cols_all, key)), cut(right.select(*cols_all, key)), None
     for n, cols in enumerate(tiers):
         number = lambda d, cols=cols: seeded_rank(d.dropna(subset=cols).select(*cols, key), cols, seed, key, "_n")
         a = number(lo).select(*cols, "_n", F.col(key).alias("left_id"))
         b = number(ro).select(*cols, "_n", F.col(key).alias("right_id"))
         hit = a.join(b, [*cols, "_n"]).select("left_id", "right_id", F.lit(n).alias("tier"))
+        hit = cut(hit)
         out = hit if out is None else out.unionByName(hit)
         if n + 1 < len(tiers):
             lo = lo.join(hit.select(F.col("left_id").alias(key)), key, "left_anti")
