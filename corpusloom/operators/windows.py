@@ -65,3 +65,21 @@ def running(df: DataFrame, by: list[str], order: list[str], value: str, name: st
     """Running total before each row."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+
+
+def cumulative(df: DataFrame, by: list[str], order: list[Column | str], sums: list[str]) -> DataFrame:
+    """``df`` with ``before_<s>`` for each sum: the total of the rows of the same
+    group that sort before. Rows are sorted into ranges across partitions and
+    written once; range totals (one row a partition and group) give the offsets,
+    so neither a large group nor many distinct values meet in one task."""
+    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    placed = cut(df.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()))
+    part = placed.groupBy(*by, "_part").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
+    over = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = part.select(*(F.col(c).alias(f"_g_{c}") for c in by), F.col("_part").alias("_g_part"), *(F.coalesce(F.sum(f"_t_{s}").over(over), F.lit(0)).alias(f"_o_{s}") for s in sums))
+    same = F.col("_part") == F.col("_g_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    inner = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(starts), same)
+    return out.withColumns({f"before_{s}": F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(inner), F.lit(0)) for s in sums}).drop("_part", "_g_part", *(f"_g_{c}" for c in by), *(f"_o_{s}" for s in sums))
