@@ -42,12 +42,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage, survives
     the loss of executors, and is columnar and compressed. The folder is removed
     when the program ends."""
-    path = shared_folder(df.sparkSession, "cut")
+    path = remove_at_exit(shared_folder(df.sparkSession, "cut"))
     df.write.parquet(path)
-    atexit.register(_remove, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_at_exit(path: str) -> str:
+    atexit.register(_remove, path)
+    return path
+
+
 def _remove(path: str) -> None:
     if path.startswith(("file:", "/")):
         shutil.rmtree(path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
