@@ -24,7 +24,9 @@ of a record each get their pairs; a record is never paired with itself.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -44,34 +46,43 @@ LONGEST_CHUNK = 16
 HOT_PAIRS = 2_000
 #: Digests that hold more than 1/WIDE of all chunk rows are joined by broadcast.
 WIDE = 5_000
+#: Rows up to which the table of shared digests is broadcast (about 40 bytes each).
+BROADCAST_ROWS = 1_000_000
+
+
+_LOW = (1 << 64) - 1
+_ASCII_WORDS = re.compile(r"[a-z0-9]+")
 
 
 def words(text: str) -> list[str]:
+    if text.isascii() and tf.PLAIN.match(text):
+        return _ASCII_WORDS.findall(text.lower())
     return tf.words_of(tf.canonical(text))
 
 
-def chunks(ws: list[str]) -> list[tuple[int, int]]:
-    """(digest, words) of the content-defined chunks, repeats kept apart by
-    their ordinal."""
-    out: list[tuple[int, int]] = []
-    seen: dict[int, int] = {}
-    cur: list[str] = []
+@lru_cache(maxsize=200_000)
+def cuts_after(word: str) -> bool:
+    """Whether the rolling hash asks for a cut behind this word."""
+    return xxhash.xxh32_intdigest(word) % MEAN_CHUNK == 0
 
-    def close() -> None:
-        d = xxhash.xxh64_intdigest(" ".join(cur).encode())
-        k = seen[d] = seen.get(d, 0) + 1
-        if k > 1:
-            d = xxhash.xxh64_intdigest(f"{d}/{k}".encode())
-        out.append((d - (1 << 63), len(cur)))
-        cur.clear()
 
-    for w in ws:
-        cur.append(w)
-        if xxhash.xxh32_intdigest(w.encode()) % MEAN_CHUNK == 0 or len(cur) == LONGEST_CHUNK:
-            close()
-    if cur:
-        close()
-    return out
+def chunks(ws: list[str]) -> tuple[list[int], list[int]]:
+    """(digests, words in each) of the content-defined chunks; repeats are kept
+    apart by their ordinal."""
+    ds: list[int] = []
+    sizes: list[int] = []
+    seen: dict[int, int] = {}
+    start, n = 0, len(ws)
+    for i, w in enumerate(ws):
+        if cuts_after(w) or i - start + 1 == LONGEST_CHUNK or i + 1 == n:
+            d = xxhash.xxh64_intdigest(" ".join(ws[start : i + 1]))
+            k = seen[d] = seen.get(d, 0) + 1
+            if k > 1:
+                d = xxhash.xxh64_intdigest(f"{d}/{k}")
+            ds.append(d - (1 << 63))
+            sizes.append(i + 1 - start)
+            start = i + 1
+    return ds, sizes
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -92,6 +103,10 @@ def near_same(a: list[str], b: list[str]) -> bool:
     need = THRESHOLD * max(len(a), len(b))
     if min(len(a), len(b)) < need - 1e-9:
         return False
+    # Words that the other text lacks are outside any common subsequence.
+    there = set(b)
+    if sum(w in there for w in a) < need - 1e-9:
+        return False
     while a and b and a[0] == b[0]:  # common ends need no table
         a, b, need = a[1:], b[1:], need - 1
     while a and b and a[-1] == b[-1]:
@@ -105,7 +120,7 @@ def side(c: Column) -> Column:
 
 
 def prepare(records: DataFrame, key: str) -> DataFrame:
-    """key, train, digest (of the word sequence), text, n, chunks."""
+    """key, train, digest of the words (two numbers), n, chunk digests and sizes."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -113,28 +128,13 @@ def prepare(records: DataFrame, key: str) -> DataFrame:
             for k, s, t in zip(pdf["key"], pdf["train"], pdf["text"]):
                 ws = words(t)
                 if ws:
-                    joined = " ".join(ws)
-                    rows.append((k, s, xxhash.xxh3_128_hexdigest(joined.encode()), joined, len(ws)))
-            yield pd.DataFrame(rows, columns=["key", "train", "digest", "words", "n"])
+                    ds, sizes = chunks(ws)
+                    h = xxhash.xxh3_128_intdigest(" ".join(ws))
+                    rows.append((k, s, (h >> 64) - (1 << 63), (h & _LOW) - (1 << 63), len(ws), ds, sizes))
+            yield pd.DataFrame(rows, columns=["key", "train", "h1", "h2", "n", "d", "w"])
 
     src = records.select(F.col(key).cast("bigint").alias("key"), side(F.col("split")).alias("train"), "text").where("train is not null and text is not null")
-    return src.mapInPandas(go, "key bigint, train boolean, digest string, words string, n int")
-
-
-def classes(prepared: DataFrame) -> DataFrame:
-    """One row per side and word sequence; its id is the smallest key."""
-    return prepared.groupBy("train", "digest").agg(F.min("key").alias("id"), F.first("words").alias("words"), F.first("n").alias("n"))
-
-
-def chunked(cls: DataFrame) -> DataFrame:
-    """(train, id, n, d, w): chunks of every class representative."""
-
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(s, i, n, d, w) for s, i, n, t in zip(pdf["train"], pdf["id"], pdf["n"], pdf["words"]) for d, w in chunks(t.split(" "))]
-            yield pd.DataFrame(rows, columns=["train", "id", "n", "d", "w"])
-
-    return cls.select("train", "id", "n", "words").mapInPandas(go, "train boolean, id bigint, n int, d bigint, w int")
+    return src.mapInPandas(go, "key bigint, train boolean, h1 bigint, h2 bigint, n int, d array<bigint>, w array<smallint>")
 
 
 def offers(chunk_rows: DataFrame, share: float, hot_pairs: int) -> DataFrame:
@@ -143,69 +143,91 @@ def offers(chunk_rows: DataFrame, share: float, hot_pairs: int) -> DataFrame:
     k2 is 0, or the second chunk where k1 is too frequent to be a key alone."""
     df = chunk_rows.groupBy("d").agg(F.count_if("train").alias("dt"), F.count_if(~F.col("train")).alias("de"))
     # Chunks seen on one side only cannot meet, but their words count in the length.
-    both = df.where("dt > 0 and de > 0").select("d", (F.col("dt") + F.col("de")).alias("freq"), (F.col("dt") * F.col("de") > hot_pairs).alias("hot"))
-    # A digest that many rows hold would make one join task hot. At most WIDE
-    # digests can each hold 1/WIDE of the rows, so these few are broadcast; every
-    # other digest brings few rows to its task.
-    wide = F.broadcast(both.where(F.col("freq") > F.lit(chunk_rows.count() / WIDE)))
-    rest = chunk_rows.join(wide.select("d"), "d", "left_anti").join(both, "d")
-    met = chunk_rows.join(wide, "d").unionByName(rest).groupBy("train", "id", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "d", "w", "hot"))).alias("c"))
+    both = cut(df.where("dt > 0 and de > 0").select("d", (F.col("dt") + F.col("de")).alias("freq"), (F.col("dt") * F.col("de") > hot_pairs).alias("hot")))
+    size = both.agg(F.count("*"), F.coalesce(F.sum("freq"), F.lit(0))).first()
+    if size[0] <= BROADCAST_ROWS:
+        met = chunk_rows.join(F.broadcast(both), "d")
+    else:
+        # A digest that many rows hold would make one join task hot. At most WIDE
+        # digests can each hold 1/WIDE of the rows, so these few are broadcast;
+        # every other digest brings few rows to its task.
+        wide = F.broadcast(both.where(F.col("freq") > F.lit(size[1] / WIDE)))
+        rest = chunk_rows.join(wide.select("d"), "d", "left_anti").join(both, "d")
+        met = chunk_rows.join(wide, "d").unionByName(rest)
+    met = met.groupBy("train", "id", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "d", "w", "hot"))).alias("c"))
+    flat = met.select("train", "id", "n", F.col("c.d").alias("d"), F.col("c.w").alias("w"), F.col("c.hot").alias("hot"))
+    # Records whose shared chunks cannot reach the fraction drop out in the JVM.
+    flat = flat.where(F.aggregate("w", F.lit(0), lambda a, x: a + x) >= F.lit(share) * F.col("n"))
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for s, i, n, c in zip(pdf["train"], pdf["id"], pdf["n"], pdf["c"]):
+            for s, i, n, ds, sizes, hots in zip(pdf["train"], pdf["id"], pdf["n"], pdf["d"], pdf["w"], pdf["hot"]):
                 need = share * n
-                ws = [x["w"] for x in c]
-                left = [0] * (len(ws) + 1)
-                for j in range(len(ws) - 1, -1, -1):
-                    left[j] = left[j + 1] + ws[j]
-                for j, x in enumerate(c):
-                    if left[j] < need:
+                ds, sizes, hots = ds.tolist(), sizes.tolist(), hots.tolist()
+                left = sum(sizes)
+                for j, d in enumerate(ds):
+                    if left < need:
                         break
-                    if not x["hot"] or ws[j] >= need:
-                        rows.append((s, i, n, x["d"], 0))
-                    if x["hot"]:
-                        for m in range(j + 1, len(ws)):
-                            if left[m] < need - ws[j]:
+                    if not hots[j] or sizes[j] >= need:
+                        rows.append((s, i, n, d, 0))
+                    if hots[j]:
+                        after = left - sizes[j]
+                        for m in range(j + 1, len(ds)):
+                            if after < need - sizes[j]:
                                 break
-                            rows.append((s, i, n, x["d"], c[m]["d"]))
+                            rows.append((s, i, n, d, ds[m]))
+                            after -= sizes[m]
+                    left -= sizes[j]
             yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2"])
 
-    return met.mapInPandas(go, "train boolean, id bigint, n int, k1 bigint, k2 bigint")
+    return flat.mapInPandas(go, "train boolean, id bigint, n int, k1 bigint, k2 bigint")
 
 
-def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """Distinct (a, b): train and evaluation classes that meet under a key."""
+def candidate_pairs(keys: DataFrame, cls: DataFrame, share: float) -> DataFrame:
+    """Distinct (a, b): train and evaluation classes that meet under a key and
+    share chunks of at least ``share`` of the longer one's words."""
     a = keys.where("train").select("k1", "k2", F.col("id").alias("a"), F.col("n").alias("na"))
     b = keys.where("not train").select("k1", "k2", F.col("id").alias("b"), F.col("n").alias("nb"))
     near = (F.col("na") >= THRESHOLD * F.col("nb") - 1e-9) & (F.col("nb") >= THRESHOLD * F.col("na") - 1e-9)
-    return a.join(b, ["k1", "k2"]).where(near).select("a", "b").distinct()
+    pairs = a.join(b, ["k1", "k2"]).where(near).select("a", "b", "na", "nb").distinct()
+    # The whole overlap of the pair, from short forms of the digests (a chance
+    # agreement only lets a pair through to the exact check).
+    short = F.transform("d", lambda x: (x % 32768).cast("short"))
+    sa = cls.where("train").select(F.col("id").alias("a"), short.alias("da"), F.col("w").alias("wa"))
+    sb = cls.where("not train").select(F.col("id").alias("b"), short.alias("db"))
+    shared = F.aggregate(F.zip_with("da", "wa", lambda d, w: F.when(F.array_contains("db", d), w.cast("int")).otherwise(0)), F.lit(0), lambda x, y: x + y)
+    return pairs.join(sa, "a").join(sb, "b").where(shared >= F.lit(share) * F.greatest("na", "nb") - 1e-9).select("a", "b")
 
 
 def overlaps(records: DataFrame, key: str, share: float = SHARE, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame, DataFrame]:
-    """(class pairs: a, b, shared fraction; membership: train, id, key)."""
+    """(class pairs: a, b, overlap fraction; membership: train, id, key)."""
     prepared = cut(prepare(records, key))
-    cls = classes(prepared)
-    member = prepared.join(cls.select("train", "digest", "id"), ["train", "digest"]).select("train", "id", "key")
-    rows = cut(chunked(cls))
-    pairs = candidate_pairs(offers(rows, share, hot_pairs))
-    text = cls.select("train", "id", "words")
-    ta = text.where("train").select(F.col("id").alias("a"), F.col("words").alias("wa"))
-    tb = text.where("not train").select(F.col("id").alias("b"), F.col("words").alias("wb"))
+    # A class is represented by its smallest key. The other members are looked up
+    # by key, so that the chunks of a record are not moved to find its class.
+    least = prepared.groupBy("train", "h1", "h2").agg(F.min("key").alias("id"))
+    member = cut(prepared.select("train", "h1", "h2", "key").join(least, ["train", "h1", "h2"]).select("train", "id", "key"))
+    copies = member.where("id != key").select("key")
+    cls = prepared.join(copies, "key", "left_anti").select("train", F.col("key").alias("id"), "n", "d", "w")
+    rows = cls.select("train", "id", "n", F.explode(F.arrays_zip("d", "w")).alias("c")).select("train", "id", "n", "c.d", "c.w")
+    pairs = cut(candidate_pairs(offers(rows, share, hot_pairs), cls, share))
+    text = records.select(F.col(key).cast("bigint").alias("id"), "text")
+    ta = text.select(F.col("id").alias("a"), F.col("text").alias("xa"))
+    tb = text.select(F.col("id").alias("b"), F.col("text").alias("xb"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for a, b, wa, wb in zip(pdf["a"], pdf["b"], pdf["wa"], pdf["wb"]):
-                x, y = wa.split(" "), wb.split(" ")
-                cy = dict(chunks(y))
-                shared = sum(w for d, w in chunks(x) if d in cy)  # summed chunk lengths
-                if shared >= share * max(len(x), len(y)) - 1e-9 and (wa == wb or near_same(x, y)):
-                    out.append((a, b, shared / max(len(x), len(y))))
+            for a, b, xa, xb in zip(pdf["a"], pdf["b"], pdf["xa"], pdf["xb"]):
+                x, y = words(xa), words(xb)
+                if not near_same(x, y):
+                    continue
+                dy = set(chunks(y)[0])
+                shared = sum(w for d, w in zip(*chunks(x)) if d in dy)  # summed chunk lengths
+                out.append((a, b, shared / max(len(x), len(y))))
             yield pd.DataFrame(out, columns=["a", "b", "overlap"])
 
-    checked = pairs.join(ta, "a").join(tb, "b").select("a", "b", "wa", "wb").mapInPandas(verify, "a bigint, b bigint, overlap double")
+    checked = pairs.join(ta, "a").join(tb, "b").select("a", "b", "xa", "xb").mapInPandas(verify, "a bigint, b bigint, overlap double")
     return checked, member
 
 

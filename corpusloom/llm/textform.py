@@ -6,6 +6,7 @@ the operator over corpora is in :mod:`corpusloom.llm.lookalikes`.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -38,7 +39,7 @@ MIXED = regex.compile(_OTHER)
 LATIN = regex.compile(r"\p{Script=Latin}")
 MARKED = regex.compile(r"\p{L}\p{M}+")
 #: Cheap test in the JVM and here: anything outside printable ASCII.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e]*\Z")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e]*\Z")
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -99,13 +100,15 @@ def plain_other(piece: str) -> str:
     return "".join(styled(c) or c for c in piece)
 
 
-def canonical(text: str | None, words: dict[str, str] | None = None) -> str | None:
-    """The text in one form; ``words`` maps runs to their chosen spelling.
-    None stays None, plain text is returned unchanged."""
-    if text is None or PLAIN.match(text):
-        return text
+#: A maximal stretch of letters, digits and unusual characters that holds at
+#: least one unusual one; everything outside such stretches is plain already.
+_ODD = r"[^\t\n\r\x20-\x7e]"
+STRETCH = re.compile(rf"[A-Za-z0-9#*]*{_ODD}(?:[A-Za-z0-9]|{_ODD})*")
+
+
+def _one(stretch: str, words: dict[str, str] | None) -> str:
     out = []
-    for kind, piece in pieces(text):
+    for kind, piece in pieces(stretch):
         if kind == "emoji":
             out.append(piece)
         elif kind == "run":
@@ -116,6 +119,21 @@ def canonical(text: str | None, words: dict[str, str] | None = None) -> str | No
     return "".join(out)
 
 
+@lru_cache(maxsize=65536)
+def _plain_stretch(stretch: str) -> str:
+    return _one(stretch, None)
+
+
+def canonical(text: str | None, words: dict[str, str] | None = None) -> str | None:
+    """The text in one form; ``words`` maps runs to their chosen spelling.
+    None stays None, plain text is returned unchanged."""
+    if text is None or PLAIN.match(text):
+        return text
+    if words:
+        return STRETCH.sub(lambda m: _one(m.group(), words), text)
+    return STRETCH.sub(lambda m: _plain_stretch(m.group()), text)
+
+
 def words_of(text: str) -> list[str]:
     """Maximal runs of letters and digits, without regard to case."""
     return WORD.findall(text.casefold())
