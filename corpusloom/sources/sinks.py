@@ -5,20 +5,24 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def finite(df: DataFrame) -> DataFrame:
     """NaN and infinities of floating columns, also inside arrays, as null."""
+
+    def bad(x: Column) -> Column:
+        return F.isnan(x) | (x == float("inf")) | (x == float("-inf"))
+
     out = []
     for f in df.schema.fields:
-        c, bad = F.col(f"`{f.name}`"), lambda x: F.isnan(x) | (x == float("inf")) | (x == float("-inf"))
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(~bad(c), c)
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
-            c = F.transform(c, lambda x, bad=bad: F.when(~bad(x), x))
+            c = F.transform(c, lambda x: F.when(~bad(x), x))
         out.append(c.alias(f.name))
     return df.select(*out)
 
