@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.text import collapse, sentences, words_lower
+from corpusloom.session import spread
 
 # Word lists whose counts make the lexicon features.
 LEXICONS: dict[str, list[str]] = {
@@ -63,7 +64,7 @@ def with_run_lengths(df: DataFrame, **items: Column) -> DataFrame:
 
     In stages of their own, because an expression inside a lambda is evaluated
     again for every element: sort once, mark the starts of runs, take differences."""
-    d = df.withColumns({f"_s_{n}": F.array_sort(c) for n, c in items.items()})
+    d = df.withColumns({f"_s_{n}": F.sort_array(c) for n, c in items.items()})
 
     def starts(n: str) -> Column:
         s = F.col(f"_s_{n}")
@@ -174,7 +175,7 @@ def hc60() -> dict[str, Column]:
 
 def extract_hc60(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and the sixty features, one row per row; null reads as empty."""
-    return prepared(df.select(*keys, text), text).select(*keys, *(c.cast("double").alias(n) for n, c in hc60().items()))
+    return prepared(spread(df.select(*keys, text)), text).select(*keys, *(c.cast("double").alias(n) for n, c in hc60().items()))
 
 
 # ---- lexical diversity that needs state: MTLD ---------------------------------------
@@ -210,7 +211,7 @@ def mtld(words: pd.Series) -> pd.Series:
 def stylometric(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Surface stylometry without a tagger: densities per sentence, connectives,
     enumerations, upper case over letters, link marks."""
-    d = prepared(df.select(*keys, text), text)
+    d = prepared(spread(df.select(*keys, text)), text)
     t, n_s, n_w = F.col("_t"), F.greatest(F.size("_sents"), F.lit(1)), F.size("_words")
     per = lambda p: ratio(F.regexp_count(t, F.lit(p)), n_s)
     mean_s, _ = mean_std(F.col("_swc"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import features as X
 from corpusloom.plans.q_text import q
 from corpusloom.plans.registry import Tables, query
+from corpusloom.session import spread
 
 
 def _in(words: list[str]) -> str:
@@ -85,7 +86,7 @@ def _register(group: str, names: list[str]) -> None:
 
     @query(f"x1_hc60_{group}", base("documents", "doc_id") + f"SELECT doc_id, {cols} FROM x")
     def run(t: Tables) -> DataFrame:
-        d = X.prepared(t("documents").select("doc_id", "text"), "text")
+        d = X.prepared(spread(t("documents").select("doc_id", "text")), "text")
         all_ = X.hc60()
         return d.select("doc_id", *((F.round(all_[f"hc60_{n}"], 6) if n in cut else all_[f"hc60_{n}"].cast("double")).alias(n) for n in names))
 
@@ -108,7 +109,7 @@ def x4_stylometric(t: Tables) -> DataFrame:
 @query("x5_lexical_diversity")
 def x5_lexical_diversity(t: Tables) -> DataFrame:
     """Type ratio, Yule's K and MTLD (the last needs state, hence an Arrow UDF)."""
-    d = X.prepared(t("documents").select("doc_id", "text"), "text")
+    d = X.prepared(spread(t("documents").select("doc_id", "text")), "text")
     h = X.hc60()
     return d.select("doc_id", h["hc60_ttr"].alias("ttr"), h["hc60_yule_k"].alias("yule_k"), X.mtld("_words").alias("mtld"))
 
@@ -126,5 +127,5 @@ def x9_quick_ratios(t: Tables) -> DataFrame:
 
 @query("f53_char_classes", base("documents", "doc_id") + "SELECT doc_id, round(CASE WHEN nc > 0 THEN -list_sum(list_transform(chars, lambda f: (f / CAST(nc AS DOUBLE)) * log2(f / CAST(nc AS DOUBLE)))) ELSE 0.0e0 END, 6) AS char_entropy FROM x")
 def f53_char_classes(t: Tables) -> DataFrame:
-    d = X.prepared(t("documents").select("doc_id", "text"), "text")
+    d = X.prepared(spread(t("documents").select("doc_id", "text")), "text")
     return d.select("doc_id", F.round(X.hc60()["hc60_char_entropy"], 6).alias("char_entropy"))
