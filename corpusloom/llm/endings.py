@@ -207,12 +207,15 @@ def with_evidence(texts: DataFrame, key: str, by: str) -> DataFrame:
     kind = texts.schema[key].dataType.simpleString()
     some = texts.where("text is not null")
     asked = some.select(key, "text", "grp").mapInPandas(ends, f"{key} {kind}, place string, level int, key bigint")
-    found = join_hot(asked, phrase_counts(some), "key").where("n is not null")
+    # Both sides are read several times below. A phrase seen once is the text's own.
+    asked, counts = cut(asked), cut(phrase_counts(some).where("n > 1"))
+    found = join_hot(asked, counts, "key").where("n is not null")
     phrases = found.groupBy(key).agg(F.collect_list(F.struct("place", "level", "n", "breaks", "ends")).alias("phrases"))
     vocab = cut(word_counts(some))
     words = vocab.join(prefix_counts(vocab), "word", "full")
-    lasts = some.select(key, last_word("text", "grp").alias("word")).where("word != ''")
-    word = join_hot(lasts, words.select("word", F.coalesce("n", F.lit(0)).alias("n_word"), "longer", "best"), "word").drop("word")
+    lasts = cut(some.select(key, last_word("text", "grp").alias("word")).where("word != ''"))
+    known = cut(words.select("word", F.coalesce("n", F.lit(0)).alias("n_word"), "longer", "best").join(lasts.select("word").distinct(), "word", "left_semi"))
+    word = join_hot(lasts, known, "word").drop("word")
     spikes = F.broadcast(length_spikes(some, by))  # at most 1/8 as many rows as a source has lengths
     spike = lambda unit, length: some.select(key, by, length.alias("len")).join(spikes.where(F.col("unit") == unit).drop("unit"), [by, "len"], "left_semi").select(key)
     marked = spike("c", F.length("text")).unionByName(spike("b", F.octet_length("text"))).distinct().withColumn("spike", F.lit(True))
