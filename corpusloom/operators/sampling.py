@@ -42,10 +42,11 @@ def downsample(df: DataFrame, n: int, strata: list[str], key: str, seed: int) ->
 
 
 def split_sizes(n: Column) -> tuple[Column, Column, Column]:
-    """(train, val, test) of 75/15/10, at least one each from three rows on."""
-    part = lambda p: F.floor(n * F.lit(p)).cast("long") + ((n >= 3) & (F.floor(n * F.lit(p)) == 0)).cast("long")
-    val, test = part(0.15), part(0.10)
-    return n - val - test, val, test
+    """(train, val, test) of 75/15/10: whole parts for train and val, at least one
+    for train, one for val from three rows on, the rest for test."""
+    train = F.when(n > 0, F.greatest(F.lit(1), F.floor(n * F.lit(0.75)))).otherwise(0).cast("long")
+    val = (F.floor(n * F.lit(0.15)) + ((n >= 3) & (F.floor(n * F.lit(0.15)) == 0)).cast("long")).cast("long")
+    return train, val, (n - train - val).cast("long")
 
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, val: float, test: float, seed: int) -> DataFrame:

@@ -44,15 +44,15 @@ def seeded_rank(df: DataFrame, by: list[str], seed: int, key: str, name: str) ->
     numbered inside a range and offset by the sizes of the earlier ranges, which
     are counted with map-side combination. A group with a third of all rows is
     therefore ranked by 256 tasks, not by one. Null is a group of its own."""
-    r = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))).withColumn("_b", F.substring("_h", 1, 2))
-    sizes = r.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(*(F.col(c).alias(f"_g_{c}") for c in by), F.col("_b").alias("_g_b"), before.alias("_before"))
-    same = F.col("_b") == F.col("_g_b")
+    r = df.withColumn("__hash", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))).withColumn("__bucket", F.substring("__hash", 1, 2))
+    sizes = r.groupBy(*by, "__bucket").agg(F.count("*").alias("__count"))
+    before = F.coalesce(F.sum("__count").over(Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*(F.col(c).alias(f"__by_{c}") for c in by), F.col("__bucket").alias("__range"), before.alias("__before"))
+    same = F.col("__bucket") == F.col("__range")
     for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    inner = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
-    return r.join(starts, same).withColumn(name, (F.col("_before") + inner).cast("long")).drop("_h", "_b", "_g_b", "_before", *(f"_g_{c}" for c in by))
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    inner = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy("__hash", key))
+    return r.join(starts, same).withColumn(name, (F.col("__before") + inner).cast("long")).drop("__hash", "__bucket", "__range", "__before", *(f"__by_{c}" for c in by))
 
 
 def take_per(df: DataFrame, strata: list[str], k: Column | int, key: str, seed: int) -> DataFrame:
@@ -76,10 +76,10 @@ def cumulative(df: DataFrame, by: list[str], order: list[Column | str], sums: li
     placed = cut(df.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()))
     part = placed.groupBy(*by, "_part").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
     over = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = part.select(*(F.col(c).alias(f"_g_{c}") for c in by), F.col("_part").alias("_g_part"), *(F.coalesce(F.sum(f"_t_{s}").over(over), F.lit(0)).alias(f"_o_{s}") for s in sums))
-    same = F.col("_part") == F.col("_g_part")
+    starts = part.select(*(F.col(c).alias(f"__by_{c}") for c in by), F.col("_part").alias("__part"), *(F.coalesce(F.sum(f"_t_{s}").over(over), F.lit(0)).alias(f"_o_{s}") for s in sums))
+    same = F.col("_part") == F.col("__part")
     for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
     inner = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.join(F.broadcast(starts), same)
-    return out.withColumns({f"before_{s}": F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(inner), F.lit(0)) for s in sums}).drop("_part", "_g_part", *(f"_g_{c}" for c in by), *(f"_o_{s}" for s in sums))
+    return out.withColumns({f"before_{s}": F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(inner), F.lit(0)) for s in sums}).drop("_part", "__part", *(f"__by_{c}" for c in by), *(f"_o_{s}" for s in sums))

@@ -415,7 +415,11 @@ def b11_two_lanes(t: Tables) -> DataFrame:
     return n.select("family", "n_a", "n_b", q_a.alias("q_a"), (F.lit(100) - q_a).alias("q_b"))
 
 
-@query("b14_split_sizes", f"SELECT family, n, n - n_val - n_test AS n_train, n_val, n_test FROM (SELECT family, n, CAST(floor(n * 0.15e0) AS BIGINT) + CASE WHEN n >= 3 AND floor(n * 0.15e0) = 0 THEN 1 ELSE 0 END AS n_val, CAST(floor(n * 0.10e0) AS BIGINT) + CASE WHEN n >= 3 AND floor(n * 0.10e0) = 0 THEN 1 ELSE 0 END AS n_test FROM (SELECT family, count(*) AS n FROM ({CORE}) GROUP BY 1))")
+_TRAIN = "CAST(greatest(1, floor(n * 0.75e0)) AS BIGINT)"
+_VAL = "CAST(floor(n * 0.15e0) AS BIGINT) + CASE WHEN n >= 3 AND floor(n * 0.15e0) = 0 THEN 1 ELSE 0 END"
+
+
+@query("b14_split_sizes", f"SELECT family, n, n_train, n_val, n - n_train - n_val AS n_test FROM (SELECT family, n, {_TRAIN} AS n_train, {_VAL} AS n_val FROM (SELECT family, count(*) AS n FROM ({CORE}) GROUP BY 1))")
 def b14_split_sizes(t: Tables) -> DataFrame:
     n = core(t).groupBy("family").agg(F.count("*").alias("n"))
     train, val, test = S.split_sizes(F.col("n"))
@@ -424,9 +428,9 @@ def b14_split_sizes(t: Tables) -> DataFrame:
 
 @query(
     "b16_group_split",
-    """WITH g AS (SELECT question_id, row_number() OVER (ORDER BY md5('42|' || question_id), question_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT question_id FROM core_records WHERE question_id IS NOT NULL)),
-k AS (SELECT *, CAST(floor(n * 0.15e0) AS BIGINT) + CASE WHEN n >= 3 AND floor(n * 0.15e0) = 0 THEN 1 ELSE 0 END AS v, CAST(floor(n * 0.10e0) AS BIGINT) + CASE WHEN n >= 3 AND floor(n * 0.10e0) = 0 THEN 1 ELSE 0 END AS e FROM g)
-SELECT c.core_row_id, CASE WHEN r <= n - v - e THEN 'train' WHEN r <= n - e THEN 'val' ELSE 'test' END AS new_split FROM core_records c JOIN k USING (question_id)""",
+    f"""WITH g AS (SELECT question_id, row_number() OVER (ORDER BY md5('42|' || question_id), question_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT question_id FROM core_records WHERE question_id IS NOT NULL)),
+k AS (SELECT *, {_TRAIN} AS a, {_VAL} AS v FROM g)
+SELECT c.core_row_id, CASE WHEN r <= a THEN 'train' WHEN r <= a + v THEN 'val' ELSE 'test' END AS new_split FROM core_records c JOIN k USING (question_id)""",
 )
 def b16_group_split(t: Tables) -> DataFrame:
     """Questions, not rows, are split, so that pairs stay together."""
