@@ -262,10 +262,10 @@ def estimate(patterns: Counter, rounds: int = 30) -> tuple[np.ndarray, np.ndarra
     """EM over labelers that are independent given the truth: patterns, their
     weights and P(true). A labeler's reliability is P(vote | truth); votes stay
     better than chance, which keeps the two classes from trading places."""
-    votes = np.array(sorted(patterns), dtype=int).reshape(len(patterns), -1)
+    if not patterns:
+        return np.zeros((0, 0), dtype=int), np.zeros(0), np.zeros(0)
+    votes = np.array(sorted(patterns), dtype=int)
     n = np.array([patterns[tuple(v)] for v in votes], dtype=float)
-    if not len(votes):
-        return votes, n, np.zeros(0)
     # Start: labelers' plain majority, an opposing vote weighing double.
     q = 1 / (1 + np.exp(-(1.5 * (votes == 1).sum(1) - 3.0 * (votes == -1).sum(1) - 1.0)))
     for _ in range(rounds):
