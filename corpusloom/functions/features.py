@@ -78,6 +78,13 @@ def with_run_lengths(df: DataFrame, **items: Column) -> DataFrame:
     return d.drop(*(f"_{x}_{n}" for x in "sa" for n in items))
 
 
+def with_char_counts(df: DataFrame, text: str, name: str) -> DataFrame:
+    """How often each distinct character occurs: few are distinct, so each is
+    counted by what its removal takes from the length."""
+    d = df.withColumn("_distinct", F.array_sort(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")))
+    return d.withColumn(name, F.transform("_distinct", lambda c: F.length(F.col(text)) - F.length(F.replace(F.col(text), c, F.lit(""))))).drop("_distinct")
+
+
 def total(xs: Column, f=lambda x: x) -> Column:  # noqa: ANN001
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x).cast("double"))
 
@@ -93,7 +100,7 @@ def prepared(df: DataFrame, text: str) -> DataFrame:
     """Adds ``_t`` and the arrays all features share."""
     d = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     d = d.withColumns({"_words": words_lower(F.col("_t")), "_sents": sentences(F.col("_t")), "_runs": F.regexp_extract_all(F.lower("_t"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))})
-    d = with_run_lengths(d, _freq=F.col("_words"), _chars=F.filter(F.split("_t", ""), lambda c: c != ""))
+    d = with_char_counts(with_run_lengths(d, _freq=F.col("_words")), "_t", "_chars")
     d = d.withColumns(
         {
             "_swc": F.transform("_sents", lambda s: F.size(words_lower(s))),
@@ -234,7 +241,7 @@ def stylometric(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame
 def dense(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Small dense block: lengths, ratios, entropy of the lower-cased text."""
     df = df.select(*keys, collapse(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    df = with_run_lengths(df, _freq=F.filter(F.split(F.lower("_t"), ""), lambda c: c != ""))
+    df = with_char_counts(df.withColumn("_low", F.lower("_t")), "_low", "_freq")
     t, freq, n = F.col("_t"), F.col("_freq"), F.length("_t")
     entropy = F.when(n > 0, -total(freq, lambda f: (f / n) * F.log2(f / n)))
     return df.select(*keys, n.cast("double").alias("chars"), F.size(F.filter(F.split(t, " "), lambda w: w != "")).cast("double").alias("words"), entropy.alias("char_entropy"), ratio(F.regexp_count(t, F.lit(r"\p{Lu}")), n).alias("upper"), ratio(F.regexp_count(t, F.lit(r"\p{Nd}")), n).alias("digits"))
