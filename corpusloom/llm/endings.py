@@ -9,8 +9,8 @@ numbers and codes read as classes and counts taken over all texts.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -34,20 +34,21 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text)
 
 
-def mask(tok: str, prev: str | None) -> str:
-    """Names, numbers and codes as classes; other words in lower case."""
+@lru_cache(maxsize=1 << 17)
+def mask(tok: str, starts: bool) -> str:
+    """Names, numbers and codes as classes; other words in lower case. A capital
+    tells a name only where no sentence starts."""
     c = tok[0]
     if c == "\n":
         return "\n"
     if any(x.isdigit() for x in tok):
         return "#a" if regex.search(r"\p{L}", tok) else "#%" if tok[-1] == "%" else "#$" if not tok[0].isdigit() else "#"
     if c.isalpha():
-        if c.isupper():
-            return "Xx" if prev is not None and prev not in TERMINAL and prev != "\n" and len(tok) > 1 else ("Xx" if len(tok) > 1 and prev == "\n" else tok.lower())
-        return tok.lower()
+        return "Xx" if c.isupper() and not starts and len(tok) > 1 else tok.lower()
     return tok
 
 
+@lru_cache(maxsize=1 << 17)
 def shape(tok: str, m: str) -> str:
     if tok[:1].isalpha() and m[0] != "#":
         return "w" if tok[:1].islower() else "W"
@@ -55,16 +56,22 @@ def shape(tok: str, m: str) -> str:
 
 
 def masked(toks: list[str]) -> list[str]:
-    return [mask(t, toks[i - 1] if i else None) for i, t in enumerate(toks)]
+    return [mask(t, i == 0 or toks[i - 1] in TERMINAL) for i, t in enumerate(toks)]
 
 
-def keys_at(group: str, m: list[str], toks: list[str], i: int) -> list[int]:
-    """Hashed phrases that end at token i, one per level."""
+def phrases_at(group: str, m: list[str], sh: list[str], i: int) -> list[tuple]:
+    """Phrases that end at token i, one per level."""
     a = m[i - 2] if i > 1 else "^"
     b = m[i - 1] if i else "^"
-    c, s = m[i], shape(toks[i], m[i])
-    t = shape(toks[i - 1], b) if i else "^"
-    return [_h(group, 0, c), _h(group, 1, b, s), _h(group, 2, a, t, s), _h(group, 3, b, c), _h(group, 4, a, b, s), _h(group, 5, a, b, c)]
+    c, s = m[i], sh[i]
+    t = sh[i - 1] if i else "^"
+    return [(group, 0, c), (group, 1, b, s), (group, 2, a, t, s), (group, 3, b, c), (group, 4, a, b, s), (group, 5, a, b, c)]
+
+
+def keys_at(group: str, m: list[str], toks: list[str], i: int) -> list[int]:
+    """The same, hashed."""
+    sh = [shape(t, x) for t, x in zip(toks, m)]
+    return [_h(*p) for p in phrases_at(group, m, sh, i)]
 
 
 def _h(*parts: object) -> int:
@@ -75,21 +82,34 @@ def body(text: str) -> str:
     return text.rstrip()
 
 
-def observe(text: str, group: str) -> Iterator[tuple[int, int]]:
-    """(key, kind) at every token: 0 goes on, 1 a sentence ends, 2 the text ends."""
+#: Sightings, sentence ends and text ends of a phrase in one number.
+_BREAK, _END = 1 << 21, 1 << 42
+
+
+def observe(text: str, group: str, seen: dict[tuple, int]) -> None:
+    """Adds every phrase of the text with how it goes on."""
     toks = tokens(body(text))
     m = masked(toks)
+    sh = [shape(t, x) for t, x in zip(toks, m)]
     n = len(toks)
+    get = seen.get
     for i in range(n):
-        nxt = toks[i + 1] if i + 1 < n else None
-        kind = 2 if nxt is None else 1 if nxt in TERMINAL or nxt[0] in "\n&" else 0
-        for k in keys_at(group, m, toks, i):
-            yield k, kind
+        if i + 1 == n:
+            add = 1 + _END
+        else:
+            nxt = toks[i + 1]
+            add = 1 + _BREAK if nxt in TERMINAL or nxt[0] in "\n&" else 1
+        for p in phrases_at(group, m, sh, i):
+            seen[p] = get(p, 0) + add
 
 
 def final(text: str, group: str) -> tuple[list[int], list[int], str, str]:
     """(keys at the last token, keys before a final full stop, last word, last token)."""
-    toks = tokens(body(text))
+    t = body(text)
+    if len(t) > 400:  # the last words do not depend on what is far before them
+        at = max(t.rfind(" ", 0, len(t) - 200), t.rfind("\n", 0, len(t) - 200))
+        t = t[at + 1 :] if at > 0 else t
+    toks = tokens(t)
     if not toks:
         return [], [], "", ""
     m = masked(toks)
@@ -105,16 +125,11 @@ def phrase_counts(texts: DataFrame) -> DataFrame:
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen: Counter = Counter()
+            seen: dict[tuple, int] = {}
             for t, g in zip(pdf["text"], pdf["grp"]):
-                seen.update(observe(t, g))
-            total: dict[int, list[int]] = {}
-            for (k, kind), n in seen.items():
-                row = total.setdefault(k, [0, 0, 0])
-                row[0] += n
-                if kind:
-                    row[kind] += n
-            yield pd.DataFrame([(k, *v) for k, v in total.items()], columns=["key", "n", "breaks", "ends"])
+                observe(t, g, seen)
+            low = _BREAK - 1
+            yield pd.DataFrame([(_h(*p), v & low, (v >> 21) & low, v >> 42) for p, v in seen.items()], columns=["key", "n", "breaks", "ends"])
 
     got = texts.where("text is not null").select("text", "grp").mapInPandas(go, "key bigint, n bigint, breaks bigint, ends bigint")
     return got.groupBy("key").agg(F.sum("n").alias("n"), F.sum("breaks").alias("breaks"), F.sum("ends").alias("ends"))
