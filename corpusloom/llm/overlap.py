@@ -138,10 +138,12 @@ def prepare(records: DataFrame, key: str) -> DataFrame:
 
 
 def offers(chunk_rows: DataFrame, share: float, hot_pairs: int) -> DataFrame:
-    """(train, id, n, k1, k2): the keys under which a record can be met.
+    """(train, id, n, k1, k2): the keys under which a record can be met. ``chunk_rows``
+    has id, d and p (side, length and chunk size in one number).
 
     k2 is 0, or the second chunk where k1 is too frequent to be a key alone."""
-    df = chunk_rows.groupBy("d").agg(F.count_if("train").alias("dt"), F.count_if(~F.col("train")).alias("de"))
+    on_train = F.shiftright("p", 48) == 1
+    df = chunk_rows.groupBy("d").agg(F.count_if(on_train).alias("dt"), F.count_if(~on_train).alias("de"))
     # Chunks seen on one side only cannot meet, but their words count in the length.
     both = cut(df.where("dt > 0 and de > 0").select("d", (F.col("dt") + F.col("de")).alias("freq"), (F.col("dt") * F.col("de") > hot_pairs).alias("hot")))
     size = both.agg(F.count("*"), F.coalesce(F.sum("freq"), F.lit(0))).first()
@@ -154,6 +156,8 @@ def offers(chunk_rows: DataFrame, share: float, hot_pairs: int) -> DataFrame:
         wide = F.broadcast(both.where(F.col("freq") > F.lit(size[1] / WIDE)))
         rest = chunk_rows.join(wide.select("d"), "d", "left_anti").join(both, "d")
         met = chunk_rows.join(wide, "d").unionByName(rest)
+    low = F.lit((1 << 32) - 1)
+    met = met.select("id", on_train.alias("train"), F.shiftright("p", 16).bitwiseAND(low).cast("int").alias("n"), F.col("p").bitwiseAND(F.lit(65535)).cast("int").alias("w"), "freq", "d", "hot")
     met = met.groupBy("train", "id", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "d", "w", "hot"))).alias("c"))
     flat = met.select("train", "id", "n", F.col("c.d").alias("d"), F.col("c.w").alias("w"), F.col("c.hot").alias("hot"))
     # Records whose shared chunks cannot reach the fraction drop out in the JVM.
@@ -209,11 +213,13 @@ def overlaps(records: DataFrame, key: str, share: float = SHARE, hot_pairs: int
     member = cut(prepared.select("train", "h1", "h2", "key").join(least, ["train", "h1", "h2"]).select("train", "id", "key"))
     copies = member.where("id != key").select("key")
     cls = prepared.join(copies, "key", "left_anti").select("train", F.col("key").alias("id"), "n", "d", "w")
-    rows = cls.select("train", "id", "n", F.explode(F.arrays_zip("d", "w")).alias("c")).select("train", "id", "n", "c.d", "c.w")
+    # Side, length and chunk size travel as one number: these are the most rows moved.
+    head = F.shiftleft(F.col("train").cast("long"), 48).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 16))
+    rows = cls.select("id", head.alias("h"), F.explode(F.arrays_zip("d", "w")).alias("c")).select("id", "c.d", F.col("h").bitwiseOR(F.col("c.w").cast("long")).alias("p"))
     pairs = cut(candidate_pairs(offers(rows, share, hot_pairs), cls, share))
-    text = records.select(F.col(key).cast("bigint").alias("id"), "text")
-    ta = text.select(F.col("id").alias("a"), F.col("text").alias("xa"))
-    tb = text.select(F.col("id").alias("b"), F.col("text").alias("xb"))
+    text = records.select(F.col(key).cast("bigint").alias("id"), "text", side(F.col("split")).alias("train"))
+    ta = text.where("train").select(F.col("id").alias("a"), F.col("text").alias("xa"))
+    tb = text.where("not train").select(F.col("id").alias("b"), F.col("text").alias("xb"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
