@@ -16,7 +16,7 @@ import pandas as pd
 import regex
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import cut
@@ -82,6 +82,10 @@ def body(text: str) -> str:
     return text.rstrip()
 
 
+def _body(c: str) -> Column:
+    return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+$", "")
+
+
 #: Sightings, sentence ends and text ends of a phrase in one number.
 _BREAK, _END = 1 << 21, 1 << 42
 
@@ -195,17 +199,18 @@ def shortened(texts: DataFrame) -> DataFrame:
 
 def length_spikes(texts: DataFrame, by: str) -> DataFrame:
     """(by, unit, len): lengths in characters or bytes far more frequent than the
-    lengths around them; counted over all texts. One row a source and length."""
-    both = F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.length("text").alias("len")), F.struct(F.lit("b").alias("unit"), F.octet_length("text").alias("len")))).alias("x")
-    hist = texts.where("text is not null").select(by, both).groupBy(by, "x.unit", "x.len").agg(F.count("*").alias("n"))
+    lengths around them; counted over distinct texts. One row a source and length."""
+    once = texts.where("text is not null").select(by, F.length("text").alias("_c"), F.octet_length("text").alias("_b"), F.xxhash64("text").alias("_h")).distinct()
+    both = F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("_c").alias("len")), F.struct(F.lit("b").alias("unit"), F.col("_b").alias("len")))).alias("x")
+    hist = once.select(by, both).groupBy(by, "x.unit", "x.len").agg(F.count("*").alias("n"))
     near = Window.partitionBy(by, "unit").orderBy("len").rangeBetween(-5, 5)
     around = (F.sum("n").over(near) - F.col("n")) / F.lit(10.0)
     return hist.withColumn("around", around).where((F.col("n") >= 8) & (F.col("n") > 5 * (F.col("around") + 1))).select(by, "unit", "len")
 
 
 def with_evidence(texts: DataFrame, key: str, by: str) -> DataFrame:
-    """``texts`` (key, text, grp, by) with what the corpus says about each ending:
-    counts of its last phrases, of its last word, length spike, longer copy."""
+    """Distinct ``texts`` (key, text, grp, by) with what the corpus says about each
+    ending: counts of its last phrases, of its last word, length spike, longer copy."""
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -221,12 +226,15 @@ def with_evidence(texts: DataFrame, key: str, by: str) -> DataFrame:
 
     kind = texts.schema[key].dataType.simpleString()
     some = texts.where("text is not null")
+    # One sighting a class: texts that differ in source or outer blanks only are copies too.
+    bodies = cut(some.select(_body("text").alias("text"), "grp").distinct())
+    plain = bodies.select("text").distinct()
     asked = some.select(key, "text", "grp").mapInPandas(ends, f"{key} {kind}, place string, level int, key bigint")
     # Both sides are read several times below. A phrase seen once is the text's own.
-    asked, counts = cut(asked), cut(phrase_counts(some).where("n > 1"))
+    asked, counts = cut(asked), cut(phrase_counts(bodies).where("n > 1"))
     found = join_hot(asked, counts, "key").where("n is not null")
     phrases = found.groupBy(key).agg(F.collect_list(F.struct("place", "level", "n", "breaks", "ends")).alias("phrases"))
-    vocab = cut(word_counts(some))
+    vocab = cut(word_counts(plain))
     words = vocab.join(prefix_counts(vocab), "word", "full")
     lasts = cut(some.select(key, last_word("text", "grp").alias("word")).where("word != ''"))
     known = cut(words.select("word", F.coalesce("n", F.lit(0)).alias("n_word"), "longer", "best").join(lasts.select("word").distinct(), "word", "left_semi"))
@@ -234,8 +242,8 @@ def with_evidence(texts: DataFrame, key: str, by: str) -> DataFrame:
     spikes = F.broadcast(length_spikes(some, by))  # at most 1/8 as many rows as a source has lengths
     spike = lambda unit, length: some.select(key, by, length.alias("len")).join(spikes.where(F.col("unit") == unit).drop("unit"), [by, "len"], "left_semi").select(key)
     marked = spike("c", F.length("text")).unionByName(spike("b", F.octet_length("text"))).distinct().withColumn("spike", F.lit(True))
-    copies = shortened(some).withColumn("copy", F.lit(True))
-    copied = some.select(key, F.rtrim("text").alias("text")).join(copies, "text", "left_semi").select(key).withColumn("copy", F.lit(True))
+    copies = shortened(plain).withColumn("copy", F.lit(True))
+    copied = some.select(key, _body("text").alias("text")).join(copies, "text", "left_semi").select(key).withColumn("copy", F.lit(True))
     return texts.join(phrases, key, "left").join(word, key, "left").join(marked, key, "left").join(copied, key, "left")
 
 
@@ -256,6 +264,22 @@ def judge(pdf: pd.DataFrame) -> list[bool]:
     return out
 
 
+def with_verdict(texts: DataFrame, by: str) -> DataFrame:
+    """``texts`` (text, grp, by and others) with ``unfinished``; null texts are not.
+
+    Each distinct text of a source and group is judged once."""
+    ident = F.xxhash64("text", "grp", by)
+    once = cut(texts.where("text is not null").select("text", "grp", by).distinct().withColumn("_id", ident))
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.loc[judge(pdf), ["_id"]]
+
+    cases = with_evidence(once, "_id", by).mapInPandas(go, "_id bigint").withColumn("unfinished", F.lit(True))
+    rows = texts.withColumn("_id", F.when(F.col("text").isNotNull(), ident)).join(cases, "_id", "left")
+    return rows.withColumn("unfinished", F.coalesce("unfinished", F.lit(False))).drop("_id")
+
+
 # ---- decision ------------------------------------------------------------------------
 
 #: Weight of the less specific phrase in the share of the more specific one.

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import overlap
 from corpusloom.llm import textform as tf
-from corpusloom.llm.endings import judge, with_evidence
+from corpusloom.llm.endings import with_verdict
 from corpusloom.session import spread, table
 
 _I = regex.I
@@ -157,11 +157,10 @@ def defects(pairs: DataFrame, key: str) -> DataFrame:
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            broken = judge(pdf)
-            found = [rule_defect(p, t) or ("truncated" if b else None) for p, t, b in zip(pdf["prompt_text"], pdf["text"], broken)]
+            found = [rule_defect(p, t) or ("truncated" if b else None) for p, t, b in zip(pdf["prompt_text"], pdf["text"], pdf["unfinished"])]
             yield pd.DataFrame({key: pdf[key], "defect_type": pd.Series(found, dtype=object)})
 
-    return with_evidence(rows, key, "origin_model").mapInPandas(go, f"{key} {kind}, defect_type string")
+    return with_verdict(rows, "origin_model").mapInPandas(go, f"{key} {kind}, defect_type string")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,18 +7,15 @@ its copies elsewhere go on, it was cut. Lengths that a source has far too often
 mark its field limit.
 
 Defined results: null, empty and blank texts are no case; a null source is a
-source of its own; repeated texts are judged alike.
+source of its own; copies of a text count as one text and are judged alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.endings import judge, with_evidence
+from corpusloom.llm.endings import with_verdict
 from corpusloom.session import spread, table
 
 
@@ -26,13 +23,7 @@ def truncated(texts: DataFrame, key: str, by: str) -> DataFrame:
     """key, by, truncated: one row per row of ``texts`` (key, text, channel, by)."""
     short = F.lower(F.trim(F.coalesce(F.col("channel"), F.lit("")))).isin("sms", "text", "text message")
     rows = texts.select(key, "text", F.coalesce(F.col(by), F.lit("(none)")).alias(by), F.when(short, "s").otherwise("e").alias("grp"))
-    kind = texts.schema[key].dataType.simpleString()
-
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], by: pdf[by], "truncated": judge(pdf)})
-
-    return with_evidence(rows, key, by).mapInPandas(go, f"{key} {kind}, {by} string, truncated boolean")
+    return with_verdict(rows, by).select(key, by, F.col("unfinished").alias("truncated"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,26 @@ def test_truncation_held_out(spark):
     assert truncated.truncated(df.where("doc_id < 0"), "doc_id", "source").count() == 0
 
 
+def test_copies_are_no_proof_of_an_end(spark):
+    """A cut text delivered many times, also to another source or with blanks, is still cut."""
+    names = "Ana Ben Cara Dan Eva Finn Gus Hana Ida Jon".split()
+    things = "ledger parcel invoice contract schedule report budget memo".split()
+    whole = [f"Please send the {b} to {a} before Friday because the {c} needs a new signature. Best regards,\n{d}" for a in names for b in things for c in things[:4] for d in names[:2]]
+    part = "We moved the old piano to the barn before Friday because the"
+    rows = [(i, t, "s", "email") for i, t in enumerate(whole)] + [(10_000 + i, part + " " * (i % 3), "st"[i % 2], "email") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, channel string")
+    got = {r["doc_id"]: r["truncated"] for r in truncated.truncated(df, "doc_id", "source").collect()}
+    assert len(got) == len(rows) and not any(got[i] for i in range(len(whole)))
+    assert all(got[10_000 + i] for i in range(100))
+
+
+def test_length_spikes_count_texts(spark):
+    """Copies of one text are no field limit; many texts of one length are."""
+    texts = ["x" * 40] * 50 + [f"{i:060d}" for i in range(50)]
+    got = endings.length_spikes(spark.createDataFrame([(t, "s") for t in texts], "text string, source string"), "source")
+    assert {r["len"] for r in got.collect()} == {60}
+
+
 MAIL = """Hello Ana,
 
 Please see 1) old > new.
