@@ -72,20 +72,24 @@ def match_tiers(left: DataFrame, right: DataFrame, key: str, tiers: list[list[st
 def nearest_by(probes: DataFrame, pool: DataFrame, hard: list[str], probe_key: str, pool_key: str, size: str, k: int = 2) -> DataFrame:
     """The k pool rows nearest in ``size`` to each probe, inside equal hard keys.
 
-    Pool rows are put on one axis with the probes and only the k rows below and
-    the k rows above in order of size can be nearest, so no probe meets the whole
-    pool. Ties below keep the greatest keys and above the least; equal distances
-    prefer the smaller size, then the smaller key."""
-    both = pool.select(*hard, F.col(size).alias("_s"), F.struct(F.col(size).alias("s"), F.col(pool_key).alias("id")).alias("c"), F.lit(None).cast("long").alias("p")).unionByName(
-        probes.select(*hard, F.col(size).alias("_s"), F.lit(None).cast(f"struct<s:{pool.schema[size].dataType.simpleString()},id:{pool.schema[pool_key].dataType.simpleString()}>").alias("c"), F.col(probe_key).cast("long").alias("p"))
+    The sizes of the pool, each with its k least keys, are put on one axis with the
+    probes; only the k sizes below and the k above can hold the nearest rows, so no
+    probe meets the whole pool. Equal distances prefer the smaller size, then the
+    smaller key."""
+    kind, id_kind = pool.schema[size].dataType.simpleString(), pool.schema[pool_key].dataType.simpleString()
+    least = Window.partitionBy(*hard, size).orderBy(pool_key)  # the limit is applied before the shuffle as well
+    few = pool.select(*hard, size, pool_key).withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k)
+    sizes = few.groupBy(*hard, size).agg(F.collect_list(pool_key).alias("ids"))
+    both = sizes.select(*hard, F.col(size).alias("_s"), F.struct(F.col(size).alias("s"), "ids").alias("c"), F.lit(None).cast("long").alias("p")).unionByName(
+        probes.select(*hard, F.col(size).alias("_s"), F.lit(None).cast(f"struct<s:{kind},ids:array<{id_kind}>>").alias("c"), F.col(probe_key).cast("long").alias("p"))
     )
-    order = ["_s", F.col("c").isNull().cast("int"), F.coalesce(F.col("c.id"), F.col("p"))]
+    order = ["_s", F.col("c").isNull().cast("int"), "p"]
     w = Window.partitionBy(*hard)
     lower = w.orderBy(*order)
     n_pool = F.count("c").over(lower.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = both.withColumn("_at", n_pool)
     ranked = placed.where("c is not null").select(*hard, F.col("_at").alias("_pos"), "c")
     asks = placed.where("p is not null").select(*hard, "p", F.col("_s").alias("_ps"), F.explode(F.sequence(F.col("_at") - (k - 1), F.col("_at") + k)).alias("_pos"))
-    near = asks.join(ranked, [*hard, "_pos"])
-    best = Window.partitionBy("p").orderBy(F.abs(F.col("c.s") - F.col("_ps")), F.col("c.s"), F.col("c.id"))
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(F.col("p").alias("probe_id"), F.col("c.id").alias("pool_id"), F.abs(F.col("c.s") - F.col("_ps")).cast("long").alias("distance"), "rank")
+    near = asks.join(ranked, [*hard, "_pos"]).select("p", F.abs(F.col("c.s") - F.col("_ps")).cast("long").alias("distance"), F.col("c.s").alias("s"), F.explode("c.ids").alias("pool_id"))
+    best = Window.partitionBy("p").orderBy("distance", "s", "pool_id")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(F.col("p").alias("probe_id"), "pool_id", "distance", "rank")

@@ -258,7 +258,8 @@ c AS (SELECT p.p, pool.id, abs(pool.s - p.s) AS distance, row_number() OVER (PAR
 SELECT p AS probe_id, id AS pool_id, distance, rank FROM c WHERE rank <= 2""",
 )
 def j9_nearest_length(t: Tables) -> DataFrame:
-    """The two human texts nearest in length to every generated one."""
+    """The two nearest lengths of human texts to every generated one, each with its
+    first text; j9_nearest_texts does not leave out the other texts of a length."""
     some = t("llm_mass_generation").where("text is not null and channel is not null and fraudness is not null")
     probes = ordinal(some.select("gen_id", "channel", "fraudness", F.length("text").alias("s")), "gen_id", "p")
     pool = t("core_records").where("label = 0 and text is not null and channel is not null and fraudness is not null")
@@ -266,6 +267,22 @@ def j9_nearest_length(t: Tables) -> DataFrame:
     return J.nearest_by(probes, pool, ["channel", "fraudness"], "p", "id", "s", 2)
 
 
+@query(
+    "j9_nearest_texts",
+    """WITH p AS (SELECT row_number() OVER (ORDER BY gen_id) AS p, lower(trim(channel)) AS channel, fraudness, length(text) AS s FROM llm_mass_generation WHERE text IS NOT NULL AND channel IS NOT NULL AND fraudness IS NOT NULL),
+pool AS (SELECT min(core_row_id) AS id, lower(trim(channel)) AS channel, fraudness, text, length(text) AS s FROM core_records WHERE label = 0 AND text IS NOT NULL AND channel IS NOT NULL AND fraudness IS NOT NULL GROUP BY 2, 3, 4),
+c AS (SELECT p.p, pool.id, abs(pool.s - p.s) AS distance, row_number() OVER (PARTITION BY p.p ORDER BY abs(pool.s - p.s), pool.s, pool.id) AS rank FROM p JOIN pool USING (channel, fraudness))
+SELECT p AS probe_id, id AS pool_id, distance, rank FROM c WHERE rank <= 2""",
+)
+def j9_nearest_texts(t: Tables) -> DataFrame:
+    """The two distinct human texts nearest in length to every generated one."""
+    some = t("llm_mass_generation").where("text is not null and channel is not null and fraudness is not null")
+    probes = ordinal(some.select("gen_id", F.lower(F.trim("channel")).alias("channel"), "fraudness", F.length("text").alias("s")), "gen_id", "p")
+    pool = t("core_records").where("label = 0 and text is not null and channel is not null and fraudness is not null")
+    pool = pool.groupBy(F.lower(F.trim("channel")).alias("channel"), "fraudness", "text").agg(F.min("core_row_id").alias("id"))
+    return J.nearest_by(probes, pool.withColumn("s", F.length("text")), ["channel", "fraudness"], "p", "id", "s", 2)
+
+
 @query("j10_paired_examples", "SELECT question_id, max(text) FILTER (WHERE label = 0) AS human, max(text) FILTER (WHERE label = 1) AS llm FROM core_records WHERE question_id IS NOT NULL GROUP BY 1")
 def j10_paired_examples(t: Tables) -> DataFrame:
     r = t("core_records").where("question_id is not null").withColumn("role", F.when(F.col("label") == 0, "human").when(F.col("label") == 1, "llm"))

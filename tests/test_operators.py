@@ -133,3 +133,16 @@ def test_sinks(spark, tmp_path):
     doc = sinks.replace_block("# T", "b", "one")
     assert sinks.replace_block(sinks.replace_block(doc, "b", "two"), "b", "two").count("two") == 1
     assert '"a.x"' not in sinks.merge_manifest({"checks": [{"name": "a.x"}]}, {}, [{"name": "a.y"}], "a.")
+
+
+def test_nearest_by_ties(spark):
+    """Several rows of one size are all candidates; the least keys come first."""
+    pool = spark.createDataFrame([("a", i, n) for i, n in [(1, 10), (2, 10), (3, 10), (4, 12), (5, 8), (6, 8), (7, 20)]], "g string, id long, s int")
+    probes = spark.createDataFrame([("a", 0, 10), ("a", 1, 13), ("a", 2, 9), ("a", 3, 7), ("a", 4, 16), ("b", 5, 10)], "g string, p long, s int")
+    rows = [tuple(x) for x in pool.collect()]
+    want = set()
+    for g, p, s in probes.collect():
+        near = sorted((abs(n - s), n, i) for h, i, n in rows if h == g)[:2]
+        want |= {(p, i, d, r + 1) for r, (d, _, i) in enumerate(near)}
+    got = joins.nearest_by(probes, pool, ["g"], "p", "id", "s").collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
