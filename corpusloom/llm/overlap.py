@@ -15,6 +15,10 @@ Scale and skew:
   boilerplate that fills a third of all rows is not joined at all.
 * A chunk that is frequent even so is replaced by pairs of chunks: two records
   that share it and reach ``share`` also share a second one. Nothing is capped.
+* Chunks miss near-copies whose edits are spread, so pairs are also met under
+  single words: each class offers its rarest words, enough that two texts with
+  80 % of their words in common must meet in one (prefix filtering again, exact
+  for the threshold). Rarity is read from a table of fixed size.
 * Lengths must be within 80 % of each other, which is part of the join.
 
 Defined results: null texts and texts without words match nothing; the split is
@@ -28,6 +32,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +53,11 @@ HOT_PAIRS = 2_000
 WIDE = 5_000
 #: Rows up to which the table of shared digests is broadcast (about 40 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Places of the table of word frequencies; words that share one count together.
+PLACES = 1 << 20
+#: Second key where one word is enough (no digest of a word is as great).
+SINGLE = 1 << 40
+SKETCH = ["s0", "s1", "s2", "s3"]
 
 
 _LOW = (1 << 64) - 1
@@ -85,6 +95,16 @@ def chunks(ws: list[str]) -> tuple[list[int], list[int]]:
     return ds, sizes
 
 
+def word_digests(ws: list[str]) -> list[int]:
+    """A digest a word; repeats are kept apart by their ordinal."""
+    out: list[int] = []
+    seen: dict[str, int] = {}
+    for w in ws:
+        k = seen[w] = seen.get(w, 0) + 1
+        out.append(xxhash.xxh32_intdigest(w if k == 1 else f"{w}/{k}") - (1 << 31))
+    return out
+
+
 def lcs(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, bit-parallel over words."""
     at: dict[str, int] = {}
@@ -120,7 +140,8 @@ def side(c: Column) -> Column:
 
 
 def prepare(records: DataFrame, key: str) -> DataFrame:
-    """key, train, digest of the words (two numbers), n, chunk digests and sizes."""
+    """key, train, digest of the words (two numbers), n, chunk digests and sizes,
+    word digests."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -130,11 +151,11 @@ def prepare(records: DataFrame, key: str) -> DataFrame:
                 if ws:
                     ds, sizes = chunks(ws)
                     h = xxhash.xxh3_128_intdigest(" ".join(ws))
-                    rows.append((k, s, (h >> 64) - (1 << 63), (h & _LOW) - (1 << 63), len(ws), ds, sizes))
-            yield pd.DataFrame(rows, columns=["key", "train", "h1", "h2", "n", "d", "w"])
+                    rows.append((k, s, (h >> 64) - (1 << 63), (h & _LOW) - (1 << 63), len(ws), ds, sizes, word_digests(ws)))
+            yield pd.DataFrame(rows, columns=["key", "train", "h1", "h2", "n", "d", "w", "v"])
 
     src = records.select(F.col(key).cast("bigint").alias("key"), side(F.col("split")).alias("train"), "text").where("train is not null and text is not null")
-    return src.mapInPandas(go, "key bigint, train boolean, h1 bigint, h2 bigint, n int, d array<bigint>, w array<smallint>")
+    return src.mapInPandas(go, "key bigint, train boolean, h1 bigint, h2 bigint, n int, d array<bigint>, w array<smallint>, v array<int>")
 
 
 def offers(chunk_rows: DataFrame, share: float, hot_pairs: int) -> DataFrame:
@@ -204,6 +225,65 @@ def candidate_pairs(keys: DataFrame, cls: DataFrame, share: float) -> DataFrame:
     return pairs.join(sa, "a").join(sb, "b").where(shared >= F.lit(share) * F.greatest("na", "nb") - 1e-9).select("a", "b")
 
 
+def word_places(cls: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sightings of words on the train and the evaluation side, by place."""
+    place = F.explode(F.transform("v", lambda x: x.bitwiseAND(F.lit(PLACES - 1)))).alias("place")
+    got = cls.select("train", place).groupBy("place").agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e")).toPandas()
+    out = np.zeros(PLACES, np.int64), np.zeros(PLACES, np.int64)
+    for side_counts, c in zip(out, "te"):
+        side_counts[got["place"].to_numpy(np.int64)] = got[c].to_numpy()
+    return out
+
+
+def word_offers(cls: DataFrame, hot_pairs: int) -> DataFrame:
+    """(train, id, n, k1, k2, s0 to s3) as :func:`offers`, from single words at the
+    threshold, with a sketch of 256 bits of the words.
+
+    Any order of the words that is the same for all texts keeps the filter exact;
+    words of a place seen on one side only cannot be shared. Texts of under five
+    words are near-same only if they are equal, which their chunks show."""
+    t, e = word_places(cls)
+    freq = np.where((t > 0) & (e > 0), t + e, 0)
+    table_ = cls.sparkSession.sparkContext.broadcast((freq, t * e > hot_pairs))
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        freq, hot = table_.value
+        for pdf in batches:
+            rows = []
+            for s, i, n, v in zip(pdf["train"], pdf["id"], pdf["n"], pdf["v"]):
+                v = np.asarray(v, np.int64)
+                bits = np.zeros(256, np.uint8)
+                bits[(v >> 20) & 255] = 1
+                sketch = tuple(np.packbits(bits).view(np.int64).tolist())
+                f = freq[v & (PLACES - 1)]
+                spare = int(n * (1 - THRESHOLD) + 1e-9)  # words that a near-same text may lack
+                gone = int((f == 0).sum())
+                if gone > spare:
+                    continue
+                v, f = v[f > 0], f[f > 0]
+                v = v[np.lexsort((v, f))][: spare - gone + 2]
+                hots, v = hot[v & (PLACES - 1)].tolist(), v.tolist()
+                for j in range(spare - gone + 1):
+                    if hots[j]:  # the second shared word is among the first spare + 2
+                        rows += [(s, i, n, v[j], x, *sketch) for x in v[j + 1 :]]
+                    else:
+                        rows.append((s, i, n, v[j], SINGLE, *sketch))
+            yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2", *SKETCH])
+
+    longs = ", ".join(f"{c} bigint" for c in SKETCH)
+    return cls.where("n >= 5").select("train", "id", "n", "v").mapInPandas(go, f"train boolean, id bigint, n int, k1 bigint, k2 bigint, {longs}")
+
+
+def word_pairs(keys: DataFrame) -> DataFrame:
+    """Distinct (a, b) that meet under a word key. Words of one text only are at most
+    na + nb less twice the words shared, and no fewer than the bits that differ."""
+    one = lambda cond, i: keys.where(cond).select("k1", "k2", F.col("id").alias(i), F.col("n").alias(f"n{i}"), *[F.col(c).alias(f"{i}{c}") for c in SKETCH])
+    need = F.ceil(F.lit(THRESHOLD) * F.greatest("na", "nb") - 1e-9)
+    differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in SKETCH), F.lit(0))
+    met = one("train", "a").join(one("not train", "b"), ["k1", "k2"])
+    return met.where((F.least("na", "nb") >= need) & (differ <= F.col("na") + F.col("nb") - 2 * need)).select("a", "b").distinct()
+
+
 def overlaps(records: DataFrame, key: str, share: float = SHARE, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame, DataFrame]:
     """(class pairs: a, b, overlap fraction; membership: train, id, key)."""
     prepared = cut(prepare(records, key))
@@ -212,11 +292,13 @@ def overlaps(records: DataFrame, key: str, share: float = SHARE, hot_pairs: int
     least = prepared.groupBy("train", "h1", "h2").agg(F.min("key").alias("id"))
     member = cut(prepared.select("train", "h1", "h2", "key").join(least, ["train", "h1", "h2"]).select("train", "id", "key"))
     copies = member.where("id != key").select("key")
-    cls = prepared.join(copies, "key", "left_anti").select("train", F.col("key").alias("id"), "n", "d", "w")
+    cls = prepared.join(copies, "key", "left_anti").select("train", F.col("key").alias("id"), "n", "d", "w", "v")
     # Side, length and chunk size travel as one number: these are the most rows moved.
     head = F.shiftleft(F.col("train").cast("long"), 48).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 16))
     rows = cls.select("id", head.alias("h"), F.explode(F.arrays_zip("d", "w")).alias("c")).select("id", "c.d", F.col("h").bitwiseOR(F.col("c.w").cast("long")).alias("p"))
-    pairs = cut(candidate_pairs(offers(rows, share, hot_pairs), cls, share))
+    by_chunk = candidate_pairs(offers(rows, share, hot_pairs), cls, share)
+    by_word = word_pairs(word_offers(cls, hot_pairs))
+    pairs = cut(by_chunk.unionByName(by_word).distinct())
     text = records.select(F.col(key).cast("bigint").alias("id"), "text", side(F.col("split")).alias("train"))
     ta = text.where("train").select(F.col("id").alias("a"), F.col("text").alias("xa"))
     tb = text.where("not train").select(F.col("id").alias("b"), F.col("text").alias("xb"))

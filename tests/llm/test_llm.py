@@ -95,6 +95,24 @@ def test_overlap_brute_force(spark, sf):
     assert {(900001, 900002), (900001, 900003), (900002, 900008), (900003, 900008)} <= want
 
 
+def test_overlap_spread_edits(spark):
+    """Edits that leave hardly a chunk whole are found as well."""
+    vocabulary = [f"{a}{b}" for a in "ka lo mi nu pe ra so ti vu za".split() for b in "bel dor fin gam hul jik".split()]
+    rows, want = [], set()
+    for i in range(60):
+        a = [vocabulary[(i * 7 + k * k + 3 * k) % len(vocabulary)] for k in range(25 + i % 9)]
+        b = [f"x{i}" if k % 5 == 2 else w for k, w in enumerate(a)]
+        if not overlap.near_same(a, b):
+            b = [f"x{i}" if k % 6 == 2 else w for k, w in enumerate(a)]
+        rows += [(2 * i, "train", " ".join(a)), (2 * i + 1, "test", " ".join(b))]
+    texts = {i: t.split() for i, _, t in rows}
+    want = {(i, j) for i in range(0, 120, 2) for j in range(1, 120, 2) if overlap.near_same(texts[i], texts[j])}
+    df = spark.createDataFrame(rows, "core_row_id long, split string, text string")
+    for hot in (overlap.HOT_PAIRS, 1):
+        pairs, _ = overlap.overlaps(df, "core_row_id", hot_pairs=hot)
+        assert {(r["a"], r["b"]) for r in pairs.collect()} == want and len(want) >= 60
+
+
 def test_lcs():
     assert overlap.lcs("a b c d".split(), "a c d e".split()) == 3
     assert overlap.near_same("a b c d e".split(), "a b x d e".split()) and not overlap.near_same("a b c d".split(), "d c b a".split())
