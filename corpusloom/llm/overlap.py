@@ -268,6 +268,9 @@ def word_offers(cls: DataFrame, hot_pairs: int) -> DataFrame:
                         rows += [(s, i, n, v[j], x, *sketch) for x in v[j + 1 :]]
                     else:
                         rows.append((s, i, n, v[j], SINGLE, *sketch))
+                if len(rows) > 20_000:  # a batch of texts has millions of keys
+                    yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2", *SKETCH])
+                    rows = []
             yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2", *SKETCH])
 
     longs = ", ".join(f"{c} bigint" for c in SKETCH)
