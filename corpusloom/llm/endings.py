@@ -140,8 +140,8 @@ def phrase_counts(texts: DataFrame) -> DataFrame:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n): whole words that something follows."""
-    word = F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)(?=[^\p{L}\p{M}\s]*\s+\S)"), F.lit(1))).alias("word")
+    """(word, n): whole words, which something or a final full stop follows."""
+    word = F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)(?=[^\p{L}\p{M}\s]*(?:\s+\S|[.!?。！？][^\p{L}\p{M}\s]*\s*$))"), F.lit(1))).alias("word")
     pairs = texts.select(word).groupBy("word").agg(F.count("*").alias("n"))
     return pairs
 
@@ -338,7 +338,9 @@ def unfinished(text: str, group: str, counts: list, before: list, n_word: int, l
         share = stop_share(counts)
         if spike:
             return True
-        if last and n_word <= 1 and longer >= 20 and best >= 10 and longer > 20 * (n_word + 1) and len(last) < 12:
+        # A word that other texts end on is whole, too; names share one class and say nothing.
+        whole = n_word + (max(0, counts[0][2] - 1) if last[:1].islower() and counts[0] else 0)
+        if last and longer > 20 * (whole + 1) and best > 10 * (whole + 1):
             return True
         if text[len(t) :] == " " and share < 0.3:
             return True

@@ -219,6 +219,13 @@ def test_copies_are_no_proof_of_an_end(spark):
     assert all(got[10_000 + i] for i in range(100))
 
 
+@pytest.mark.parametrize("word,n,longer,best,want", [("f", 1, 500, 250, True), ("f", 40, 16000, 8000, True), ("f", 40, 800, 400, False), ("internationali", 0, 600, 600, True), ("stop", 3, 300, 200, False)])
+def test_cut_words_are_judged_by_shares(word, n, longer, best, want):
+    """The same shares give the same verdict in a larger corpus."""
+    counts = [(100, 30, 20)] * endings.LEVELS  # other texts end there 19 times
+    assert endings.unfinished(f"Please wait {word}", "e", counts, [], n, longer, best, False) is want
+
+
 def test_length_spikes_count_texts(spark):
     """Copies of one text are no field limit; many texts of one length are."""
     texts = ["x" * 40] * 50 + [f"{i:060d}" for i in range(50)]
