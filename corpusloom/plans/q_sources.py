@@ -14,7 +14,7 @@ from corpusloom.streaming import incremental as I
 
 
 def _folder(t: Tables, name: str) -> str:
-    return remove_at_exit(shared_folder(t.spark, name))
+    return remove_at_exit(t.spark, shared_folder(t.spark, name))
 
 
 GEN = "gen_id, text, label, token_count"
@@ -125,7 +125,7 @@ def stream_append_new(t: Tables) -> DataFrame:
     df.write.parquet(path)
     for n in (1, 2):
         I.append_new_keys(I.files(t.spark, path, df.schema), "gen_id", out, f"{out}-state{n}").awaitTermination()
-        remove_at_exit(f"{out}-state{n}")
+        remove_at_exit(t.spark, f"{out}-state{n}")
     return t.spark.read.parquet(out).select("gen_id")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import shutil
 import tempfile
 import uuid
 
@@ -30,31 +29,51 @@ def local_session(cores: str = "8", app: str = "corpusloom") -> SparkSession:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; make a temporary one only when
-    neither the session nor the context has any (tests on one machine)."""
+    neither the session nor the context has any and the session runs on one machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage, survives
     the loss of executors, and is columnar and compressed. The folder is removed
-    when the program ends."""
-    path = remove_at_exit(shared_folder(df.sparkSession, "cut"))
+    when the program ends, or by :func:`discard`."""
+    path = remove_at_exit(df.sparkSession, shared_folder(df.sparkSession, "cut"))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[id(out)] = path
+    return out
 
 
-def remove_at_exit(path: str) -> str:
-    atexit.register(_remove, path)
+#: Folder of each written table, by the identity of its frame.
+_folders: dict[int, str] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table written by :func:`cut` that no later plan reads."""
+    path = _folders.pop(id(df), None)
+    if path is not None:
+        _remove(df.sparkSession, path)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> str:
+    atexit.register(_remove, spark, path)
     return path
 
 
-def _remove(path: str) -> None:
-    if path.startswith(("file:", "/")):
-        shutil.rmtree(path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete through the file system the path belongs to, local or shared."""
+    try:
+        sc = spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session has ended; the folder goes with its parent
+        pass
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
