@@ -15,10 +15,12 @@ Scale and skew:
   boilerplate that fills a third of all rows is not joined at all.
 * A chunk that is frequent even so is replaced by pairs of chunks: two records
   that share it and reach ``share`` also share a second one. Nothing is capped.
-* Chunks miss near-copies whose edits are spread, so pairs are also met under
-  single words: each class offers its rarest words, enough that two texts with
-  80 % of their words in common must meet in one (prefix filtering again, exact
-  for the threshold). Rarity is read from a table of fixed size.
+* In a short text few edits can leave no chunk whole. Texts of at most
+  :data:`SHORT` words are therefore also met under pairs of their rarest words:
+  two texts with 80 % of their words in common share two of the first
+  ``n - ceil(0.8 n) + 2`` (prefix filtering, exact for the threshold).
+* Hot keys (a digest or a text that many rows hold) are few by arithmetic and are
+  joined by broadcast; members of large classes are expanded in blocks.
 * Lengths must be within 80 % of each other, which is part of the join.
 
 Defined results: null texts and texts without words match nothing; the split is
@@ -39,28 +41,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textform as tf
-from corpusloom.session import cut, spread, table
+from corpusloom.session import cut, discard, spread, table
 
 THRESHOLD = 0.8
 #: Least fraction of the longer text's words in shared chunks for a candidate.
-SHARE = 0.3
-#: A cut after about every fourth word; the window of the rolling hash is one word.
-MEAN_CHUNK = 4
-LONGEST_CHUNK = 16
+SHARE = 0.2
+#: A cut after about every fifth word; the window of the rolling hash is one word.
+MEAN_CHUNK = 5
+LONGEST_CHUNK = 12
+#: Longest text (in words) that is also met under pairs of words.
+SHORT = 40
 #: Pairs that one chunk may propose before it is replaced by pairs of chunks.
 HOT_PAIRS = 2_000
-#: Digests that hold more than 1/WIDE of all chunk rows are joined by broadcast.
+#: Keys that hold more than 1/WIDE of all rows are joined by broadcast.
 WIDE = 5_000
-#: Rows up to which the table of shared digests is broadcast (about 40 bytes each).
-BROADCAST_ROWS = 1_000_000
 #: Places of the table of word frequencies; words that share one count together.
-PLACES = 1 << 20
-#: Second key where one word is enough (no digest of a word is as great).
-SINGLE = 1 << 40
-SKETCH = ["s0", "s1", "s2", "s3"]
+PLACES = 1 << 18
+#: Members of a class that are expanded in one block.
+BLOCK = 10_000
 
 
-_LOW = (1 << 64) - 1
 _ASCII_WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -140,8 +140,8 @@ def side(c: Column) -> Column:
 
 
 def prepare(records: DataFrame, key: str) -> DataFrame:
-    """key, train, digest of the words (two numbers), n, chunk digests and sizes,
-    word digests."""
+    """key, train, digest of side and words, n, chunks (digest and words of each in
+    one number), digests of the words of short texts."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -149,46 +149,46 @@ def prepare(records: DataFrame, key: str) -> DataFrame:
             for k, s, t in zip(pdf["key"], pdf["train"], pdf["text"]):
                 ws = words(t)
                 if ws:
-                    ds, sizes = chunks(ws)
-                    h = xxhash.xxh3_128_intdigest(" ".join(ws))
-                    rows.append((k, s, (h >> 64) - (1 << 63), (h & _LOW) - (1 << 63), len(ws), ds, sizes, word_digests(ws)))
-            yield pd.DataFrame(rows, columns=["key", "train", "h1", "h2", "n", "d", "w", "v"])
+                    c = [(d >> 8 << 8) | w for d, w in zip(*chunks(ws))]
+                    h = xxhash.xxh3_128_digest(" ".join(ws)) + (b"t" if s else b"e")
+                    rows.append((k, s, h, len(ws), c, word_digests(ws) if 5 <= len(ws) <= SHORT else None))
+            yield pd.DataFrame(rows, columns=["key", "train", "h", "n", "c", "v"])
 
     src = records.select(F.col(key).cast("bigint").alias("key"), side(F.col("split")).alias("train"), "text").where("train is not null and text is not null")
-    return src.mapInPandas(go, "key bigint, train boolean, h1 bigint, h2 bigint, n int, d array<bigint>, w array<smallint>, v array<int>")
-
-
-def offers(chunk_rows: DataFrame, share: float, hot_pairs: int) -> DataFrame:
-    """(train, id, n, k1, k2): the keys under which a record can be met. ``chunk_rows``
-    has id, d and p (side, length and chunk size in one number).
-
-    k2 is 0, or the second chunk where k1 is too frequent to be a key alone."""
-    on_train = F.shiftright("p", 48) == 1
-    df = chunk_rows.groupBy("d").agg(F.count_if(on_train).alias("dt"), F.count_if(~on_train).alias("de"))
+    return src.mapInPandas(go, "key bigint, train boolean, h binary, n int, c array<bigint>, v array<int>")
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, freq: str, total: int) -> DataFrame:
+    """Inner join where few keys may hold most rows of ``left``. ``right`` has the
+    key's rows in ``freq``; those with more than 1/WIDE of ``total`` rows (at most
+    WIDE of them) are joined by broadcast, every other brings few rows to its task."""
+    hot = F.broadcast(right.where(F.col(freq) > F.lit(total / WIDE)))
+    rest = left.join(hot.select(key), key, "left_anti").join(right, key)
+    return left.join(hot, key).unionByName(rest)
+
+
+def offers(cls: DataFrame, share: float, hot_pairs: int) -> DataFrame:
+    """(train, id, n, k1, k2): the keys under which a class of ``cls`` (id, train, n,
+    c) can be met. k2 is 0, or the second chunk where k1 is too frequent alone."""
+    # Side and id in one number, digest and size in another: these are the most rows moved.
+    who = F.shiftleft("id", 1).bitwiseOR(F.col("train").cast("long")).alias("who")
+    rows = cls.select(who, F.explode("c").alias("x")).select("who", F.shiftright("x", 8).alias("d"), F.col("x").bitwiseAND(F.lit(255)).cast("short").alias("w"))
+    on_train = F.col("who").bitwiseAND(F.lit(1)) == 1
+    df = rows.groupBy("d").agg(F.count_if(on_train).alias("dt"), F.count_if(~on_train).alias("de"))
     # Chunks seen on one side only cannot meet, but their words count in the length.
     both = cut(df.where("dt > 0 and de > 0").select("d", (F.col("dt") + F.col("de")).alias("freq"), (F.col("dt") * F.col("de") > hot_pairs).alias("hot")))
-    size = both.agg(F.count("*"), F.coalesce(F.sum("freq"), F.lit(0))).first()
-    if size[0] <= BROADCAST_ROWS:
-        met = chunk_rows.join(F.broadcast(both), "d")
-    else:
-        # A digest that many rows hold would make one join task hot. At most WIDE
-        # digests can each hold 1/WIDE of the rows, so these few are broadcast;
-        # every other digest brings few rows to its task.
-        wide = F.broadcast(both.where(F.col("freq") > F.lit(size[1] / WIDE)))
-        rest = chunk_rows.join(wide.select("d"), "d", "left_anti").join(both, "d")
-        met = chunk_rows.join(wide, "d").unionByName(rest)
-    low = F.lit((1 << 32) - 1)
-    met = met.select("id", on_train.alias("train"), F.shiftright("p", 16).bitwiseAND(low).cast("int").alias("n"), F.col("p").bitwiseAND(F.lit(65535)).cast("int").alias("w"), "freq", "d", "hot")
-    met = met.groupBy("train", "id", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "d", "w", "hot"))).alias("c"))
-    flat = met.select("train", "id", "n", F.col("c.d").alias("d"), F.col("c.w").alias("w"), F.col("c.hot").alias("hot"))
+    total = both.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
+    met = join_hot(rows, both, "d", "freq", total)
+    met = met.groupBy("who").agg(F.array_sort(F.collect_list(F.struct("freq", "d", "w", "hot"))).alias("c"))
+    met = met.select("who", F.col("c.d").alias("d"), F.col("c.w").alias("w"), F.col("c.hot").alias("hot")).join(cls.select(who, "n"), "who")
     # Records whose shared chunks cannot reach the fraction drop out in the JVM.
-    flat = flat.where(F.aggregate("w", F.lit(0), lambda a, x: a + x) >= F.lit(share) * F.col("n"))
+    flat = met.where(F.aggregate("w", F.lit(0), lambda a, x: a + x) >= F.lit(share) * F.col("n"))
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for s, i, n, ds, sizes, hots in zip(pdf["train"], pdf["id"], pdf["n"], pdf["d"], pdf["w"], pdf["hot"]):
-                need = share * n
+            for who, n, ds, sizes, hots in zip(pdf["who"], pdf["n"], pdf["d"], pdf["w"], pdf["hot"]):
+                s, i, need = bool(who & 1), who >> 1, share * n
                 ds, sizes, hots = ds.tolist(), sizes.tolist(), hots.tolist()
                 left = sum(sizes)
                 for j, d in enumerate(ds):
@@ -204,6 +204,9 @@ def offers(chunk_rows: DataFrame, share: float, hot_pairs: int) -> DataFrame:
                             rows.append((s, i, n, d, ds[m]))
                             after -= sizes[m]
                     left -= sizes[j]
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2"])
 
     return flat.mapInPandas(go, "train boolean, id bigint, n int, k1 bigint, k2 bigint")
@@ -218,8 +221,9 @@ def candidate_pairs(keys: DataFrame, cls: DataFrame, share: float) -> DataFrame:
     pairs = a.join(b, ["k1", "k2"]).where(near).select("a", "b", "na", "nb").distinct()
     # The whole overlap of the pair, from short forms of the digests (a chance
     # agreement only lets a pair through to the exact check).
-    short = F.transform("d", lambda x: (x % 32768).cast("short"))
-    sa = cls.where("train").select(F.col("id").alias("a"), short.alias("da"), F.col("w").alias("wa"))
+    short = F.transform("c", lambda x: (F.shiftright(x, 8) % 32768).cast("short"))
+    size = F.transform("c", lambda x: x.bitwiseAND(F.lit(255)).cast("short"))
+    sa = cls.where("train").select(F.col("id").alias("a"), short.alias("da"), size.alias("wa"))
     sb = cls.where("not train").select(F.col("id").alias("b"), short.alias("db"))
     shared = F.aggregate(F.zip_with("da", "wa", lambda d, w: F.when(F.array_contains("db", d), w.cast("int")).otherwise(0)), F.lit(0), lambda x, y: x + y)
     return pairs.join(sa, "a").join(sb, "b").where(shared >= F.lit(share) * F.greatest("na", "nb") - 1e-9).select("a", "b")
@@ -235,56 +239,45 @@ def word_places(cls: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out
 
 
-def word_offers(cls: DataFrame, hot_pairs: int) -> DataFrame:
-    """(train, id, n, k1, k2, s0 to s3) as :func:`offers`, from single words at the
-    threshold, with a sketch of 256 bits of the words.
+def word_offers(cls: DataFrame) -> DataFrame:
+    """(train, id, n, k): pairs of the rarest words of short texts, as one number.
 
     Any order of the words that is the same for all texts keeps the filter exact;
     words of a place seen on one side only cannot be shared. Texts of under five
     words are near-same only if they are equal, which their chunks show."""
     t, e = word_places(cls)
-    freq = np.where((t > 0) & (e > 0), t + e, 0)
-    table_ = cls.sparkSession.sparkContext.broadcast((freq, t * e > hot_pairs))
+    table_ = cls.sparkSession.sparkContext.broadcast(np.where((t > 0) & (e > 0), t + e, 0))
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        freq, hot = table_.value
+        freq = table_.value
         for pdf in batches:
             rows = []
             for s, i, n, v in zip(pdf["train"], pdf["id"], pdf["n"], pdf["v"]):
                 v = np.asarray(v, np.int64)
-                bits = np.zeros(256, np.uint8)
-                bits[(v >> 20) & 255] = 1
-                sketch = tuple(np.packbits(bits).view(np.int64).tolist())
                 f = freq[v & (PLACES - 1)]
                 spare = int(n * (1 - THRESHOLD) + 1e-9)  # words that a near-same text may lack
                 gone = int((f == 0).sum())
                 if gone > spare:
                     continue
                 v, f = v[f > 0], f[f > 0]
-                v = v[np.lexsort((v, f))][: spare - gone + 2]
-                hots, v = hot[v & (PLACES - 1)].tolist(), v.tolist()
-                for j in range(spare - gone + 1):
-                    if hots[j]:  # the second shared word is among the first spare + 2
-                        rows += [(s, i, n, v[j], x, *sketch) for x in v[j + 1 :]]
-                    else:
-                        rows.append((s, i, n, v[j], SINGLE, *sketch))
-                if len(rows) > 20_000:  # a batch of texts has millions of keys
-                    yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2", *SKETCH])
+                v = v[np.lexsort((v, f))][: spare - gone + 2].tolist()  # the first two shared words are here
+                rows += [(s, i, n, (x << 32) ^ (y & 0xFFFFFFFF)) for j, x in enumerate(v) for y in v[j + 1 :]]
+                if len(rows) > 20_000:  # a batch of texts has many keys
+                    yield pd.DataFrame(rows, columns=["train", "id", "n", "k"])
                     rows = []
-            yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2", *SKETCH])
+            yield pd.DataFrame(rows, columns=["train", "id", "n", "k"])
 
-    longs = ", ".join(f"{c} bigint" for c in SKETCH)
-    return cls.where("n >= 5").select("train", "id", "n", "v").mapInPandas(go, f"train boolean, id bigint, n int, k1 bigint, k2 bigint, {longs}")
+    return cls.where("v is not null").select("train", "id", "n", "v").mapInPandas(go, "train boolean, id bigint, n int, k bigint")
 
 
-def word_pairs(keys: DataFrame) -> DataFrame:
-    """Distinct (a, b) that meet under a word key. Words of one text only are at most
-    na + nb less twice the words shared, and no fewer than the bits that differ."""
-    one = lambda cond, i: keys.where(cond).select("k1", "k2", F.col("id").alias(i), F.col("n").alias(f"n{i}"), *[F.col(c).alias(f"{i}{c}") for c in SKETCH])
+def word_pairs(keys: DataFrame, cls: DataFrame) -> DataFrame:
+    """Distinct (a, b) that meet under a pair of words and hold 80 % of the longer
+    one's words in the other."""
+    one = lambda cond, i: keys.where(cond).select("k", F.col("id").alias(i), F.col("n").alias(f"n{i}"))
     need = F.ceil(F.lit(THRESHOLD) * F.greatest("na", "nb") - 1e-9)
-    differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in SKETCH), F.lit(0))
-    met = one("train", "a").join(one("not train", "b"), ["k1", "k2"])
-    return met.where((F.least("na", "nb") >= need) & (differ <= F.col("na") + F.col("nb") - 2 * need)).select("a", "b").distinct()
+    met = one("train", "a").join(one("not train", "b"), "k").where(F.least("na", "nb") >= need).select("a", "b", need.alias("need")).distinct()
+    w = lambda cond, i: cls.where(cond).where("v is not null").select(F.col("id").alias(i), F.col("v").alias(f"v{i}"))
+    return met.join(w("train", "a"), "a").join(w("not train", "b"), "b").where(F.size(F.array_intersect("va", "vb")) >= F.col("need")).select("a", "b")
 
 
 def overlaps(records: DataFrame, key: str, share: float = SHARE, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame, DataFrame]:
@@ -292,15 +285,15 @@ def overlaps(records: DataFrame, key: str, share: float = SHARE, hot_pairs: int
     prepared = cut(prepare(records, key))
     # A class is represented by its smallest key. The other members are looked up
     # by key, so that the chunks of a record are not moved to find its class.
-    least = prepared.groupBy("train", "h1", "h2").agg(F.min("key").alias("id"))
-    member = cut(prepared.select("train", "h1", "h2", "key").join(least, ["train", "h1", "h2"]).select("train", "id", "key"))
-    copies = member.where("id != key").select("key")
-    cls = prepared.join(copies, "key", "left_anti").select("train", F.col("key").alias("id"), "n", "d", "w", "v")
-    # Side, length and chunk size travel as one number: these are the most rows moved.
-    head = F.shiftleft(F.col("train").cast("long"), 48).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 16))
-    rows = cls.select("id", head.alias("h"), F.explode(F.arrays_zip("d", "w")).alias("c")).select("id", "c.d", F.col("h").bitwiseOR(F.col("c.w").cast("long")).alias("p"))
-    by_chunk = candidate_pairs(offers(rows, share, hot_pairs), cls, share)
-    by_word = word_pairs(word_offers(cls, hot_pairs))
+    least = cut(prepared.groupBy("h").agg(F.min("key").alias("id"), F.count("*").alias("size")).where("size > 1"))
+    total = least.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    copies = cut(join_hot(prepared.select("train", "h", "key"), least, "h", "size", total).select("train", "id", "key").where("id != key"))
+    cls = prepared.join(copies.select("key"), "key", "left_anti").select("train", F.col("key").alias("id"), "n", "c", "v")
+    cls = cut(cls)
+    discard(prepared)
+    member = cls.select("train", "id", F.col("id").alias("key")).unionByName(copies)
+    by_chunk = candidate_pairs(offers(cls, share, hot_pairs), cls, share)
+    by_word = word_pairs(word_offers(cls), cls)
     pairs = cut(by_chunk.unionByName(by_word).distinct())
     text = records.select(F.col(key).cast("bigint").alias("id"), "text", side(F.col("split")).alias("train"))
     ta = text.where("train").select(F.col("id").alias("a"), F.col("text").alias("xa"))
@@ -323,10 +316,20 @@ def overlaps(records: DataFrame, key: str, share: float = SHARE, hot_pairs: int
 
 
 def expanded(pairs: DataFrame, member: DataFrame) -> DataFrame:
-    """Pairs of records, from pairs of classes and their members."""
-    ma = member.where("train").select(F.col("id").alias("a"), F.col("key").alias("ka"))
-    mb = member.where("not train").select(F.col("id").alias("b"), F.col("key").alias("kb"))
-    return pairs.join(ma, "a").join(mb, "b").select(F.least("ka", "kb").alias("core_row_id_a"), F.greatest("ka", "kb").alias("core_row_id_b"), "overlap")
+    """Pairs of records, from pairs of classes and their members.
+
+    A class of many copies is expanded in blocks, each by a task of its own."""
+    sizes = member.groupBy("train", "id").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    out = pairs
+    for cond, i in (("train", "a"), ("not train", "b")):
+        n = sizes.where(cond).select(F.col("id").alias(i), F.col("blocks").alias(f"blocks_{i}"))
+        out = out.join(n, i).withColumn(f"at_{i}", F.explode(F.sequence(F.lit(0), F.col(f"blocks_{i}") - 1)))
+        at = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias(f"at_{i}")
+        # The classes with more than one block hold more than BLOCK rows each.
+        placed = member.where(cond).join(F.broadcast(sizes.where(cond).where("blocks > 1").select("id", "blocks")), "id", "left")
+        m = placed.select(F.col("id").alias(i), F.when(F.col("blocks").isNotNull(), at).otherwise(0).alias(f"at_{i}"), F.col("key").alias(f"k{i}"))
+        out = out.join(m, [i, f"at_{i}"]).drop(f"at_{i}", f"blocks_{i}")
+    return out.select(F.least("ka", "kb").alias("core_row_id_a"), F.greatest("ka", "kb").alias("core_row_id_b"), "overlap")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
