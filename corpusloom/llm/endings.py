@@ -1,10 +1,16 @@
 """How texts end: shared by the detectors of truncated texts (problems 5, 10).
 
-The last words of a text are looked up among the same words elsewhere. Where
-they are mostly a strict prefix of longer copies, the text stops inside a
-sentence; where sentences or texts often stop there too, it is complete. The
-look-up is a self-join on hashed phrases of one to three words, with names,
-numbers and codes read as classes and counts taken over all texts.
+Three looks at each distinct text, all over whole tables:
+
+* **Prefix self-join.** The values are the texts and their sentences, with names,
+  numbers and codes read as classes, stray marks of the break removed and the last
+  word as it stands. They are sorted; an unfinished last sentence (or text) that is
+  a strict prefix of a longer value elsewhere, and never a whole one, was cut off.
+* **Length spikes** of a source, in characters or bytes (texts of one
+  template agree in words, so counts of words would accuse them).
+* **Phrase counts**, where no longer copy exists: the last two or three words are
+  looked up among the same words of all texts; where they hardly ever stop, the text
+  was cut.
 """
 
 from __future__ import annotations
@@ -19,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.overlap import join_hot
 from corpusloom.session import cut
 
 TOKEN = regex.compile(r"\n+|\[URL\]|(?:[$€£]|US\$)?\d[\d.,:]*\d%?|(?:[$€£]|US\$)?\d%?|[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*|[^\s\p{L}\p{M}\p{N}]")
 TERMINAL = frozenset(".!?。！？")
 CLOSERS = "\"'”’»)]*_"
-#: Key levels from the least to the most specific.
-LEVELS = 6
+#: Key levels from the least to the most specific: the last word; two words and
+#: three words, with the last as a shape; three words.
+LEVELS = 4
 #: Titles and the like whose full stop does not end a sentence (fixed values).
 ABBREVIATED = frozenset("mr mrs ms dr prof st no nr vs etc".split()) - {"etc"}
 
@@ -34,10 +42,7 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text)
 
 
-@lru_cache(maxsize=1 << 17)
-def mask(tok: str, starts: bool) -> str:
-    """Names, numbers and codes as classes; other words in lower case. A capital
-    tells a name only where no sentence starts."""
+def _mask(tok: str, starts: bool) -> str:
     c = tok[0]
     if c == "\n":
         return "\n"
@@ -48,9 +53,17 @@ def mask(tok: str, starts: bool) -> str:
     return tok
 
 
-@lru_cache(maxsize=1 << 17)
+_mask_of_short = lru_cache(maxsize=1 << 17)(_mask)
+
+
+def mask(tok: str, starts: bool) -> str:
+    """Names, numbers and codes as classes; other words in lower case. A capital
+    tells a name only where no sentence starts."""
+    return _mask_of_short(tok, starts) if len(tok) < 40 else _mask(tok, starts)
+
+
 def shape(tok: str, m: str) -> str:
-    if tok[:1].isalpha() and m[0] != "#":
+    if m[0] != "#" and tok[:1].isalpha():
         return "w" if tok[:1].islower() else "W"
     return m
 
@@ -59,19 +72,14 @@ def masked(toks: list[str]) -> list[str]:
     return [mask(t, i == 0 or toks[i - 1] in TERMINAL) for i, t in enumerate(toks)]
 
 
-def phrases_at(group: str, m: list[str], sh: list[str], i: int) -> list[tuple]:
-    """Phrases that end at token i, one per level."""
-    a = m[i - 2] if i > 1 else "^"
-    b = m[i - 1] if i else "^"
-    c, s = m[i], sh[i]
-    t = sh[i - 1] if i else "^"
-    return [(group, 0, c), (group, 1, b, s), (group, 2, a, t, s), (group, 3, b, c), (group, 4, a, b, s), (group, 5, a, b, c)]
+def phrases_of(group: str, a: str, b: str, c: str, s: str) -> list[tuple]:
+    """Phrases that end in c (of shape s) after a and b, one per level."""
+    return [(group, 0, c), (group, 1, b, s), (group, 2, a, b, s), (group, 3, a, b, c)]
 
 
 def keys_at(group: str, m: list[str], toks: list[str], i: int) -> list[int]:
-    """The same, hashed."""
-    sh = [shape(t, x) for t, x in zip(toks, m)]
-    return [_h(*p) for p in phrases_at(group, m, sh, i)]
+    """The same at token i, hashed."""
+    return [_h(*p) for p in phrases_of(group, m[i - 2] if i > 1 else "^", m[i - 1] if i else "^", m[i], shape(toks[i], m[i]))]
 
 
 def _h(*parts: object) -> int:
@@ -86,38 +94,51 @@ def _body(c: str) -> Column:
     return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+$", "")
 
 
-#: Sightings, sentence ends and text ends of a phrase in one number.
-_BREAK, _END = 1 << 21, 1 << 42
+#: Sightings, sentence ends and text ends of a phrase in one unbounded number.
+_BREAK, _END = 1 << 64, 1 << 128
 
 
 def observe(text: str, group: str, seen: dict[tuple, int]) -> None:
-    """Adds every phrase of the text with how it goes on."""
+    """Adds every three words of the text, with how they go on. The less specific
+    phrases are sums over these."""
     toks = tokens(body(text))
-    m = masked(toks)
-    sh = [shape(t, x) for t, x in zip(toks, m)]
-    n = len(toks)
     get = seen.get
-    for i in range(n):
-        if i + 1 == n:
-            add = 1 + _END
+    a = b = "^"
+    starts = True
+    for t, nxt in zip(toks, [*toks[1:], None]):
+        c = mask(t, starts)
+        starts = t in TERMINAL
+        key = (group, a, b, c, shape(t, c))
+        if nxt is None:
+            seen[key] = get(key, 0) + 1 + _END
+        elif nxt in TERMINAL or nxt[0] in "\n&":
+            seen[key] = get(key, 0) + 1 + _BREAK
         else:
-            nxt = toks[i + 1]
-            add = 1 + _BREAK if nxt in TERMINAL or nxt[0] in "\n&" else 1
-        for p in phrases_at(group, m, sh, i):
-            seen[p] = get(p, 0) + add
+            seen[key] = get(key, 0) + 1
+        a, b = b, c
+
+
+def tail(text: str, least: int = 5) -> list[str]:
+    """Tokens of the text from a blank on, at least ``least`` if there are so many."""
+    n, size = len(text), 200
+    while n > size:
+        at = max(text.rfind(" ", 0, n - size), text.rfind("\n", 0, n - size))
+        if at < 0:
+            break
+        toks = tokens(text[at + 1 :])
+        if len(toks) >= least:
+            return toks
+        size *= 4
+    return tokens(text)
 
 
 def final(text: str, group: str) -> tuple[list[int], list[int], str, str]:
     """(keys at the last token, keys before a final full stop, last word, last token)."""
-    t = body(text)
-    if len(t) > 400:  # the last words do not depend on what is far before them
-        at = max(t.rfind(" ", 0, len(t) - 200), t.rfind("\n", 0, len(t) - 200))
-        t = t[at + 1 :] if at > 0 else t
-    toks = tokens(t)
+    toks = tail(body(text))
     if not toks:
         return [], [], "", ""
     m = masked(toks)
-    before = keys_at(group, m, toks, len(toks) - 2) if toks[-1] in TERMINAL and len(toks) > 1 else []
+    before = keys_at(group, m, toks, len(toks) - 2)[-1:] if toks[-1] in TERMINAL and len(toks) > 1 else []
     last = toks[-1] if toks[-1][0].isalpha() else ""
     return keys_at(group, m, toks, len(toks) - 1), before, last, toks[-1]
 
@@ -128,12 +149,16 @@ def phrase_counts(texts: DataFrame) -> DataFrame:
     """(key, n, breaks, ends) over all texts; summed before the shuffle."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low = _BREAK - 1
         for pdf in batches:
             seen: dict[tuple, int] = {}
             for t, g in zip(pdf["text"], pdf["grp"]):
                 observe(t, g, seen)
-            low = _BREAK - 1
-            yield pd.DataFrame([(_h(*p), v & low, (v >> 21) & low, v >> 42) for p, v in seen.items()], columns=["key", "n", "breaks", "ends"])
+            sums: dict[tuple, int] = {}
+            for key, v in seen.items():
+                for p in phrases_of(*key):
+                    sums[p] = sums.get(p, 0) + v
+            yield pd.DataFrame([(_h(*p), v & low, (v >> 64) & low, v >> 128) for p, v in sums.items()], columns=["key", "n", "breaks", "ends"])
 
     got = texts.where("text is not null").select("text", "grp").mapInPandas(go, "key bigint, n bigint, breaks bigint, ends bigint")
     return got.groupBy("key").agg(F.sum("n").alias("n"), F.sum("breaks").alias("breaks"), F.sum("ends").alias("ends"))
@@ -142,25 +167,23 @@ def phrase_counts(texts: DataFrame) -> DataFrame:
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n): whole words, which something or a final full stop follows."""
     word = F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)(?=[^\p{L}\p{M}\s]*(?:\s+\S|[.!?。！？][^\p{L}\p{M}\s]*\s*$))"), F.lit(1))).alias("word")
-    pairs = texts.select(word).groupBy("word").agg(F.count("*").alias("n"))
-    return pairs
+    return texts.select(word).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def prefix_counts(words: DataFrame) -> DataFrame:
-    """(word, longer, best): words that go on after this prefix: how often in all,
-    and how often the most frequent one. Made from the vocabulary, not the texts."""
-    cuts = F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("k")
-    pre = words.where("length(word) between 2 and 40").select("word", "n", cuts).select(F.expr("substring(word, 1, k)").alias("word"), "n")
-    return pre.groupBy("word").agg(F.sum("n").alias("longer"), F.max("n").alias("best"))
+#: Letters up to which every beginning of a word is counted; longer ones are met by
+#: their first LONG letters and compared.
+LONG = 24
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, wide: int = 2_000) -> DataFrame:
-    """Left join where few keys may hold most rows of ``left``: keys with more than
-    1/wide of all rows (at most ``wide`` of them) are joined by broadcast."""
-    total = left.count()
-    hot = F.broadcast(left.groupBy(key).count().where(F.col("count") > total / wide).select(key))
-    hot_right = F.broadcast(right.join(hot, key, "left_semi"))
-    return left.join(hot, key, "left_semi").join(hot_right, key, "left").unionByName(left.join(hot, key, "left_anti").join(right, key, "left"))
+def prefix_counts(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, longer, best) of the ``asked`` words: how often words that go on after
+    them are seen in all, and the most frequent one. From the vocabulary, not the texts."""
+    cuts = F.explode(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(LONG)))).alias("k")
+    pre = words.where("length(word) > 1").select("word", "n", cuts).select(F.expr("substring(word, 1, k)").alias("word"), "n")
+    head = F.substring("word", 1, LONG).alias("head")
+    far = words.where(F.length("word") > LONG).select(head, F.col("word").alias("w"), "n").join(asked.where(F.length("word") > LONG).select(head, "word"), "head")
+    far = far.where(F.col("w").startswith(F.col("word")) & (F.col("w") != F.col("word"))).select("word", "n")
+    return pre.unionByName(far).groupBy("word").agg(F.sum("n").alias("longer"), F.max("n").alias("best")).join(asked.select("word"), "word", "left_semi")
 
 
 # ---- sorted neighbours ---------------------------------------------------------------
@@ -197,77 +220,135 @@ def shortened(texts: DataFrame) -> DataFrame:
     return out.where("kind = 'hit'").select("text").unionByName(seam.select("text"))
 
 
+def values(text: str) -> tuple[list[str], str | None, str | None]:
+    """(whole sentences, unfinished last sentence, unfinished text), masked. What a
+    stray mark of the break follows is unfinished; None if nothing is."""
+    t = body(text)
+    stray = STRAY.search(t)
+    toks = tokens(body(t[: stray.start()]) if stray else t)
+    m = masked(toks)
+    out, start = [], 0
+    for i, tok in enumerate(toks):
+        if tok in TERMINAL or tok[0] == "\n":
+            if i > start:
+                out.append(" ".join(m[start:i]))
+            start = i + 1
+    if start == len(toks) or m[-1][0] == "#" or m[-1] == "[URL]":  # numbers, codes and links are whole
+        return out, None, None
+    last = "X" if len(toks[-1]) == 1 and toks[-1].isupper() and len(toks) - start > 1 else m[-1]
+    return out, " ".join([*m[start:-1], last]), "^ " + " ".join([*m[:-1], last])
+
+
+def longer_copies(bodies: DataFrame) -> DataFrame:
+    """(h): digests of unfinished sentences and texts that are a strict prefix of a
+    longer value and are no whole sentence anywhere."""
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen: dict[str, bool] = {}
+            for t in pdf["text"]:
+                whole, open_, text = values(t)
+                for x in whole:
+                    seen[x] = True
+                for x in (open_, text):
+                    if x:
+                        seen.setdefault(x, False)
+            yield pd.DataFrame(list(seen.items()), columns=["text", "whole"])
+
+    all_ = cut(bodies.select("text").mapInPandas(go, "text string, whole boolean").groupBy("text").agg(F.max("whole").alias("whole")))
+    hits = shortened(all_).join(all_.where("not whole").select("text"), "text", "left_semi")
+    return hits.select(F.xxhash64("text").alias("h"))
+
+
 def length_spikes(texts: DataFrame, by: str) -> DataFrame:
     """(by, unit, len): lengths in characters or bytes far more frequent than the
     lengths around them; counted over distinct texts. One row a source and length."""
-    once = texts.where("text is not null").select(by, F.length("text").alias("_c"), F.octet_length("text").alias("_b"), F.xxhash64("text").alias("_h")).distinct()
-    both = F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("_c").alias("len")), F.struct(F.lit("b").alias("unit"), F.col("_b").alias("len")))).alias("x")
-    hist = once.select(by, both).groupBy(by, "x.unit", "x.len").agg(F.count("*").alias("n"))
+    once = texts.where("text is not null").select(by, *_lengths(), F.xxhash64("text").alias("_h")).distinct()
+    unit = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(f"_{u}").alias("len")) for u in "cb"))).alias("x")
+    hist = once.select(by, unit).groupBy(by, "x.unit", "x.len").agg(F.count("*").alias("n"))
     near = Window.partitionBy(by, "unit").orderBy("len").rangeBetween(-5, 5)
     around = (F.sum("n").over(near) - F.col("n")) / F.lit(10.0)
     return hist.withColumn("around", around).where((F.col("n") >= 8) & (F.col("n") > 5 * (F.col("around") + 1))).select(by, "unit", "len")
 
 
-def with_evidence(texts: DataFrame, key: str, by: str) -> DataFrame:
+def _lengths() -> list[Column]:
+    return [F.length("text").alias("_c"), F.octet_length("text").alias("_b")]
+
+
+def with_evidence(texts: DataFrame, key: str, by: str, prefixes: bool = True) -> DataFrame:
     """Distinct ``texts`` (key, text, grp, by) with what the corpus says about each
-    ending: counts of its last phrases, of its last word, length spike, longer copy."""
+    ending: counts of its last phrases and word, length spike, longer copy."""
+    kind = texts.schema[key].dataType.simpleString()
+    some = texts.where("text is not null")
 
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for i, t, g in zip(pdf[key], pdf["text"], pdf["grp"]):
                 keys, before, last, _ = final(t, g)
-                out += [(i, "at", n, k) for n, k in enumerate(keys)] + [(i, "before", n, k) for n, k in enumerate(before) if n in (3, 5)]
-            yield pd.DataFrame(out, columns=[key, "place", "level", "key"])
+                _, open_, whole = values(t) if prefixes else (None, None, None)
+                out.append((i, keys + before, last, open_, whole))
+            yield pd.DataFrame(out, columns=[key, "keys", "word", "open", "whole"])
 
-    @F.pandas_udf("string")
-    def last_word(s: pd.Series, g: pd.Series) -> pd.Series:
-        return pd.Series([final(t, x)[2] for t, x in zip(s, g)], dtype=object)
-
-    kind = texts.schema[key].dataType.simpleString()
-    some = texts.where("text is not null")
+    facts = some.select(key, "text", "grp").mapInPandas(look, f"{key} {kind}, keys array<bigint>, word string, open string, whole string")
+    facts = cut(facts.withColumns({"open": F.xxhash64("open"), "whole": F.xxhash64("whole")}))
     # One sighting a class: texts that differ in source or outer blanks only are copies too.
     bodies = cut(some.select(_body("text").alias("text"), "grp").distinct())
     plain = bodies.select("text").distinct()
-    asked = some.select(key, "text", "grp").mapInPandas(ends, f"{key} {kind}, place string, level int, key bigint")
-    # Both sides are read several times below. A phrase seen once is the text's own.
-    asked, counts = cut(asked), cut(phrase_counts(bodies).where("n > 1"))
-    found = join_hot(asked, counts, "key").where("n is not null")
-    phrases = found.groupBy(key).agg(F.collect_list(F.struct("place", "level", "n", "breaks", "ends")).alias("phrases"))
+
+    asked = facts.select(key, F.posexplode("keys").alias("place", "key"))
+    want = asked.groupBy("key").agg(F.count("*").alias("freq"))
+    # A phrase seen once is the text's own.
+    known = cut(want.join(phrase_counts(bodies).where("n > 1"), "key"))
+    found = join_hot(asked, known, "key", "freq", _sum(known, "freq"))
+    phrases = found.groupBy(key).agg(F.collect_list(F.struct("place", "n", "breaks", "ends")).alias("phrases"))
+
+    lasts = facts.where("word != ''").select(key, "word")
+    ended = cut(lasts.groupBy("word").agg(F.count("*").alias("freq")))
     vocab = cut(word_counts(plain))
-    words = vocab.join(prefix_counts(vocab), "word", "full")
-    lasts = cut(some.select(key, last_word("text", "grp").alias("word")).where("word != ''"))
-    known = cut(words.select("word", F.coalesce("n", F.lit(0)).alias("n_word"), "longer", "best").join(lasts.select("word").distinct(), "word", "left_semi"))
-    word = join_hot(lasts, known, "word").drop("word")
+    about = cut(ended.join(vocab.withColumnRenamed("n", "n_word"), "word", "left").join(prefix_counts(vocab, ended), "word", "left"))
+    word = join_hot(lasts, about, "word", "freq", _sum(about, "freq")).select(key, "n_word", "longer", "best")
+
     spikes = F.broadcast(length_spikes(some, by))  # at most 1/8 as many rows as a source has lengths
-    spike = lambda unit, length: some.select(key, by, length.alias("len")).join(spikes.where(F.col("unit") == unit).drop("unit"), [by, "len"], "left_semi").select(key)
-    marked = spike("c", F.length("text")).unionByName(spike("b", F.octet_length("text"))).distinct().withColumn("spike", F.lit(True))
-    copies = shortened(plain).withColumn("copy", F.lit(True))
-    copied = some.select(key, _body("text").alias("text")).join(copies, "text", "left_semi").select(key).withColumn("copy", F.lit(True))
-    return texts.join(phrases, key, "left").join(word, key, "left").join(marked, key, "left").join(copied, key, "left")
+    sized = some.select(key, by, *_lengths())
+    marked = None
+    for u in "cb":
+        hit = sized.select(key, by, F.col(f"_{u}").alias("len")).join(spikes.where(F.col("unit") == u).drop("unit"), [by, "len"], "left_semi").select(key)
+        marked = hit if marked is None else marked.unionByName(hit)
+    out = texts.join(phrases, key, "left").join(word, key, "left").join(marked.distinct().withColumn("spike", F.lit(True)), key, "left")
+    if not prefixes:
+        return out.withColumn("copy", F.lit(False))
+    ends = facts.select(key, F.explode(F.array("open", "whole")).alias("h"))
+    freq = ends.groupBy("h").agg(F.count("*").alias("freq"))
+    longer = cut(freq.join(longer_copies(bodies), "h", "left_semi"))
+    copied = join_hot(ends, longer, "h", "freq", _sum(longer, "freq")).select(key).distinct().withColumn("copy", F.lit(True))
+    return out.join(copied, key, "left")
+
+
+def _sum(df: DataFrame, c: str) -> int:
+    return df.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0]
 
 
 def judge(pdf: pd.DataFrame) -> list[bool]:
     """Whether each row of :func:`with_evidence` is unfinished."""
     out = []
-    for t, g, phrases, n, longer, best, spike, copy in zip(pdf["text"], pdf["grp"], pdf["phrases"], pdf["n_word"], pdf["longer"], pdf["best"], pdf["spike"], pdf["copy"]):
+    num = lambda x: 0 if x is None or x != x else int(x)
+    for t, g, phrases, n, longer, best, spike, copy in zip(*(pdf[c] for c in ("text", "grp", "phrases", "n_word", "longer", "best", "spike", "copy"))):
         if t is None:
             out.append(False)
             continue
-        at: list = [None] * LEVELS
-        before: list = [None] * LEVELS
+        at: list = [None] * (LEVELS + 1)  # the last place is the phrase before a final full stop
         for p in phrases if phrases is not None else ():
-            (at if p["place"] == "at" else before)[p["level"]] = (p["n"], p["breaks"], p["ends"])
-        num = lambda x: 0 if x is None or x != x else int(x)
-        cut_copy = copy is True and body(t)[-1:] not in TERMINAL
-        out.append(cut_copy or unfinished(t, g, at, before, num(n), num(longer), num(best), spike is True))
+            at[p["place"]] = (p["n"], p["breaks"], p["ends"])
+        out.append(unfinished(t, g, at[:LEVELS], at[LEVELS:], num(n), num(longer), num(best), spike is True, copy is True))
     return out
 
 
-def with_verdict(texts: DataFrame, by: str) -> DataFrame:
+def with_verdict(texts: DataFrame, by: str, prefixes: bool = True) -> DataFrame:
     """``texts`` (text, grp, by and others) with ``unfinished``; null texts are not.
 
-    Each distinct text of a source and group is judged once."""
+    Each distinct text of a source and group is judged once. ``prefixes`` switches
+    the prefix self-join off, to see what it decides."""
     ident = F.xxhash64("text", "grp", by)
     once = cut(texts.where("text is not null").select("text", "grp", by).distinct().withColumn("_id", ident))
 
@@ -275,7 +356,7 @@ def with_verdict(texts: DataFrame, by: str) -> DataFrame:
         for pdf in batches:
             yield pdf.loc[judge(pdf), ["_id"]]
 
-    cases = with_evidence(once, "_id", by).mapInPandas(go, "_id bigint").withColumn("unfinished", F.lit(True))
+    cases = with_evidence(once, "_id", by, prefixes).mapInPandas(go, "_id bigint").withColumn("unfinished", F.lit(True))
     rows = texts.withColumn("_id", F.when(F.col("text").isNotNull(), ident)).join(cases, "_id", "left")
     return rows.withColumn("unfinished", F.coalesce("unfinished", F.lit(False))).drop("_id")
 
@@ -286,23 +367,30 @@ def with_verdict(texts: DataFrame, by: str) -> DataFrame:
 BACKOFF = 10.0
 #: Share of stops below which a phrase is one that goes on.
 STOPS = {"e": 0.05, "s": 0.04}  # mail and other texts; short messages
+#: The same for the last word alone, with one stop more than was seen.
+NEVER_STOPS = 0.004
+#: The same where a longer copy of the last sentence was found.
+STOPS_BESIDE_COPY = 0.1
 #: Sightings needed to hold a final full stop for a mere mark (of a number, say).
 ENOUGH = 24
 
 
 def stop_share(counts: list[tuple[int, int, int] | None]) -> float:
     """Share of the sightings of the last phrase elsewhere that stop there, from
-    the least to the most specific phrase; the text itself is left out."""
+    the least to the most specific phrase; the text itself is left out. The word
+    alone only tells that a text goes on, not that it stops."""
     share = 0.1
-    for c in counts:
+    for level, c in enumerate(counts):
         if c is not None and c[0] > 1:
             share = (c[1] + max(0, c[2] - 1) + BACKOFF * share) / (c[0] - 1 + BACKOFF)
+        if level == 0:
+            share = min(share, 0.1)
     return share
 
 
 def before_stop_share(counts: list[tuple[int, int, int] | None]) -> tuple[float, int]:
     """As above for the words before a final full stop; only the exact phrases."""
-    for c in (counts[5:6] + counts[3:4]) if counts else []:
+    for c in reversed(counts):
         if c is not None and c[0] - 1 >= ENOUGH:
             return (max(0, c[1] - 1) + c[2]) / (c[0] - 1), c[0] - 1
     return 0.5, 0
@@ -311,7 +399,7 @@ def before_stop_share(counts: list[tuple[int, int, int] | None]) -> tuple[float,
 STRAY = regex.compile(r"(?:=|…|\.\.\.|�+|\[\.\.\.\]|\[…\]|<[a-z/]*|&[a-z#0-9]*|\\|\[truncated\]|\[cut\]|--|[-–—/])\s*$")
 
 
-def unfinished(text: str, group: str, counts: list, before: list, n_word: int, longer: int, best: int, spike: bool) -> bool:
+def unfinished(text: str, group: str, counts: list, before: list, n_word: int, longer: int, best: int, spike: bool, copy: bool = False) -> bool:
     """Whether the text stops inside a word or sentence."""
     keys, _, last, tok = final(text, group)
     if not keys:
@@ -336,7 +424,9 @@ def unfinished(text: str, group: str, counts: list, before: list, n_word: int, l
         return share < STOPS[group] or t[-1] in ",;("
     if tok[0].isalnum() or tok == "[URL]":
         share = stop_share(counts)
-        if spike:
+        if spike or (copy and share < STOPS_BESIDE_COPY):
+            return True
+        if last[:1].islower() and counts[0] and (counts[0][1] + counts[0][2] + 1) / (counts[0][0] + 1) < NEVER_STOPS:
             return True
         # A word that other texts end on is whole, too; names share one class and say nothing.
         whole = n_word + (max(0, counts[0][2] - 1) if last[:1].islower() and counts[0] else 0)

@@ -1,14 +1,17 @@
 """Problem 7: visually identical text with different characters.
 
-Distinct word runs that hold an unusual character are matched against tries of
-the corpus's own plain vocabulary by a weighted edit automaton in which a
-look-alike letter, a styled form, a split accent and an ignorable character
-cost nothing; the most frequent zero-cost word is the canonical spelling. Runs
-that no vocabulary word matches are normalised by table.
-
-Scale: the vocabulary is pre-aggregated, reduced to words sharing a skeleton
-with an unusual run, and bucketed by skeleton hash, so each task builds the
-tries of its buckets only; nothing goes to the driver.
+Word runs that hold an unusual character are matched against tries of the
+corpus's own plain vocabulary by a weighted edit automaton in which a look-alike
+letter, a styled form, a split accent and an ignorable character cost nothing,
+a second reading of a letter costs a little and an edit costs one. The cheapest,
+then the most frequent word is the canonical spelling. Runs that no vocabulary
+word matches within :data:`LIMIT` are normalised by table.
+
+Scale: words and runs meet under a skeleton that folds every group of readings
+to one letter, so no reading is lost. The vocabulary is pre-aggregated and
+reduced to the skeletons of unusual runs; each skeleton has a trie of its own,
+built where its runs are, and nothing goes to the driver. A run that very many
+rows hold is joined by broadcast (few runs can be that frequent).
 
 Defined results: a null text stays null and is no case; an empty text is
 unchanged; repeated rows are records of their own; columns beyond the named
@@ -25,12 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textform as tf
-from corpusloom.session import spread, table
+from corpusloom.llm.overlap import join_hot
+from corpusloom.session import cut, spread, table
 
 #: JVM test for text that may need work.
 UNUSUAL = r"[^\t\n\r\x20-\x7e]"
-#: Characters that never make a text a case on their own are cheap to drop first.
-BUCKETS = 64
+#: Greatest cost of a match: second readings, but no edit.
+LIMIT = 0.99
+#: Cost of a letter's second reading.
+SECOND = 0.25
 
 
 # ---- weighted edit automaton over a trie ------------------------------------
@@ -49,7 +55,7 @@ class Trie:
             node = node.setdefault(c, {})
         node[""] = node.get("", 0) + count
 
-    def match(self, run: str, limit: float = 0.0) -> list[tuple[float, int, str]]:
+    def match(self, run: str, limit: float = LIMIT) -> list[tuple[float, int, str]]:
         """(cost, -count, word) of every vocabulary word within ``limit``."""
         units = _units(run)
         live = [(self.root, "", 0.0)]
@@ -76,8 +82,11 @@ class Trie:
         return sorted((cost, -node[""], word) for node, word, cost in live if "" in node)
 
 
-#: Further Latin readings of a look-alike letter.
-ALSO = {"і": "l", "І": "l", "ι": "l", "Ι": "l", "υ": "v", "к": "k", "в": "v", "н": "n", "п": "p", "ρ": "r", "χ": "k", "η": "h", "ν": "n", "ω": "o", "г": "g", "и": "i", "т": "m"}
+#: Second Latin readings of look-alike letters, by their shape.
+ALSO = {"і": "l", "І": "l", "ι": "l", "Ι": "l", "Ӏ": "l", "υ": "v", "т": "m"}
+#: Latin letters and digits that are readings of one shape, and the
+#: letter that stands for the group in a skeleton.
+FOLD = {"i": "l", "I": "l", "1": "l", "u": "v", "m": "t"}
 
 
 def _units(run: str) -> list[dict[str, float]]:
@@ -92,84 +101,84 @@ def _units(run: str) -> list[dict[str, float]]:
         else:
             plain = tf.styled(c) or c
             if latin and plain in tf.LOOKALIKE:
-                units.append({tf.LOOKALIKE[plain]: 0.0} | ({ALSO[plain]: 0.25} if plain in ALSO else {}))
+                units.append({tf.LOOKALIKE[plain]: 0.0} | ({ALSO[plain]: SECOND} if plain in ALSO else {}))
             else:
                 units.append({plain: 0.0})
     return units
 
 
 def skeleton(word: str) -> str:
-    """Key under which all zero-cost matches of a run meet."""
-    return tf.plain_run(word)
+    """Key under which a run and all its readings meet."""
+    return tf.plain_run(word).translate(_FOLD)
 
 
-# ---- distributed part --------------------------------------------------------
+_FOLD = str.maketrans(FOLD)
 
-def unusual_runs(records: DataFrame, text: str) -> DataFrame:
-    """Distinct (run, key) of the runs that hold an unusual character."""
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            seen = set()
-            for t in pdf.iloc[:, 0]:
-                for kind, piece in tf.pieces(t):
-                    if kind == "run" and not piece.isascii() and tf.plain_run(piece) != piece:
-                        seen.add(piece)
-            yield pd.DataFrame([(x, skeleton(x)) for x in seen], columns=["run", "key"])
+# ---- distributed part --------------------------------------------------------
 
-    src = records.where(F.col(text).rlike(UNUSUAL)).select(F.col(text))
-    return src.mapInPandas(go, "run string, key string").distinct()
+def unusual(piece: str) -> bool:
+    return not piece.isascii() and tf.plain_run(piece) != piece
 
 
 def vocabulary(records: DataFrame, text: str) -> DataFrame:
-    """(word, n) of all plain word runs of all texts, counted in the JVM."""
+    """(word, n, key) of all word runs of all texts, counted in the JVM."""
     word = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("word")
-    return records.select(word).groupBy("word").agg(F.count("*").alias("n"))
+    return records.select(word).groupBy("word").agg(F.count("*").alias("n")).withColumn("key", F.translate("word", "".join(FOLD), "".join(FOLD.values())))
 
 
-def canonical_spellings(records: DataFrame, text: str, buckets: int = BUCKETS) -> DataFrame:
-    """(run, word): the chosen spelling of every unusual run."""
-    runs = unusual_runs(records, text)
-    vocab = vocabulary(records, text).join(runs.select(F.col("key").alias("word")).distinct(), "word", "left_semi")
-    left = runs.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    right = vocab.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
+def canonical_spellings(runs: DataFrame, records: DataFrame, text: str, limit: float = LIMIT) -> DataFrame:
+    """(run, word, by_trie): the chosen spelling of every distinct run of ``runs``
+    (run, key, freq)."""
+    words = vocabulary(records, text).join(runs.select("key").distinct(), "key", "left_semi")
+    # The words of one skeleton look alike, so their list is short.
+    lists = words.groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    met = runs.join(lists, "key", "left").select("key", "run", "freq", "words")
 
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie()
-        for w, n in zip(b["word"], b["n"]):
-            trie.add(w, int(n))
-        out = []
-        for run, key in zip(a["run"], a["key"]):
-            found = trie.match(run)
-            out.append((run, found[0][2] if found else key))
-        return pd.DataFrame(out, columns=["run", "word"])
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, trie = None, Trie()
+        for pdf in batches:
+            out = []
+            for key, run, freq, words in zip(pdf["key"], pdf["run"], pdf["freq"], pdf["words"]):
+                if key != at:
+                    at, trie = key, Trie()
+                    for w in words if words is not None else ():
+                        if not unusual(w["word"]):
+                            trie.add(w["word"], int(w["n"]))
+                found = trie.match(run, limit)
+                out.append((run, found[0][2] if found else tf.plain_run(run), bool(found), freq))
+            yield pd.DataFrame(out, columns=["run", "word", "by_trie", "freq"])
 
-    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(match, "run string, word string")
+    return met.mapInPandas(match, "run string, word string, by_trie boolean, freq long")
 
 
-def unify(records: DataFrame, keys: list[str], text: str, buckets: int = BUCKETS) -> DataFrame:
+def unify(records: DataFrame, keys: list[str], text: str, limit: float = LIMIT) -> DataFrame:
     """``keys``, ``text`` in one form, and ``changed``; one row per input row.
 
     Plain rows never leave the JVM. Rows with unusual characters get the
-    spellings of their own runs by an equi-join on the run.
-    """
+    spellings of their own runs by an equi-join on the run."""
     data = records.select(*keys, text)
     flag = F.coalesce(F.col(text).rlike(UNUSUAL), F.lit(False))
     plain = data.where(~flag).withColumn("changed", F.lit(False))
     odd = data.where(flag)
-    spell = canonical_spellings(records, text, buckets)
+    kinds = [f"`{k}` {data.schema[k].dataType.simpleString()}" for k in keys]
+
+    def runs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [sorted({p for k, p in tf.pieces(t) if k == "run" and unusual(p)}) for t in pdf.iloc[:, -1]]
+            out = pdf.iloc[:, :-1].assign(run=found).explode("run", ignore_index=True).dropna(subset=["run"])
+            yield out.assign(key=[skeleton(r) for r in out["run"]])
 
-    @F.pandas_udf("array<string>")
-    def runs_of(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: sorted({p for k, p in tf.pieces(t) if k == "run" and not p.isascii() and tf.plain_run(p) != p}))
+    asked = cut(odd.mapInPandas(runs_of, ", ".join([*kinds, "run string", "key string"])))
+    runs = asked.groupBy("run", "key").agg(F.count("*").alias("freq"))
+    spell = cut(canonical_spellings(runs, records, text, limit))
+    total = spell.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
 
     @F.pandas_udf("string")
     def rewrite(s: pd.Series, table_: pd.Series) -> pd.Series:
         return pd.Series([tf.canonical(t, {x["run"]: x["word"] for x in (w if w is not None else ())}) for t, w in zip(s, table_)], dtype=object)
 
-    # A hot run is no hot key: each row asks for it, the mapping side is one row a run.
-    asked = odd.select(*keys, F.explode(runs_of(text)).alias("run"))
-    given = asked.join(spell, "run").groupBy(*keys).agg(F.collect_list(F.struct("run", "word")).alias("_table"))
+    given = join_hot(asked.drop("key"), spell.select("run", "word", "freq"), "run", "freq", total).groupBy(*keys).agg(F.collect_set(F.struct("run", "word")).alias("_table"))
     done = odd.join(given, keys, "left").withColumn("_new", rewrite(F.col(text), F.col("_table")))
     done = done.select(*keys, F.col("_new").alias(text), (F.col("_new") != F.col(text)).alias("changed"))
     return plain.unionByName(done)

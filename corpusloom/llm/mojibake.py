@@ -5,11 +5,14 @@ swap is a substitution of bytes by the characters of some code page. For every
 distinct run of characters beyond ASCII, with its left and right neighbour
 class, expectation-maximisation weighs the readings "plain" and "page p turned
 these bytes into this" by letter frequencies, by language bigrams (neighbour
-class and letter) and by the share of each swap in the source. All parameters
-are sums over the whole corpus; their number is bounded by pages x letters x
-classes, so they are the only thing that reaches the driver. The learned
-page tables are then applied with ``translate`` (character to byte) followed by
-strict UTF-8 decoding.
+class and letter) and by the share of each swap in the source. Known pages only
+start it: EM also estimates, per source, how likely each byte stands behind each
+character, and this learned table is a swap of its own, which takes in characters
+that no page has. All parameters are sums over the whole corpus; their number is
+bounded by pages x letters x classes, so they are the only thing that reaches the
+driver. Tables are applied with ``translate`` (character to byte) followed by
+strict UTF-8 decoding, again and again, in any order of pages, until nothing
+changes any more.
 
 Defined results: null and empty texts are no case and stay as they are;
 U+FFFD marks a character that was lost, which is a case and cannot be restored;
@@ -36,10 +39,11 @@ PAGES = (
     "cp1252 latin-1 cp1250 cp1251 cp1253 cp1254 cp1255 cp1256 cp1257 cp1258 iso8859-2 iso8859-3 iso8859-4 iso8859-5 iso8859-7 "
     "iso8859-9 iso8859-10 iso8859-13 iso8859-14 iso8859-15 iso8859-16 cp437 cp850 cp852 cp855 cp858 cp866 cp857 mac-roman mac-latin2 mac-cyrillic koi8-r koi8-u"
 ).split()
-DEPTH = 2
 RUN = regex.compile(r"[^\x00-\x7f]+")
 LOST = "�"
 ITERATIONS = 5
+#: Expected sightings that a byte behind a character needs to enter a learned table.
+LEAST_SEEN = 3.0
 
 
 @lru_cache(maxsize=None)
@@ -56,39 +60,54 @@ def page_table(page: str) -> dict[int, int]:
     return out
 
 
-def undo(run: str, page: str) -> str | None:
-    """The run read back through one page, if its bytes are strict UTF-8."""
-    to_bytes = page_table(page)
-    as_latin = run.translate(to_bytes)  # the learned substitution
-    if as_latin.isascii() or max(as_latin) > "\xff" or any(ord(c) not in to_bytes for c in run):
+@lru_cache(maxsize=None)
+def start_table() -> dict[int, int]:
+    """What a learned table starts from: the two commonest pages together."""
+    return page_table("latin-1") | page_table("cp1252")
+
+
+def decoded(run: str, to_bytes: dict[int, int]) -> str | None:
+    """The run read back through a table, if its bytes are strict UTF-8."""
+    if any(ord(c) not in to_bytes for c in run):
         return None
+    as_latin = run.translate(to_bytes)  # the substitution
     try:
         return as_latin.encode("latin-1").decode("utf-8")
-    except UnicodeDecodeError:
+    except UnicodeError:
         return None
 
 
 @lru_cache(maxsize=200_000)
 def readings(run: str) -> tuple[tuple[str, str], ...]:
-    """(swap, letters) of every way to read a run; the first is "plain"."""
-    out, level = [("plain", run)], [("", run)]
-    for _ in range(DEPTH):
+    """(swap, letters) of every way to read a run; the first is "plain". Layers are
+    undone in any order of pages until none can be; each makes the run shorter."""
+    best, level = {run: "plain"}, [("", run)]
+    while level:
         nxt = []
         for name, text in level:
             for page in PAGES:
-                if name and page not in name:  # the same program garbles twice
-                    continue
-                got = undo(text, page)
-                if got is not None and got != text and LOST not in got:
-                    nxt.append((f"{name}+{page}" if name else page, got))
-        out += nxt
-        level = [x for x in nxt if not x[1].isascii()]
-    seen, best = set(), []
-    for swap, text in out:  # pages that agree on these bytes are one reading
-        if text not in seen:
-            seen.add(text)
-            best.append((swap, text))
-    return tuple(best)
+                got = decoded(text, page_table(page))
+                # Pages that agree on these bytes are one reading.
+                if got is not None and got not in best and LOST not in got:
+                    best[got] = f"{name}+{page}" if name else page
+                    if not got.isascii():
+                        nxt.append((best[got], got))
+        level = nxt
+    return tuple((swap, text) for text, swap in best.items())
+
+
+def learned_readings(run: str, table: dict[int, int]) -> list[tuple[str, str, str, int]]:
+    """(swap, letters, character, byte) by a learned table; a character that it lacks
+    may stand for any byte (then it is named with its byte)."""
+    unknown = {c for c in run if ord(c) not in table}
+    if len(unknown) > 1 or len(run) < 2:
+        return []
+    if not unknown:
+        got = decoded(run, table)
+        return [("learned", got, "", 0)] if got is not None and LOST not in got else []
+    c = unknown.pop()
+    ways = ((decoded(run, table | {ord(c): b}), b) for b in range(0x80, 0x100))
+    return [("learned", got, c, b) for got, b in ways if got is not None and LOST not in got]
 
 
 def klass(c: str) -> str:
@@ -119,8 +138,17 @@ def rarity(c: str) -> float:
 class Model:
     """Counts that EM learned: swaps per source, letters, bigrams."""
 
-    def __init__(self, swaps: dict, letters: dict, left: dict, right: dict, total: float):
+    def __init__(self, swaps: dict, letters: dict, left: dict, right: dict, total: float, bytes_: dict | None = None):
         self.swaps, self.letters, self.left, self.right, self.total = swaps, letters, left, right, total
+        self.tables: dict[str, dict[int, int]] = {}  # source to the likeliest byte of each character
+        for src, seen in (bytes_ or {}).items():
+            top: dict[int, tuple[float, int]] = {}
+            for (c, b), w in seen.items():
+                top[ord(c)] = max(top.get(ord(c), (0.0, 0)), (w, b))
+            self.tables[src] = start_table() | {c: b for c, (w, b) in top.items() if w >= LEAST_SEEN}
+
+    def table(self, src: str) -> dict[int, int]:
+        return self.tables.get(src) or start_table()
 
     def letter(self, c: str) -> float:
         if c < "\x80":
@@ -145,11 +173,14 @@ class Model:
             s += self.bigram(self.right, klass(b), a)
         return s
 
-    def posterior(self, src: str, run: str, l: str, r: str) -> list[tuple[float, str, str]]:
-        ways = readings(run)
+    def posterior(self, src: str, run: str, l: str, r: str) -> list[tuple[float, str, str, str, int]]:
+        """(probability, swap, letters, character, byte) of each reading, best first."""
+        ways = [(*w, "", 0) for w in readings(run)]
+        known = {w[1] for w in ways}
+        ways += [w for w in learned_readings(run, self.table(src)) if w[1] not in known]
         if len(ways) == 1:
             return [(1.0, *ways[0])]
-        scores = [self.score(src, *w, l, r) for w in ways]
+        scores = [self.score(src, w[0], w[1], l, r) - (math.log(128) if w[2] else 0.0) for w in ways]
         top = max(scores)
         weights = [math.exp(s - top) for s in scores]
         z = sum(weights)
@@ -185,11 +216,20 @@ def learn(seen: DataFrame, iterations: int = ITERATIONS) -> Model:
             sums: dict = defaultdict(float)
             for pdf in batches:
                 for src, run, l, r, n in zip(pdf["src"], pdf["run"], pdf["l"], pdf["r"], pdf["n"]):
-                    for p, swap, text in model.posterior(src, run, l, r):
+                    for p, swap, text, c, byte in model.posterior(src, run, l, r):
                         if p < 1e-6:
                             continue
                         w = p * n
                         sums[("swap", src, swap)] += w
+                        if c:
+                            sums[("byte", src, f"{c}{byte:02x}")] += w
+                        elif swap not in ("plain", "learned"):
+                            table_ = page_table(swap.split("+")[0])
+                            for x in set(run):
+                                sums[("byte", src, f"{x}{table_[ord(x)]:02x}")] += w
+                        elif swap == "learned":
+                            for x in set(run):
+                                sums[("byte", src, f"{x}{model.table(src)[ord(x)]:02x}")] += w
                         # Letters far from European text share one bucket, so the parameters stay bounded.
                         cs = [c if rarity(c) > -9 else "\U000f0000" for c in text]
                         ks = [l, *map(klass, text), r]
@@ -203,14 +243,17 @@ def learn(seen: DataFrame, iterations: int = ITERATIONS) -> Model:
         got = seen.mapInPandas(expect, "part string, a string, b string, w double").groupBy("part", "a", "b").agg(F.sum("w").alias("w")).collect()
         swaps: dict = defaultdict(dict)
         letters, left, right = {}, {}, {}
+        bytes_: dict = defaultdict(dict)
         for x in got:
             if x.part == "swap":
                 swaps[x.a][x.b] = x.w
             elif x.part == "letter":
                 letters[x.b] = x.w
+            elif x.part == "byte":
+                bytes_[x.a][x.b[0], int(x.b[1:], 16)] = x.w
             else:
                 (left if x.part == "left" else right)[(x.a, x.b)] = x.w
-        model = Model(dict(swaps), letters, left, right, sum(letters.values()))
+        model = Model(dict(swaps), letters, left, right, sum(letters.values()), dict(bytes_))
     return model
 
 

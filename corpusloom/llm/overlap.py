@@ -16,9 +16,11 @@ Scale and skew:
 * A chunk that is frequent even so is replaced by pairs of chunks: two records
   that share it and reach ``share`` also share a second one. Nothing is capped.
 * In a short text few edits can leave no chunk whole. Texts of at most
-  :data:`SHORT` words are therefore also met under pairs of their rarest words:
-  two texts with 80 % of their words in common share two of the first
+  :data:`SHORT` words are therefore met under pairs of their rarest words: two
+  texts with 80 % of their words in common share two of the first
   ``n - ceil(0.8 n) + 2`` (prefix filtering, exact for the threshold).
+* A sketch of the words travels with the keys of the longer texts and drops pairs
+  that cannot have 80 % in common before any pair is moved.
 * Hot keys (a digest or a text that many rows hold) are few by arithmetic and are
   joined by broadcast; members of large classes are expanded in blocks.
 * Lengths must be within 80 % of each other, which is part of the join.
@@ -45,12 +47,16 @@ from corpusloom.session import cut, discard, spread, table
 
 THRESHOLD = 0.8
 #: Least fraction of the longer text's words in shared chunks for a candidate.
-SHARE = 0.2
-#: A cut after about every fifth word; the window of the rolling hash is one word.
-MEAN_CHUNK = 5
-LONGEST_CHUNK = 12
-#: Longest text (in words) that is also met under pairs of words.
+SHARE = 0.15
+#: A cut after about every sixth word; the window of the rolling hash is one word.
+MEAN_CHUNK = 6
+LONGEST_CHUNK = 16
+#: Longest text (in words) that is met under pairs of words.
 SHORT = 40
+#: Shortest text that is met under chunks; shorter ones have no partner over SHORT.
+LEAST = 33
+#: Columns of a sketch of 256 bits of a text's words.
+SKETCH = ["s0", "s1", "s2", "s3"]
 #: Pairs that one chunk may propose before it is replaced by pairs of chunks.
 HOT_PAIRS = 2_000
 #: Keys that hold more than 1/WIDE of all rows are joined by broadcast.
@@ -105,6 +111,18 @@ def word_digests(ws: list[str]) -> list[int]:
     return out
 
 
+def sketch(digests: list[int]) -> list[int]:
+    """256 bits, one or more words each, as four numbers."""
+    bits = 0
+    for x in digests:
+        bits |= 1 << ((x >> 20) & 255)
+    return [((bits >> (64 * i)) & _LOW) - ((bits >> (64 * i + 63) & 1) << 64) for i in range(4)]
+
+
+_LOW = (1 << 64) - 1
+_LONGS = ", ".join(f"{c} bigint" for c in SKETCH)
+
+
 def lcs(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, bit-parallel over words."""
     at: dict[str, int] = {}
@@ -140,8 +158,8 @@ def side(c: Column) -> Column:
 
 
 def prepare(records: DataFrame, key: str) -> DataFrame:
-    """key, train, digest of side and words, n, chunks (digest and words of each in
-    one number), digests of the words of short texts."""
+    """key, train, digest of side and words, n, chunks of longer texts (digest and words
+    of each in one number), digests of the words of short texts, sketch."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -149,13 +167,14 @@ def prepare(records: DataFrame, key: str) -> DataFrame:
             for k, s, t in zip(pdf["key"], pdf["train"], pdf["text"]):
                 ws = words(t)
                 if ws:
-                    c = [(d >> 8 << 8) | w for d, w in zip(*chunks(ws))]
+                    n, v = len(ws), word_digests(ws)
+                    c = [(d >> 8 << 8) | w for d, w in zip(*chunks(ws))] if n >= LEAST else None
                     h = xxhash.xxh3_128_digest(" ".join(ws)) + (b"t" if s else b"e")
-                    rows.append((k, s, h, len(ws), c, word_digests(ws) if 5 <= len(ws) <= SHORT else None))
-            yield pd.DataFrame(rows, columns=["key", "train", "h", "n", "c", "v"])
+                    rows.append((k, s, h, n, c, v if n <= SHORT else None, *(sketch(v) if c else [0] * 4)))
+            yield pd.DataFrame(rows, columns=["key", "train", "h", "n", "c", "v", *SKETCH])
 
     src = records.select(F.col(key).cast("bigint").alias("key"), side(F.col("split")).alias("train"), "text").where("train is not null and text is not null")
-    return src.mapInPandas(go, "key bigint, train boolean, h binary, n int, c array<bigint>, v array<int>")
+    return src.mapInPandas(go, f"key bigint, train boolean, h binary, n int, c array<bigint>, v array<int>, {_LONGS}")
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, freq: str, total: int) -> DataFrame:
@@ -168,8 +187,10 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, freq: str, total: int)
 
 
 def offers(cls: DataFrame, share: float, hot_pairs: int) -> DataFrame:
-    """(train, id, n, k1, k2): the keys under which a class of ``cls`` (id, train, n,
-    c) can be met. k2 is 0, or the second chunk where k1 is too frequent alone."""
+    """(train, id, n, k1, k2, sketch): the keys under which a class of ``cls`` (id,
+    train, n, c) can be met. k2 is 0, or the second chunk where k1 is too frequent
+    alone."""
+    cls = cls.where("c is not null")
     # Side and id in one number, digest and size in another: these are the most rows moved.
     who = F.shiftleft("id", 1).bitwiseOR(F.col("train").cast("long")).alias("who")
     rows = cls.select(who, F.explode("c").alias("x")).select("who", F.shiftright("x", 8).alias("d"), F.col("x").bitwiseAND(F.lit(255)).cast("short").alias("w"))
@@ -180,14 +201,14 @@ def offers(cls: DataFrame, share: float, hot_pairs: int) -> DataFrame:
     total = both.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
     met = join_hot(rows, both, "d", "freq", total)
     met = met.groupBy("who").agg(F.array_sort(F.collect_list(F.struct("freq", "d", "w", "hot"))).alias("c"))
-    met = met.select("who", F.col("c.d").alias("d"), F.col("c.w").alias("w"), F.col("c.hot").alias("hot")).join(cls.select(who, "n"), "who")
+    met = met.select("who", F.col("c.d").alias("d"), F.col("c.w").alias("w"), F.col("c.hot").alias("hot")).join(cls.select(who, "n", *SKETCH), "who")
     # Records whose shared chunks cannot reach the fraction drop out in the JVM.
     flat = met.where(F.aggregate("w", F.lit(0), lambda a, x: a + x) >= F.lit(share) * F.col("n"))
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for who, n, ds, sizes, hots in zip(pdf["who"], pdf["n"], pdf["d"], pdf["w"], pdf["hot"]):
+            for who, n, ds, sizes, hots, *k in zip(*(pdf[x] for x in ["who", "n", "d", "w", "hot", *SKETCH])):
                 s, i, need = bool(who & 1), who >> 1, share * n
                 ds, sizes, hots = ds.tolist(), sizes.tolist(), hots.tolist()
                 left = sum(sizes)
@@ -195,38 +216,37 @@ def offers(cls: DataFrame, share: float, hot_pairs: int) -> DataFrame:
                     if left < need:
                         break
                     if not hots[j] or sizes[j] >= need:
-                        rows.append((s, i, n, d, 0))
+                        rows.append((s, i, n, d, 0, *k))
                     if hots[j]:
                         after = left - sizes[j]
                         for m in range(j + 1, len(ds)):
                             if after < need - sizes[j]:
                                 break
-                            rows.append((s, i, n, d, ds[m]))
+                            rows.append((s, i, n, d, ds[m], *k))
                             after -= sizes[m]
                     left -= sizes[j]
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2"])
+                    yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2", *SKETCH])
                     rows = []
-            yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2"])
+            yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2", *SKETCH])
 
-    return flat.mapInPandas(go, "train boolean, id bigint, n int, k1 bigint, k2 bigint")
+    return flat.mapInPandas(go, f"train boolean, id bigint, n int, k1 bigint, k2 bigint, {_LONGS}")
 
 
 def candidate_pairs(keys: DataFrame, cls: DataFrame, share: float) -> DataFrame:
-    """Distinct (a, b): train and evaluation classes that meet under a key and
-    share chunks of at least ``share`` of the longer one's words."""
-    a = keys.where("train").select("k1", "k2", F.col("id").alias("a"), F.col("n").alias("na"))
-    b = keys.where("not train").select("k1", "k2", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("na") >= THRESHOLD * F.col("nb") - 1e-9) & (F.col("nb") >= THRESHOLD * F.col("na") - 1e-9)
-    pairs = a.join(b, ["k1", "k2"]).where(near).select("a", "b", "na", "nb").distinct()
-    # The whole overlap of the pair, from short forms of the digests (a chance
-    # agreement only lets a pair through to the exact check).
-    short = F.transform("c", lambda x: (F.shiftright(x, 8) % 32768).cast("short"))
-    size = F.transform("c", lambda x: x.bitwiseAND(F.lit(255)).cast("short"))
-    sa = cls.where("train").select(F.col("id").alias("a"), short.alias("da"), size.alias("wa"))
-    sb = cls.where("not train").select(F.col("id").alias("b"), short.alias("db"))
-    shared = F.aggregate(F.zip_with("da", "wa", lambda d, w: F.when(F.array_contains("db", d), w.cast("int")).otherwise(0)), F.lit(0), lambda x, y: x + y)
-    return pairs.join(sa, "a").join(sb, "b").where(shared >= F.lit(share) * F.greatest("na", "nb") - 1e-9).select("a", "b")
+    """Distinct (a, b): train and evaluation classes that meet under a key, may have
+    80 % of their words in common and share chunks of at least ``share`` of the
+    longer one's words."""
+    one = lambda cond, i: keys.where(cond).select("k1", "k2", F.col("id").alias(i), F.col("n").alias(f"n{i}"), *[F.col(c).alias(f"{i}{c}") for c in SKETCH])
+    need = F.ceil(F.lit(THRESHOLD) * F.greatest("na", "nb") - 1e-9)
+    # Bits that differ are words of one text only: at most na + nb less twice those shared.
+    differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in SKETCH), F.lit(0))
+    met = one("train", "a").join(one("not train", "b"), ["k1", "k2"])
+    pairs = met.where((F.least("na", "nb") >= need) & (differ <= F.col("na") + F.col("nb") - 2 * need)).select("a", "b", "na", "nb").distinct()
+    # The whole overlap of the pair; digests of one text differ from each other.
+    part = lambda cond, i: cls.where(cond).where("c is not null").select(F.col("id").alias(i), F.col("c").alias(f"c{i}"))
+    shared = F.aggregate(F.array_intersect("ca", "cb"), F.lit(0), lambda x, c: x + c.bitwiseAND(F.lit(255)).cast("int"))
+    return pairs.join(part("train", "a"), "a").join(part("not train", "b"), "b").where(shared >= F.lit(share) * F.greatest("na", "nb") - 1e-9).select("a", "b")
 
 
 def word_places(cls: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -243,8 +263,8 @@ def word_offers(cls: DataFrame) -> DataFrame:
     """(train, id, n, k): pairs of the rarest words of short texts, as one number.
 
     Any order of the words that is the same for all texts keeps the filter exact;
-    words of a place seen on one side only cannot be shared. Texts of under five
-    words are near-same only if they are equal, which their chunks show."""
+    words of a place seen on one side only cannot be shared. A text of one word has
+    that word as its key."""
     t, e = word_places(cls)
     table_ = cls.sparkSession.sparkContext.broadcast(np.where((t > 0) & (e > 0), t + e, 0))
 
@@ -261,6 +281,8 @@ def word_offers(cls: DataFrame) -> DataFrame:
                     continue
                 v, f = v[f > 0], f[f > 0]
                 v = v[np.lexsort((v, f))][: spare - gone + 2].tolist()  # the first two shared words are here
+                if n == 1:
+                    v = v * 2
                 rows += [(s, i, n, (x << 32) ^ (y & 0xFFFFFFFF)) for j, x in enumerate(v) for y in v[j + 1 :]]
                 if len(rows) > 20_000:  # a batch of texts has many keys
                     yield pd.DataFrame(rows, columns=["train", "id", "n", "k"])
@@ -288,7 +310,7 @@ def overlaps(records: DataFrame, key: str, share: float = SHARE, hot_pairs: int
     least = cut(prepared.groupBy("h").agg(F.min("key").alias("id"), F.count("*").alias("size")).where("size > 1"))
     total = least.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     copies = cut(join_hot(prepared.select("train", "h", "key"), least, "h", "size", total).select("train", "id", "key").where("id != key"))
-    cls = prepared.join(copies.select("key"), "key", "left_anti").select("train", F.col("key").alias("id"), "n", "c", "v")
+    cls = prepared.join(copies.select("key"), "key", "left_anti").select("train", F.col("key").alias("id"), "n", "c", "v", *SKETCH)
     cls = cut(cls)
     discard(prepared)
     member = cls.select("train", "id", F.col("id").alias("key")).unionByName(copies)

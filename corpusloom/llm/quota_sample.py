@@ -13,9 +13,11 @@ tiny table), so a category with a third of all rows is still spread evenly.
 
 Defined results: rows with a null in a category field are not eligible; values
 compare without regard to case, blanks, hyphens and underscores; rows of no
-target are eligible but never sampled; equal targets are separate cells only if
-their keys differ; repeated rows are rows of their own; an empty table gives an
-empty sample and reports every target with a floor as short.
+target are eligible but never sampled; a target is short if the repaired sample
+holds fewer rows than it requires; of targets with the same cell the least id
+takes the rows, in full, and the others are judged by the same rows; repeated
+rows are rows of their own; an empty table gives an empty sample and reports
+every target with a floor as short.
 """
 
 from __future__ import annotations
@@ -38,22 +40,23 @@ def cell(fields: tuple[str, ...]) -> Column:
     return F.concat_ws("|", *(norm(F.col(f)) for f in fields))
 
 
-def plan_cells(eligible: DataFrame, targets: DataFrame, fraction: int) -> DataFrame:
-    """Per target: eligible rows, wanted rows, probability, prefix offset.
-
-    Sized by the targets table, whatever the size of the corpus."""
+def plan_cells(eligible: DataFrame, targets: DataFrame, fraction: int) -> tuple[DataFrame, DataFrame]:
+    """(per cell: eligible rows, wanted rows, probability, prefix offset; the targets
+    with what each requires). Sized by the targets table, whatever the corpus."""
     counts = eligible.groupBy("cell").agg(F.count("*").alias("n_eligible"))
     total = counts.agg(F.coalesce(F.sum("n_eligible"), F.lit(0)).alias("n_all"))
-    t = targets.select("target_id", cell(FIELDS).alias("cell"), "target_permille", "min_rows")
-    p = t.join(counts, "cell", "left").crossJoin(F.broadcast(total)).na.fill(0, ["n_eligible"])
     n = F.floor(F.col("n_all") / F.lit(fraction))
-    exact = F.col("target_permille") * n / F.lit(1000.0)
-    need = F.greatest(F.col("min_rows").cast("long"), F.floor(F.col("target_permille") * n / 1000).cast("long"))
-    p = p.withColumn("n_sample", n.cast("long")).withColumn("required", need).withColumn("expected", F.least(F.greatest(exact, need.cast("double")), F.col("n_eligible").cast("double")))
+    need = lambda permille: F.greatest(F.col("min_rows").cast("long"), F.floor(F.col(permille) * n / 1000).cast("long"))
+    t = targets.select("target_id", cell(FIELDS).alias("cell"), "target_permille", "min_rows").crossJoin(F.broadcast(total)).withColumn("required", need("target_permille"))
+    # Targets of one cell share its rows, which count for the least of them.
+    c = t.groupBy("cell", "n_all").agg(F.min("target_id").alias("target_id"), F.sum("target_permille").alias("permille"), F.max("min_rows").alias("min_rows"))
+    p = c.join(counts, "cell", "left").na.fill(0, ["n_eligible"]).withColumn("required", need("permille"))
+    exact = F.col("permille") * n / F.lit(1000.0)
+    p = p.withColumn("expected", F.least(F.greatest(exact, F.col("required").cast("double")), F.col("n_eligible").cast("double")))
     p = p.withColumn("p", F.when(F.col("n_eligible") > 0, F.col("expected") / F.col("n_eligible")).otherwise(0.0))
     # The targets table is the whole window here, not the corpus.
     before = Window.orderBy("cell", "target_id").rowsBetween(Window.unboundedPreceding, -1)
-    return p.withColumn("offset", F.coalesce(F.sum("expected").over(before), F.lit(0.0)))
+    return p.withColumn("offset", F.coalesce(F.sum("expected").over(before), F.lit(0.0))), t.select("target_id", "cell", "required")
 
 
 def ranked(rows: DataFrame, cells: DataFrame, key: str, seed: int) -> DataFrame:
@@ -69,13 +72,13 @@ def ranked(rows: DataFrame, cells: DataFrame, key: str, seed: int) -> DataFrame:
     w = Window.partitionBy("target_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("target_id", "range", F.coalesce(F.sum("in_range").over(w), F.lit(0)).alias("before"))
     inner = Window.partitionBy("target_id", "range").orderBy("u", key)
-    return r.join(F.broadcast(starts), ["target_id", "range"]).withColumn("rank", F.col("before") + F.row_number().over(inner))
+    return r.join(starts, ["target_id", "range"]).withColumn("rank", F.col("before") + F.row_number().over(inner))
 
 
 def sample(rows: DataFrame, targets: DataFrame, key: str, fraction: int = 5, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(sample: key, target_id; report per target)."""
     eligible = rows.select(key, *FIELDS).dropna(subset=list(FIELDS)).select(key, cell(FIELDS).alias("cell"))
-    cells = plan_cells(eligible, targets, fraction)
+    cells, wanted = plan_cells(eligible, targets, fraction)
     r = ranked(eligible, cells, key, seed)
     start = (seed * 2654435761 % 2**32) / 2**32  # the one random start
     # Sums are rounded to 1e-9 so that equal sums cross alike on every machine.
@@ -94,9 +97,9 @@ def sample(rows: DataFrame, targets: DataFrame, key: str, fraction: int = 5, see
     repair = early.withColumn("place", F.row_number().over(Window.partitionBy("target_id").orderBy("rank"))).where(F.col("place") <= F.col("lack"))
     chosen = hit.where(F.col("hit") == 1).select(key, "target_id").unionByName(repair.select(key, "target_id"))
     taken = chosen.groupBy("target_id").agg(F.count("*").alias("n_sampled"))
-    report = cells.join(taken, "target_id", "left").na.fill(0, ["n_sampled"]).select(
-        F.col("target_id").cast("long").alias("target_id"), "n_eligible", "required", "n_sampled", F.greatest(F.lit(0), F.col("required") - F.col("n_eligible")).alias("missing"), (F.col("n_eligible") < F.col("required")).alias("short")
-    )
+    got = wanted.join(cells.select("cell", F.col("target_id").alias("lead"), "n_eligible"), "cell").join(taken.withColumnRenamed("target_id", "lead"), "lead", "left").na.fill(0, ["n_sampled"])
+    missing = F.greatest(F.lit(0), F.col("required") - F.col("n_sampled"))
+    report = got.select(F.col("target_id").cast("long").alias("target_id"), "n_eligible", "required", "n_sampled", missing.alias("missing"), (missing > 0).alias("short"))
     return chosen, report
 
 
@@ -105,7 +108,7 @@ def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets that the sample cannot meet."""
+    """Targets of which the sample, after its repair, holds too few rows."""
     return _run(spark, sf_dir)[1].where("short").select("target_id")
 
 

@@ -309,3 +309,76 @@ def test_queries_against_sql(spark, sf):
 def test_query_runs(spark, sf, name):
     df = Q.QUERIES[name](spark, sf)
     assert df.count() >= 0 and df.columns
+
+
+def test_prefix_join_decides(spark):
+    """Cut copies that the phrase counts know nothing of: found by their longer copy,
+    with another number or name and a mark of the break; not found without it."""
+    words = [f"{a}{b}" for a in "ka lo mi nu pe ra so ti vu za".split() for b in "bel dor fin gam hul jik".split()]
+    whole = [" ".join(words[(i * 7 + k * (i + 1)) % 60] for k in range(12)) + f" {i} for Ana today." for i in range(40)]
+    part = [" ".join(t.split()[:9]).replace("Ana", "Ben") + m for t, m in zip(whole, ["", "..", " …", " ="] * 10)]
+    rows = [(t, "s", "e") for t in whole + part]
+    df = spark.createDataFrame(rows, "text string, src string, grp string")
+    found = lambda on: {r["text"] for r in endings.with_verdict(df, "src", on).where("unfinished").collect()}
+    assert not found(True) & set(whole)
+    plain = {p for p in part if p[-1].isalpha()}
+    assert plain <= found(True) and not plain <= found(False)
+
+
+def test_long_words_and_tails():
+    assert endings.tail("x" * 5000 + " a b c d e f")[-6:] == list("abcdef")
+    assert endings.tail("w" * 3000 + " end") == ["w" * 3000, "end"]
+    seen = {}
+    for _ in range(3):
+        endings.observe("the. " * 3, "e", seen)
+    assert sum(v & (endings._BREAK - 1) for v in seen.values()) == 18
+
+
+def test_beginnings_of_long_words(spark):
+    words = spark.createDataFrame([("a" * 60 + "b", 5), ("a" * 60 + "c", 2), ("ab", 1)], "word string, n long")
+    asked = spark.createDataFrame([("a" * 60,), ("a",), ("zz",)], "word string")
+    got = {r["word"]: (r["longer"], r["best"]) for r in endings.prefix_counts(words, asked).collect()}
+    assert got == {"a" * 60: (7, 5), "a": (8, 5)}
+
+
+def test_automaton_changes_rows(spark):
+    """A second reading that the vocabulary knows wins over the table form; without
+    the automaton's costs (limit 0) the table form stays."""
+    rows = [("a", i, "always pay always") for i in range(5)] + [("a", 10, "aІways рay"), ("a", 11, "ІD"), ("a", 12, "zІq")]
+    df = spark.createDataFrame(rows, "src string, row_key long, text string")
+    on = {r["row_key"]: r["text"] for r in lookalikes.unify(df, ["src", "row_key"], "text").where("changed").collect()}
+    off = {r["row_key"]: r["text"] for r in lookalikes.unify(df, ["src", "row_key"], "text", 0.0).where("changed").collect()}
+    assert on == {10: "always pay", 12: "zIq"} | {k: v for k, v in on.items() if k == 11}
+    assert off[10] == "aIways pay"
+
+
+def test_mojibake_layers():
+    for pages in (["cp1252"] * 3, ["cp1252", "cp437"], ["latin-1", "cp1252"], ["mac-roman", "cp1251"]):
+        text = "é"
+        for p in pages:
+            text = garble(text, p)
+        assert any(t == "é" for _, t in mojibake.readings(text)), pages
+
+
+def test_mojibake_learns_an_unknown_page(spark):
+    """A page that no table has: its character is learned as a byte."""
+    odd = {0xA9: "☃"}
+
+    def garble_odd(t):
+        return "".join(odd.get(b, bytes([b]).decode("latin-1")) for b in t.encode("utf-8"))
+
+    clean = ["the café is open", "très bien", "voilà the café", "une idée"]
+    rows = [("s", i, garble_odd(clean[i % 4])) for i in range(80)] + [("s", 100 + i, clean[i % 4]) for i in range(80)]
+    got = {r["rec_id"]: r for r in mojibake.restore(spark.createDataFrame(rows, "src string, rec_id long, text string")).collect()}
+    assert not any(got[100 + i]["garbled"] for i in range(80))
+    assert all(got[i]["garbled"] for i in range(80))
+    assert sum(got[i]["restored"] == clean[i % 4] for i in range(80)) >= 60
+
+
+def test_sample_carries_the_short_targets(spark):
+    rows = spark.range(100).select(F.col("id").alias("core_row_id"), F.lit("F").alias("scenario_family"), F.lit("c").alias("channel"), F.lit("s").alias("length_bin"))
+    targets = spark.createDataFrame([(1, "f", "C", "s", 500, 5), (2, "F", "c", "S", 0, 200), (3, "g", "c", "s", 500, 0)], "target_id long, scenario_family string, channel string, length_bin string, target_permille int, min_rows int")
+    chosen, report = quota_sample.sample(rows, targets, "core_row_id")
+    assert chosen.count() == chosen.select("core_row_id").distinct().count() == 100
+    got = {r["target_id"]: (r["n_sampled"], r["short"]) for r in report.collect()}
+    assert got == {1: (100, False), 2: (100, True), 3: (0, True)}
