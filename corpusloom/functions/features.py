@@ -46,6 +46,7 @@ STOPWORDS = (
     "own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who "
     "whom why will with you your yours yourself yourselves"
 ).split()
+LISTED = sorted({*DISCOURSE, *(w for ws in LEXICONS.values() for w in ws)})
 #: Names of the surface ratios and the characters each counts.
 SURFACE = {"digit_ratio": r"\p{Nd}", "uppercase_ratio": r"\p{Lu}", "whitespace_ratio": r"\s", "punctuation_ratio": r"[^\p{L}\p{N}\s]", "alnum_ratio": r"[\p{L}\p{N}]", "non_alnum_symbol_ratio": r"[^\p{L}\p{N}\s]"}
 PUNCTUATION = {
@@ -54,6 +55,19 @@ PUNCTUATION = {
 }
 
 
+#: The sixty features in order.
+NAMES = (
+    "char_len word_count sentence_count avg_sentence_len_words std_sentence_len_words avg_word_len_chars std_word_len_chars long_word_ratio short_word_ratio chars_per_word".split()
+    + list(SURFACE)
+    + ["char_entropy"]
+    + list(PUNCTUATION)
+    + "ttr corrected_ttr root_ttr hapax_ratio dislegomena_ratio yule_k repetition_rate top_token_share entropy_token_unigram avg_token_length_chars".split()
+    + [f"{k}_ratio" for k in LEXICONS]
+    + "numeral_token_ratio imperative_like_ratio flesch_reading_ease flesch_kincaid_grade smog_index coleman_liau_index automated_readability_index".split()
+    + "stopword_ratio sentence_opener_repeat_rate lexical_burstiness discourse_marker_ratio".split()
+)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0 or null."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -100,6 +114,7 @@ def prepared(df: DataFrame, text: str) -> DataFrame:
     """Adds ``_t`` and the arrays all features share."""
     d = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     d = d.withColumns({"_words": words_lower(F.col("_t")), "_sents": sentences(F.col("_t")), "_runs": F.regexp_extract_all(F.lower("_t"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))})
+    d = d.withColumn("_listed", F.filter("_runs", lambda x: x.isin(LISTED)))  # few words are in any list
     d = with_char_counts(with_run_lengths(d, _freq=F.col("_words")), "_t", "_chars")
     d = d.withColumns(
         {
@@ -111,7 +126,7 @@ def prepared(df: DataFrame, text: str) -> DataFrame:
 
 
 def lexicon_ratio(words: list[str]) -> Column:
-    return ratio(F.size(F.filter("_runs", lambda x: x.isin(words))), F.size("_words"))
+    return ratio(F.size(F.filter("_listed", lambda x: x.isin(words))), F.size("_words"))
 
 
 def syllables() -> Column:
@@ -134,7 +149,7 @@ def hc60() -> dict[str, Column]:
     entropy = -total(freq, lambda f: (f / n) * F.log2(f / n + F.lit(1e-12)))
     char_entropy = -total(F.col("_chars"), lambda f: (f / n_char) * F.log2(f / n_char))
     openers = F.transform(sents, lambda s: F.coalesce(F.get(words_lower(s), F.lit(0)), F.lit("")))
-    discourse = F.size(F.filter("_runs", lambda x: x.isin(DISCOURSE))) + sum(F.regexp_count(F.lower(t), F.lit(rf"(?:^|[^\p{{L}}\p{{N}}_]){p}(?=[^\p{{L}}\p{{N}}_]|$)")) for p in DISCOURSE_PHRASES)
+    discourse = F.size(F.filter("_listed", lambda x: x.isin(DISCOURSE))) + sum(F.regexp_count(F.lower(t), F.lit(rf"(?:^|[^\p{{L}}\p{{N}}_]){p}(?=[^\p{{L}}\p{{N}}_]|$)")) for p in DISCOURSE_PHRASES)
     letters, syl = F.regexp_count(t, F.lit(r"\p{L}")), syllables()
     sent = F.greatest(n_s, F.lit(1))
     poly = many(words, lambda w: F.regexp_count(w, F.lit("[aeiouy]+")) >= 3)

@@ -196,9 +196,16 @@ def language_guess(c: Column) -> Column:
     return F.when(F.length(F.trim(F.coalesce(c, F.lit("")))) < 20, "too_short").when(ascii_ratio(c) > 0.92, "english_like").otherwise("other")
 
 
+#: A word of Latin letters and apostrophes between word boundaries
+#: as Unicode has them (letters, digits and the underscore are word characters).
+_BEFORE, _AFTER = rf"(?<!{WORDISH})", rf"(?!{WORDISH})"
+WORD = rf"({_BEFORE}[a-zA-Z][a-zA-Z']*(?:(?<=[a-zA-Z]){_AFTER}|(?<=')(?={WORDISH})))"
+PLAIN_WORD = rf"({_BEFORE}[a-zA-Z]+{_AFTER})"
+
+
 def words_lower(c: Column) -> Column:
     """Latin letter words with inner apostrophes, lower case (array)."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z][a-z']*)"), F.lit(1))
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(1)), F.lower)
 
 
 def sentences(c: Column) -> Column:

@@ -213,16 +213,26 @@ def fingerprint():  # noqa: ANN201 - Column
     return F.when(F.col("question_id").isNotNull(), F.concat(F.lit("fq|"), F.col("question_id").cast("string"))).otherwise(std)
 
 
-@query("f30_word_tokens", "SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY 1")
+def sql_ascii_wordish(c: str) -> str:
+    """Letters and numbers beyond ASCII as 0, so that ASCII word boundaries hold."""
+    return f"regexp_replace(regexp_replace({c}, '[^\\P{{L}}a-zA-Z]', '0', 'g'), '[^\\P{{N}}0-9]', '0', 'g')"
+
+
+def sql_words_lower(c: str) -> str:
+    return f"list_transform(regexp_extract_all({sql_ascii_wordish(c)}, '\\b[a-zA-Z][a-zA-Z'']*\\b'), lambda v: lower(v))"
+
+
+@query("f30_word_tokens", f"SELECT w AS word, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all({sql_ascii_wordish('text')}, '\\b[a-zA-Z]+\\b'))) AS w FROM documents) GROUP BY 1")
 def f30_word_tokens(t: Tables) -> DataFrame:
-    w = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word")
+    w = F.explode(F.transform(F.regexp_extract_all("text", F.lit(X.PLAIN_WORD), F.lit(1)), F.lower)).alias("word")
     return t("documents").select(w).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query(
     "f31_sentences",
     r"""SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')) AS BIGINT) AS n_sentences,
- CAST(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z'']*')) AS BIGINT) AS n_words FROM documents""",
+ """
+    + f"CAST(len({sql_words_lower("coalesce(text, '')")}) AS BIGINT) AS n_words FROM documents",
 )
 def f31_sentences(t: Tables) -> DataFrame:
     c = F.col("text")
