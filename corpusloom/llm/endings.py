@@ -15,8 +15,8 @@ Three looks at each distinct text, all over whole tables:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -29,6 +29,8 @@ from corpusloom.llm.overlap import join_hot
 from corpusloom.session import cut
 
 TOKEN = regex.compile(r"\n+|\[URL\]|(?:[$€£]|US\$)?\d[\d.,:]*\d%?|(?:[$€£]|US\$)?\d%?|[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*|[^\s\p{L}\p{M}\p{N}]")
+#: The same for ASCII texts, by the faster engine.
+_ASCII = re.compile(r"\n+|\[URL\]|(?:\$|US\$)?[0-9][0-9.,:]*[0-9]%?|(?:\$|US\$)?[0-9]%?|[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*|[^\sA-Za-z0-9]")
 TERMINAL = frozenset(".!?。！？")
 CLOSERS = "\"'”’»)]*_"
 #: Key levels from the least to the most specific: the last word; two words and
@@ -39,7 +41,7 @@ ABBREVIATED = frozenset("mr mrs ms dr prof st no nr vs etc".split()) - {"etc"}
 
 
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text)
+    return (_ASCII if text.isascii() else TOKEN).findall(text)
 
 
 def _mask(tok: str, starts: bool) -> str:
@@ -53,13 +55,10 @@ def _mask(tok: str, starts: bool) -> str:
     return tok
 
 
-_mask_of_short = lru_cache(maxsize=1 << 17)(_mask)
-
-
 def mask(tok: str, starts: bool) -> str:
     """Names, numbers and codes as classes; other words in lower case. A capital
     tells a name only where no sentence starts."""
-    return _mask_of_short(tok, starts) if len(tok) < 40 else _mask(tok, starts)
+    return _known(tok, starts)[0]
 
 
 def shape(tok: str, m: str) -> str:
@@ -68,8 +67,28 @@ def shape(tok: str, m: str) -> str:
     return m
 
 
+#: (mask, shape) of short tokens inside and at the start of a sentence.
+_seen: tuple[dict, dict] = ({}, {})
+
+
+def _known(tok: str, starts: bool) -> tuple[str, str]:
+    got = _seen[starts].get(tok)
+    if got is None:
+        m = _mask(tok, starts)
+        got = (m, shape(tok, m))
+        if len(tok) < 40:
+            if len(_seen[starts]) > 1 << 17:
+                _seen[starts].clear()
+            _seen[starts][tok] = got
+    return got
+
+
 def masked(toks: list[str]) -> list[str]:
-    return [mask(t, i == 0 or toks[i - 1] in TERMINAL) for i, t in enumerate(toks)]
+    out, starts = [], True
+    for t in toks:
+        out.append((_seen[starts].get(t) or _known(t, starts))[0])
+        starts = t in TERMINAL
+    return out
 
 
 def phrases_of(group: str, a: str, b: str, c: str, s: str) -> list[tuple]:
@@ -106,9 +125,9 @@ def observe(text: str, group: str, seen: dict[tuple, int]) -> None:
     a = b = "^"
     starts = True
     for t, nxt in zip(toks, [*toks[1:], None]):
-        c = mask(t, starts)
+        c, form = _seen[starts].get(t) or _known(t, starts)
         starts = t in TERMINAL
-        key = (group, a, b, c, shape(t, c))
+        key = (group, a, b, c, form)
         if nxt is None:
             seen[key] = get(key, 0) + 1 + _END
         elif nxt in TERMINAL or nxt[0] in "\n&":

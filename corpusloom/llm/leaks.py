@@ -3,13 +3,17 @@
 One Aho-Corasick automaton over the normalised evaluation passages scans every
 document once. Words are encoded as one character each (words that no passage
 uses share a sentinel), so a match is a run of whole words and its position
-maps back to character offsets of the original text. The patterns are every
-``window`` consecutive words of an item, or the whole item if it is shorter.
-
-The automaton is rebuilt from the pattern list on each executor process. The
-evaluation side is taken in blocks of at most :data:`BLOCK_WORDS` words, so one
-automaton has a proven size however much evaluation material there is; the
-corpus is scanned once a block and never shuffled.
+maps back to character offsets of the original text. Any ``window`` consecutive
+words of an item hold one of its anchors, ``(window + 1) // 2`` words taken at every
+such distance; the automaton finds anchors, and a found anchor is extended in both
+directions to the whole common passage. Items shorter than the window are anchors
+as a whole. That needs about one node a word instead of one a word and window
+place.
+
+The automaton is built once in each executor process. The evaluation side is
+taken in blocks of at most :data:`BLOCK_WORDS` words, so one automaton has a
+proven size however much evaluation material there is; the corpus is scanned once
+a block and never shuffled.
 
 Defined results: null or empty documents and items match nothing; an item
 without any word matches nothing; items with equal text each get their row;
@@ -18,8 +22,8 @@ repeated documents are documents of their own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -30,8 +34,9 @@ from corpusloom.llm import textform as tf
 from corpusloom.session import spread, table
 
 WINDOW = 15
-#: Words of evaluation text in one automaton (about 60 bytes a word and window place).
-BLOCK_WORDS = 200_000
+#: Words of evaluation text in one automaton (about 100 bytes each, and fewer
+#: different words than there are characters to encode them).
+BLOCK_WORDS = 1_000_000
 _FIRST, _SENTINEL = 0x100, "\x01"
 
 
@@ -40,36 +45,70 @@ def normal_words(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().casefold(), *m.span()) for m in tf.WORD.finditer(text)]
 
 
-@lru_cache(maxsize=2)
-def automaton(items: tuple[tuple[int, str], ...], window: int) -> tuple[dict[str, str], object]:
-    """(word -> character, automaton whose values are (item ids, length))."""
-    code: dict[str, str] = {}
-    found: dict[str, set[int]] = {}
-    for item, text in items:
-        words = "".join(code.setdefault(w, chr(_FIRST + len(code) + (0x800 if _FIRST + len(code) >= 0xD800 else 0))) for w, _, _ in normal_words(text))
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            found.setdefault(words[i : i + window], set()).add(item)
-    auto = ahocorasick.Automaton()
-    for pattern, ids in found.items():
-        auto.add_word(pattern, (tuple(sorted(ids)), len(pattern)))
-    auto.make_automaton()
-    return code, auto
-
-
-def scan(text: str, items: tuple[tuple[int, str], ...], window: int) -> dict[int, tuple[int, int]]:
-    """item -> (first, last) character offsets of its passages in the text."""
-    code, auto = automaton(items, window)
-    if not len(auto):
-        return {}
-    words = normal_words(text)
-    coded = "".join(code.get(w, _SENTINEL) for w, _, _ in words)
-    out: dict[int, tuple[int, int]] = {}
-    for end, (ids, n) in auto.iter(coded):
-        a, b = words[end - n + 1][1], words[end][2]
-        for i in ids:
-            lo, hi = out.get(i, (a, b))
-            out[i] = (min(lo, a), max(hi, b))
-    return out
+class Passages:
+    """The automaton of one block: anchors lead to the items and places they stand at."""
+
+    def __init__(self, items: tuple[tuple[int, str], ...], window: int):
+        self.window, self.step = window, (window + 1) // 2
+        self.code: dict[str, str] = {}
+        self.items: list[tuple[int, str]] = []
+        anchors: dict[str, list[tuple[int, int]]] = {}
+        for item, text in items:
+            words = "".join(self.code.setdefault(w, self._char()) for w, _, _ in normal_words(text))
+            if not words:
+                continue
+            at = len(self.items)
+            self.items.append((item, words))
+            if len(words) < window:
+                anchors.setdefault(words, []).append((at, 0))
+                continue
+            # Any 2 * step - 1 words hold a whole step.
+            for p in range(0, len(words) - self.step + 1, self.step):
+                anchors.setdefault(words[p : p + self.step], []).append((at, p))
+        self.auto = ahocorasick.Automaton()
+        for anchor, places in anchors.items():
+            self.auto.add_word(anchor, (len(anchor), places))
+        self.auto.make_automaton()
+
+    def _char(self) -> str:
+        n = _FIRST + len(self.code)
+        return chr(n + (0x800 if n >= 0xD800 else 0))
+
+    def scan(self, text: str) -> dict[int, tuple[int, int]]:
+        """item -> (first, last) character offsets of its passages in the text."""
+        out: dict[int, tuple[int, int]] = {}
+        if not len(self.auto):
+            return out
+        words = normal_words(text)
+        coded = "".join(self.code.get(w, _SENTINEL) for w, _, _ in words)
+        done: dict[tuple[int, int], int] = {}  # (item, shift) -> end of the last passage
+        for last, (size, places) in self.auto.iter(coded):
+            q = last - size + 1
+            for at, p in places:
+                item, own = self.items[at]
+                if done.get((at, q - p), -1) > last:
+                    continue
+                a, b = 0, size
+                while a < min(p, q) and own[p - a - 1] == coded[q - a - 1]:
+                    a += 1
+                while p + b < len(own) and q + b < len(coded) and own[p + b] == coded[q + b]:
+                    b += 1
+                done[(at, q - p)] = q + b
+                if a + b >= min(self.window, len(own)):
+                    lo, hi = out.get(item, (words[q - a][1], words[q + b - 1][2]))
+                    out[item] = (min(lo, words[q - a][1]), max(hi, words[q + b - 1][2]))
+        return out
+
+
+#: Automata of this process, by the name of their block.
+_built: dict[str, Passages] = {}
+
+
+def passages(name: str, items: tuple[tuple[int, str], ...], window: int) -> Passages:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Passages(items, window)
+    return _built[name]
 
 
 def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[tuple[tuple[int, str], ...]]:
@@ -92,11 +131,13 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     schema = "doc_id bigint, item_id bigint, start int, end int"
     docs = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = None
+    sc = documents.sparkSession.sparkContext
     for block in blocks(items):
 
-        def go(batches: Iterator[pd.DataFrame], block: tuple = block) -> Iterator[pd.DataFrame]:
+        def go(batches: Iterator[pd.DataFrame], name: str = uuid.uuid4().hex, shipped: object = sc.broadcast(block)) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(d, i, a, b) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, (a, b) in scan(t, block, window).items()]
+                found = passages(name, shipped.value, window)
+                rows = [(d, i, a, b) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, (a, b) in found.scan(t).items()]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end"])
 
         part = docs.mapInPandas(go, schema)

@@ -4,13 +4,19 @@ A recursive layout grammar turns each mail into a tree::
 
     mail       := part*
     part       := quote | history | signature | device | notice | authored
-    quote      := attribution? prefixed-lines      (their content is a mail)
-    history    := (separator | header-block | attribution) mail   (to the end)
+    quote      := attribution? prefixed-lines      (their content is an old mail)
+    history    := (separator | header-block) (prefixed-lines mail | old mail)
+                | attribution (prefixed-lines mail | old mail | old paragraph mail)
     signature  := delimiter? line{name} line{role, firm, phone, address}+
     notice     := rule? paragraph{legal cues} rule?
 
-and only the newly authored nodes are serialised. Parsing is linear in the
-length of the mail and runs on whole texts, one mail at a time.
+The history of a reply goes to the end of the mail, unless it is prefixed (then it
+ends with its prefixes) or an attribution opens the mail (then it is followed by
+one old paragraph, and the reply stands below). What stands below is a mail of its
+own inside the history's node, and newly written. The tree is serialised
+recursively: only nodes that are newly authored, wherever they hang, are kept.
+Parsing is linear in the length of the mail for each level of nesting and runs on
+whole texts, one mail at a time.
 
 Defined results: a null text gives a null authored text and no parts; an empty
 text stays empty; a mail that is all history has an empty authored text;
@@ -90,11 +96,13 @@ CUES = [
 
 @dataclass
 class Node:
-    """kind: authored, closing, quoted, signature or disclaimer."""
+    """kind: authored, closing, quoted, signature or disclaimer. ``inner`` is the
+    content of a quoted part, ``below`` the mail that goes on behind it."""
 
     kind: str
     lines: list[str]
-    children: list[Node] = field(default_factory=list)
+    inner: list[Node] = field(default_factory=list)
+    below: list[Node] = field(default_factory=list)
 
 
 def is_notice(text: str) -> bool:
@@ -107,15 +115,21 @@ def is_notice(text: str) -> bool:
 
 def _headers(lines: list[str], i: int) -> int:
     """Length of a header block at i: two or more header lines, the first From."""
-    n, names = 0, []
+    n, names, sender = 0, [], ""
     while i + n < len(lines) and (m := HEADER.match(lines[i + n])):
+        sender = sender or m.group(2).strip()
         names.append(m.group(1).lower())
         n += 1
-    if n >= 2 and names[0] in ("from", "von", "de") and len(set(names)) == n and len(lines[i]) < 200:
+    if n >= 2 and names[0] in ("from", "von", "de") and len(set(names)) == n and _sender(sender):
         return n
     return 0
 
 
+def _sender(value: str) -> bool:
+    """An address, or a name: no sentence."""
+    return "@" in value or (len(value.split()) <= 8 and not regex.search(r"[.!?]$", value)) or bool(regex.search(r"\b(?:Jr|Sr|Inc|Ltd|Co|Corp)\.$", value))
+
+
 def _lotus(lines: list[str], i: int) -> int:
     """Name, date stamp, To: lines of older mail programs."""
     if i + 2 < len(lines) and lines[i].strip() and len(lines[i]) < 80 and STAMP.match(lines[i + 1]):
@@ -142,30 +156,60 @@ def _sig_line(line: str) -> bool:
 
 def _signature(block: list[str], after_rule: bool) -> int:
     """Index in the block where a signature starts, or -1. A closing with only
-    a name above it stays with the author."""
-    for start in range(len(block)):
-        tail = block[start:]
-        if not all(_sig_line(x) for x in tail):
-            continue
-        if start and not CLOSING.match(block[start - 1]) and not regex.match(r"^\s*\p{L}[\w'’.-]*\s*$", block[start - 1]) and not RULE.match(block[start - 1]):
+    a name above it stays with the author. One pass from the end finds where lines
+    of a signature begin and what stands below each of them."""
+    found, contact, roles, divided = -1, 0, 0, False
+    for start in range(len(block) - 1, -1, -1):
+        line = block[start]
+        if not _sig_line(line):
+            break
+        touch = _contact(line)
+        contact += touch
+        roles += bool(ROLE.search(line))
+        divided = divided or bool(regex.search(r"\||\s[-–—]\s", line))
+        above = block[start - 1] if start else None
+        if above is not None and not CLOSING.match(above) and not regex.match(r"^\s*\p{L}[\w'’.-]*\s*$", above) and not RULE.match(above):
             continue
-        contact = sum(map(_contact, tail))
-        roles = sum(bool(ROLE.search(x)) for x in tail)
-        first = tail[0].strip()
-        named = bool(regex.match(r"^(?:\p{Lu}\S*\s+){1,4}\p{Lu}\S*$", first)) and not _contact(first)
-        if len(tail) >= 2 and ((named and contact) or (after_rule and (contact or roles)) or (named and roles and (regex.search(r"\||\s[-–—]\s", "\n".join(tail))))):
-            return start
-        if after_rule and len(tail) >= 2 and named:
-            return start
-    return -1
+        size = len(block) - start
+        named = bool(regex.match(r"^(?:\p{Lu}\S*\s+){1,4}\p{Lu}\S*$", line.strip())) and not touch
+        if size >= 2 and ((named and contact) or (after_rule and (contact or roles or named)) or (named and roles and divided)):
+            found = start
+    return found
+
+
+def _prefixed(lines: list[str], i: int) -> int:
+    """End of the prefixed lines that start at i (blank lines between them included)."""
+    j = i
+    while j < len(lines) and (PREFIX.match(lines[j]) or (not lines[j].strip() and j + 1 < len(lines) and PREFIX.match(lines[j + 1]))):
+        j += 1
+    return j
+
+
+def _blank(lines: list[str], i: int) -> int:
+    while i < len(lines) and not lines[i].strip():
+        i += 1
+    return i
+
+
+def _paragraph(lines: list[str], i: int) -> int:
+    while i < len(lines) and lines[i].strip():
+        i += 1
+    return i
+
+
+def _quoted(lines: list[str], i: int, body: int, end: int, depth: int) -> Node:
+    """The part from i to end, whose old content starts at body."""
+    inner = [PREFIX.sub("", x, count=1) if PREFIX.match(x) else x for x in lines[body:end]]
+    return Node("quoted", lines[i:end], parse(inner, depth + 1))
 
 
 def parse(lines: list[str], depth: int = 0) -> list[Node]:
     """The parts of a mail, in order."""
-    out: list[Node] = []
-    i, n = 0, len(lines)
     if depth >= MAX_DEPTH:
         return [Node("authored", lines)]
+    root: list[Node] = []
+    out = root  # where parts go: into the mail, or below the last history
+    i, n = 0, len(lines)
     block: list[str] = []
     ruled: list[str] = []  # a rule waiting for what it introduces
 
@@ -190,30 +234,21 @@ def parse(lines: list[str], depth: int = 0) -> list[Node]:
         line = lines[i]
         if PREFIX.match(line):
             flush()
-            j, inner = i, []
-            while j < n and (PREFIX.match(lines[j]) or (not lines[j].strip() and j + 1 < n and PREFIX.match(lines[j + 1]))):
-                inner.append(PREFIX.sub("", lines[j], count=1))
-                j += 1
+            j = _prefixed(lines, i)
+            inner = [PREFIX.sub("", x, count=1) for x in lines[i:j]]
             out.append(Node("quoted", lines[i:j], parse(inner, depth + 1)))
             i = j
-        elif k := _history(lines, i):
+        elif (k := _history(lines, i)) or ATTRIBUTION.match(line):
             flush()
-            out.append(Node("quoted", lines[i:], parse(lines[i + k :], depth + 1)))
-            i = n
-        elif ATTRIBUTION.match(line):
-            flush()
-            j = i + 1
-            while j < n and not lines[j].strip():
-                j += 1
-            if j < n and PREFIX.match(lines[j]):
-                out.append(Node("quoted", lines[i:j]))
-                i = j
-            elif j >= n:
-                out.append(Node("quoted", lines[i:]))
-                i = n
-            else:
-                out.append(Node("quoted", lines[i:], parse(lines[j:], depth + 1)))
-                i = n
+            j = _blank(lines, i + (k or 1))
+            while j < n and (more := _history(lines, j)):  # headers below a separator
+                j = _blank(lines, j + more)
+            end = _prefixed(lines, j)
+            if end == j:  # no prefixes: to the end, or one paragraph of a reply from below
+                end = n if k or out else _paragraph(lines, j)
+            out.append(_quoted(lines, i, j, end, depth))
+            out = out[-1].below
+            i = end
         elif not line.strip():
             flush()
             i += 1
@@ -234,18 +269,30 @@ def parse(lines: list[str], depth: int = 0) -> list[Node]:
     flush()
     if ruled:
         out.append(Node("authored", ruled))
-    return out
+    return root
+
+
+def newly(nodes: list[Node]) -> Iterator[Node]:
+    """The parts that are not old: those of the mail, and those below old ones."""
+    todo = [iter(nodes)]
+    while todo:
+        x = next(todo[-1], None)
+        if x is None:
+            todo.pop()
+            continue
+        yield x
+        todo.append(iter(x.below))
 
 
 def split_mail(text: str | None) -> tuple[str | None, list[str]]:
     """(newly written text, sorted kinds taken out)."""
     if text is None:
         return None, []
-    tree = parse(text.replace("\r\n", "\n").split("\n"))
-    kinds = sorted({x.kind for x in tree} & {"quoted", "signature", "disclaimer"})
+    parts = list(newly(parse(text.replace("\r\n", "\n").split("\n"))))
+    kinds = sorted({x.kind for x in parts} & {"quoted", "signature", "disclaimer"})
     if not kinds:
         return text, []
-    return "\n\n".join("\n".join(x.lines) for x in tree if x.kind in ("authored", "closing")).strip(), kinds
+    return "\n\n".join("\n".join(x.lines) for x in parts if x.kind in ("authored", "closing")).strip(), kinds
 
 
 def reduce_mails(records: DataFrame) -> DataFrame:

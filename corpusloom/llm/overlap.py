@@ -77,9 +77,13 @@ def words(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=200_000)
+def word_hash(word: str) -> int:
+    return xxhash.xxh32_intdigest(word)
+
+
 def cuts_after(word: str) -> bool:
     """Whether the rolling hash asks for a cut behind this word."""
-    return xxhash.xxh32_intdigest(word) % MEAN_CHUNK == 0
+    return word_hash(word) % MEAN_CHUNK == 0
 
 
 def chunks(ws: list[str]) -> tuple[list[int], list[int]]:
@@ -90,7 +94,7 @@ def chunks(ws: list[str]) -> tuple[list[int], list[int]]:
     seen: dict[int, int] = {}
     start, n = 0, len(ws)
     for i, w in enumerate(ws):
-        if cuts_after(w) or i - start + 1 == LONGEST_CHUNK or i + 1 == n:
+        if word_hash(w) % MEAN_CHUNK == 0 or i - start + 1 == LONGEST_CHUNK or i + 1 == n:
             d = xxhash.xxh64_intdigest(" ".join(ws[start : i + 1]))
             k = seen[d] = seen.get(d, 0) + 1
             if k > 1:
@@ -107,19 +111,17 @@ def word_digests(ws: list[str]) -> list[int]:
     seen: dict[str, int] = {}
     for w in ws:
         k = seen[w] = seen.get(w, 0) + 1
-        out.append(xxhash.xxh32_intdigest(w if k == 1 else f"{w}/{k}") - (1 << 31))
+        out.append((word_hash(w) if k == 1 else xxhash.xxh32_intdigest(f"{w}/{k}")) - (1 << 31))
     return out
 
 
 def sketch(digests: list[int]) -> list[int]:
     """256 bits, one or more words each, as four numbers."""
-    bits = 0
-    for x in digests:
-        bits |= 1 << ((x >> 20) & 255)
-    return [((bits >> (64 * i)) & _LOW) - ((bits >> (64 * i + 63) & 1) << 64) for i in range(4)]
+    bits = np.zeros(256, np.uint8)
+    bits[(np.array(digests, np.int64) >> 20) & 255] = 1
+    return np.packbits(bits).view(np.int64).tolist()
 
 
-_LOW = (1 << 64) - 1
 _LONGS = ", ".join(f"{c} bigint" for c in SKETCH)
 
 
@@ -186,14 +188,14 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, freq: str, total: int)
     return left.join(hot, key).unionByName(rest)
 
 
-def offers(cls: DataFrame, share: float, hot_pairs: int) -> DataFrame:
-    """(train, id, n, k1, k2, sketch): the keys under which a class of ``cls`` (id,
-    train, n, c) can be met. k2 is 0, or the second chunk where k1 is too frequent
+def offers(cls: DataFrame, share: float, hot_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, k1, k2, sketch) of the train and of the evaluation side: the keys under
+    which a class of ``cls`` (id, train, n, c) can be met. k2 is 0, or the second chunk where k1 is too frequent
     alone."""
     cls = cls.where("c is not null")
     # Side and id in one number, digest and size in another: these are the most rows moved.
     who = F.shiftleft("id", 1).bitwiseOR(F.col("train").cast("long")).alias("who")
-    rows = cls.select(who, F.explode("c").alias("x")).select("who", F.shiftright("x", 8).alias("d"), F.col("x").bitwiseAND(F.lit(255)).cast("short").alias("w"))
+    rows = cls.select(who, F.explode("c").alias("x")).select("who", F.shiftright("x", 8).alias("d"), F.col("x").bitwiseAND(F.lit(255)).cast("byte").alias("w"))
     on_train = F.col("who").bitwiseAND(F.lit(1)) == 1
     df = rows.groupBy("d").agg(F.count_if(on_train).alias("dt"), F.count_if(~on_train).alias("de"))
     # Chunks seen on one side only cannot meet, but their words count in the length.
@@ -209,39 +211,40 @@ def offers(cls: DataFrame, share: float, hot_pairs: int) -> DataFrame:
         for pdf in batches:
             rows = []
             for who, n, ds, sizes, hots, *k in zip(*(pdf[x] for x in ["who", "n", "d", "w", "hot", *SKETCH])):
-                s, i, need = bool(who & 1), who >> 1, share * n
+                i, need = who >> 1, share * n
                 ds, sizes, hots = ds.tolist(), sizes.tolist(), hots.tolist()
                 left = sum(sizes)
                 for j, d in enumerate(ds):
                     if left < need:
                         break
                     if not hots[j] or sizes[j] >= need:
-                        rows.append((s, i, n, d, 0, *k))
+                        rows.append((i, n, d, 0, *k))
                     if hots[j]:
                         after = left - sizes[j]
                         for m in range(j + 1, len(ds)):
                             if after < need - sizes[j]:
                                 break
-                            rows.append((s, i, n, d, ds[m], *k))
+                            rows.append((i, n, d, ds[m], *k))
                             after -= sizes[m]
                     left -= sizes[j]
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2", *SKETCH])
+                    yield pd.DataFrame(rows, columns=["id", "n", "k1", "k2", *SKETCH])
                     rows = []
-            yield pd.DataFrame(rows, columns=["train", "id", "n", "k1", "k2", *SKETCH])
+            yield pd.DataFrame(rows, columns=["id", "n", "k1", "k2", *SKETCH])
 
-    return flat.mapInPandas(go, f"train boolean, id bigint, n int, k1 bigint, k2 bigint, {_LONGS}")
+    one = lambda side_: flat.where(F.col("who").bitwiseAND(F.lit(1)) == side_).mapInPandas(go, f"id bigint, n int, k1 bigint, k2 bigint, {_LONGS}")
+    return one(1), one(0)
 
 
-def candidate_pairs(keys: DataFrame, cls: DataFrame, share: float) -> DataFrame:
+def candidate_pairs(keys: tuple[DataFrame, DataFrame], cls: DataFrame, share: float) -> DataFrame:
     """Distinct (a, b): train and evaluation classes that meet under a key, may have
     80 % of their words in common and share chunks of at least ``share`` of the
     longer one's words."""
-    one = lambda cond, i: keys.where(cond).select("k1", "k2", F.col("id").alias(i), F.col("n").alias(f"n{i}"), *[F.col(c).alias(f"{i}{c}") for c in SKETCH])
+    one = lambda side_, i: side_.select("k1", "k2", F.col("id").alias(i), F.col("n").alias(f"n{i}"), *[F.col(c).alias(f"{i}{c}") for c in SKETCH])
     need = F.ceil(F.lit(THRESHOLD) * F.greatest("na", "nb") - 1e-9)
     # Bits that differ are words of one text only: at most na + nb less twice those shared.
     differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in SKETCH), F.lit(0))
-    met = one("train", "a").join(one("not train", "b"), ["k1", "k2"])
+    met = one(keys[0], "a").join(one(keys[1], "b"), ["k1", "k2"])
     pairs = met.where((F.least("na", "nb") >= need) & (differ <= F.col("na") + F.col("nb") - 2 * need)).select("a", "b", "na", "nb").distinct()
     # The whole overlap of the pair; digests of one text differ from each other.
     part = lambda cond, i: cls.where(cond).where("c is not null").select(F.col("id").alias(i), F.col("c").alias(f"c{i}"))
@@ -259,8 +262,8 @@ def word_places(cls: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out
 
 
-def word_offers(cls: DataFrame) -> DataFrame:
-    """(train, id, n, k): pairs of the rarest words of short texts, as one number.
+def word_offers(cls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, n, k) of the train and of the evaluation side: pairs of the rarest words of short texts, as one number.
 
     Any order of the words that is the same for all texts keeps the filter exact;
     words of a place seen on one side only cannot be shared. A text of one word has
@@ -272,7 +275,7 @@ def word_offers(cls: DataFrame) -> DataFrame:
         freq = table_.value
         for pdf in batches:
             rows = []
-            for s, i, n, v in zip(pdf["train"], pdf["id"], pdf["n"], pdf["v"]):
+            for i, n, v in zip(pdf["id"], pdf["n"], pdf["v"]):
                 v = np.asarray(v, np.int64)
                 f = freq[v & (PLACES - 1)]
                 spare = int(n * (1 - THRESHOLD) + 1e-9)  # words that a near-same text may lack
@@ -283,28 +286,29 @@ def word_offers(cls: DataFrame) -> DataFrame:
                 v = v[np.lexsort((v, f))][: spare - gone + 2].tolist()  # the first two shared words are here
                 if n == 1:
                     v = v * 2
-                rows += [(s, i, n, (x << 32) ^ (y & 0xFFFFFFFF)) for j, x in enumerate(v) for y in v[j + 1 :]]
+                rows += [(i, n, (x << 32) ^ (y & 0xFFFFFFFF)) for j, x in enumerate(v) for y in v[j + 1 :]]
                 if len(rows) > 20_000:  # a batch of texts has many keys
-                    yield pd.DataFrame(rows, columns=["train", "id", "n", "k"])
+                    yield pd.DataFrame(rows, columns=["id", "n", "k"])
                     rows = []
-            yield pd.DataFrame(rows, columns=["train", "id", "n", "k"])
+            yield pd.DataFrame(rows, columns=["id", "n", "k"])
 
-    return cls.where("v is not null").select("train", "id", "n", "v").mapInPandas(go, "train boolean, id bigint, n int, k bigint")
+    one = lambda cond: cls.where(cond).where("v is not null").select("id", "n", "v").mapInPandas(go, "id bigint, n int, k bigint")
+    return one("train"), one("not train")
 
 
-def word_pairs(keys: DataFrame, cls: DataFrame) -> DataFrame:
+def word_pairs(keys: tuple[DataFrame, DataFrame], cls: DataFrame) -> DataFrame:
     """Distinct (a, b) that meet under a pair of words and hold 80 % of the longer
     one's words in the other."""
-    one = lambda cond, i: keys.where(cond).select("k", F.col("id").alias(i), F.col("n").alias(f"n{i}"))
+    one = lambda side_, i: side_.select("k", F.col("id").alias(i), F.col("n").alias(f"n{i}"))
     need = F.ceil(F.lit(THRESHOLD) * F.greatest("na", "nb") - 1e-9)
-    met = one("train", "a").join(one("not train", "b"), "k").where(F.least("na", "nb") >= need).select("a", "b", need.alias("need")).distinct()
+    met = one(keys[0], "a").join(one(keys[1], "b"), "k").where(F.least("na", "nb") >= need).select("a", "b", need.alias("need")).distinct()
     w = lambda cond, i: cls.where(cond).where("v is not null").select(F.col("id").alias(i), F.col("v").alias(f"v{i}"))
     return met.join(w("train", "a"), "a").join(w("not train", "b"), "b").where(F.size(F.array_intersect("va", "vb")) >= F.col("need")).select("a", "b")
 
 
 def overlaps(records: DataFrame, key: str, share: float = SHARE, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame, DataFrame]:
     """(class pairs: a, b, overlap fraction; membership: train, id, key)."""
-    prepared = cut(prepare(records, key))
+    prepared = cut(prepare(spread(records), key))
     # A class is represented by its smallest key. The other members are looked up
     # by key, so that the chunks of a record are not moved to find its class.
     least = cut(prepared.groupBy("h").agg(F.min("key").alias("id"), F.count("*").alias("size")).where("size > 1"))
@@ -355,7 +359,7 @@ def expanded(pairs: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "core_records").select("core_row_id", "split", "source_family", "text"))
+    return table(spark, sf_dir, "core_records").select("core_row_id", "split", "source_family", "text")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

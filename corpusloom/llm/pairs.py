@@ -46,7 +46,7 @@ _TASK = (
     r"|a (?:text|message|sample|scam|phishing)\s+(?:that|which|of|for|meant|designed|e-?mail|imitat)|(?:[\w-]+\s){1,6}(?:material|content)\b|(?:your|the|that|this) request|deceptive|fraudulent|phishing|scam)"
     r"|comply|fulfil+ (?:this|that|your|the) request|participate|imitate|impersonate|support (?:that|this) request"
 )
-REFUSAL = regex.compile(rf"\b(?:I|we|as an? (?:AI|language model|assistant)[^.\n]{{0,40}}?)?[^.\n;]{{0,40}}?{_DECLINE}(?:{_TASK})", _I)
+REFUSAL = regex.compile(rf"\b{_DECLINE}(?:{_TASK})", _I)
 RULES = regex.compile(
     r"\b(?:against|violates?|breach(?:es)?|outside|not allowed (?:by|under)|prohibited by)\s+(?:my|our|the|openai['’]?s?|content|usage|safety)\s*(?:usage |content |safety |own )*(?:rules|polic(?:y|ies)|guidelines|terms)\b|"
     r"\bmy (?:guidelines|rules|polic(?:y|ies)|programming) (?:do|does)(?: not|n['’]t) (?:allow|permit)|\bas an? (?:AI|(?:large )?language model|AI (?:model|assistant))\b",
@@ -67,7 +67,7 @@ FUNCTION_WORDS = {
 }
 LANGUAGE_NAMES = {"english": "en", "german": "de", "deutsch": "de", "french": "fr", "français": "fr", "spanish": "es", "español": "es", "portuguese": "pt", "italian": "it", "dutch": "nl", "polish": "pl", "swedish": "sv"}
 ASKED = regex.compile(r"\b(?:in|into|language[:\s]+(?:is\s+|should be\s+|must be\s+)?|write|using|be)\s+(?:\w+\s+)?(" + "|".join(LANGUAGE_NAMES) + r")\b|\b(" + "|".join(LANGUAGE_NAMES) + r")[- ](?:language|speaking|text|message|e-?mail)\b", _I)
-SCRIPT = regex.compile(r"\p{Script=Latin}")
+FOREIGN = regex.compile(r"(?=\p{L})\P{Script=Latin}")
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -81,6 +81,10 @@ def _profiles() -> dict[str, dict[str, float]]:
 
 
 PROFILE = _profiles()
+LANGUAGES_OF: dict[str, list[tuple[str, float]]] = {}
+for _lang, _weights in PROFILE.items():
+    for _word, _weight in _weights.items():
+        LANGUAGES_OF.setdefault(_word, []).append((_lang, _weight))
 
 
 def asked_language(prompt: str | None) -> str:
@@ -91,17 +95,17 @@ def asked_language(prompt: str | None) -> str:
 def language_scores(text: str) -> dict[str, float]:
     scores = dict.fromkeys(PROFILE, 0.0)
     for w in regex.findall(r"\p{L}+", text.lower()):
-        for lang, weights in PROFILE.items():
-            scores[lang] += weights.get(w, 0.0)
+        for lang, weight in LANGUAGES_OF.get(w, ()):
+            scores[lang] += weight
     return scores
 
 
 def wrong_language(prompt: str | None, text: str) -> bool:
     want = asked_language(prompt)
-    letters = LETTER.findall(text)
-    if len(letters) < 12:
+    n, other = len(LETTER.findall(text)), len(FOREIGN.findall(text))
+    if n < 12:
         return False
-    if sum(not SCRIPT.match(c) for c in letters) > 0.5 * len(letters):
+    if other > 0.5 * n:
         return True
     s = language_scores(text)
     best = max(s, key=lambda k: (s[k], k == want))
@@ -129,11 +133,9 @@ def copies(prompt: str | None, text: str) -> bool:
 
 
 def refusal(text: str) -> bool:
-    """The response itself declines the task: it opens with it and is short."""
-    t = regex.sub(r"^(?:subject|re|betreff)\s*:.*\n+", "", tf.canonical(text).strip(), flags=_I)
-    head = t[:240]
-    m = REFUSAL.search(head) or RULES.search(head)
-    return bool(m) and len(t.split()) <= 70
+    """The response declines the task, at any place of it."""
+    t = tf.canonical(text)
+    return bool(REFUSAL.search(t) or RULES.search(t))
 
 
 def rule_defect(prompt: str | None, text: str | None) -> str | None:

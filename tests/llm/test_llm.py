@@ -382,3 +382,74 @@ def test_sample_carries_the_short_targets(spark):
     assert chosen.count() == chosen.select("core_row_id").distinct().count() == 100
     got = {r["target_id"]: (r["n_sampled"], r["short"]) for r in report.collect()}
     assert got == {1: (100, False), 2: (100, True), 3: (0, True)}
+
+
+def test_refusals_anywhere():
+    opening = "Thank you for the detailed brief about the spring campaign and its many readers. " * 4
+    for text in (opening + "I can't help with creating this content.", "I'm sorry, but I can't help with that request. " + opening * 3):
+        assert pairs.refusal(text)
+    assert not pairs.refusal(opening)
+
+
+def test_mails_keep_what_is_new():
+    split = mailparts.split_mail
+    assert split("On 3 May 2001 10:00, John Smith wrote:\nold one\nold two\n\nMy reply is here.\n\nThanks,\nAna") == ("My reply is here.\n\nThanks,\nAna", ["quoted"])
+    assert split("-----Original Message-----\nFrom: A B\nSent: 3 May\n\n> old\n\nA new paragraph.") == ("A new paragraph.", ["quoted"])
+    assert split("Hi\n\nFrom: Monday we use the new gate.\nTo: reach it take stairs.\n\nMore.")[1] == []
+    assert split("Hi\n\nFrom: " + "x" * 300 + "@a.example\nTo: me\n\nold") == ("Hi", ["quoted"])
+
+
+def test_mails_built_from_parts():
+    """Built mails: any sequence of replies below quotes gives back the new paragraphs."""
+    import random
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        lines, want = [], []
+        for i in range(rnd.randint(1, 60)):
+            if rnd.random() < 0.5:
+                depth = rnd.randint(1, 6)
+                head = rnd.choice([["On 3 May 2001 10:00, A B wrote:"], ["-----Original Message-----", "From: A B", "Sent: 3 May 2001"], []])
+                lines += [*head, *(["> " * depth + f"old text {i}."] * rnd.randint(1, 3)), ""]
+            else:
+                want.append(f"New sentence {i} of the sender, which stays.")
+                lines += [want[-1], ""]
+        assert mailparts.split_mail("\n".join(lines))[0].strip().split("\n\n") == (want or [""])
+
+
+def test_mail_grammar_is_linear():
+    import time
+
+    for block in (["short line"] * 1600 + ["this is a sentence."], ["Short Line"] * 1600):
+        mailparts.split_mail("warm up")
+        began = time.process_time()
+        mailparts.split_mail("\n".join(block))
+        assert time.process_time() - began < 1.0
+
+
+def test_classifier_chooses_documents(spark):
+    """With the classifier, documents that look like the lacking domain are used more."""
+    text = {"a": "alpha money transfer ", "b": "beta meeting room "}
+    rows = [(i, "a", text["a" if i % 2 else "b"] * 20) for i in range(200)] + [(1000 + i, "b", text["b"] * 20) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    w = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    used = {}
+    for on in (True, False):
+        m = mixture.mix(docs, w, classify=on)[0].where("source = 'a'").collect()
+        used[on] = [sum(r["repeats"] for r in m if r["doc_id"] % 2 == k) for k in (0, 1)]
+    assert abs(used[False][0] - used[False][1]) < 30 and used[True] != used[False]
+
+
+def test_leaks_anchors():
+    words = [f"w{i}" for i in range(60)]
+    found = leaks.Passages(((1, " ".join(words)), (2, "short item"), (3, " ".join(words[:14]))), 15)
+    for a in range(46):
+        text = "x y " + " ".join(words[a : a + 15]) + " z"
+        assert found.scan(text)[1] == (4, len(text) - 2), a
+        assert 1 not in found.scan("x " + " ".join(words[a : a + 14]) + " z")
+    assert set(found.scan("a Short  ITEM b")) == {2} and 3 in found.scan(" ".join(words[:14]))
+
+
+def test_tokens_of_ascii_and_other_texts_agree():
+    text = "Pay US$12.50, $3 or 45% by 10:30!\n\nIt's state-of-the-art [URL] (x1 2a) \x1c \t end."
+    assert endings.tokens(text) == endings.TOKEN.findall(text)
