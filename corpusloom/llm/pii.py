@@ -1,15 +1,16 @@
 """Problem 4: personal information inside free text.
 
 Weak supervision: generous patterns propose spans; regex, gazetteer, shape and
-context labelers each vote for, against or not at all. The vote patterns are
-counted over the whole corpus (their number is bounded by 3^labelers per type),
-expectation-maximisation estimates how reliable each labeler is, and a logistic
-span classifier is trained on the resulting probabilities and decides every
-span in a second pass.
+context labelers each vote for, against or not at all. Spans, votes and features
+are written once. The vote patterns are counted over the whole corpus (their
+number is bounded by 3^labelers per type), expectation-maximisation estimates how
+reliable each labeler is, and a logistic span classifier, trained on the resulting
+probabilities of a bounded sample of spans (:data:`SAMPLE` a type), decides every
+span. Beside the votes it sees features of its own: the span's shape and first
+word, the words around it and the place in its line, hashed.
 
-The name gazetteer is learned from greetings and closings of the corpus itself;
-it keeps the :data:`GAZETTEER` most frequent names, which bounds what is sent to
-executors.
+The name gazetteer is learned from greetings and closings of the corpus itself and
+stays a table, of any size; the names that a text may hold are joined to it.
 
 Defined results: null or empty texts have no finds and stay as they are; look-alike
 characters are read in their plain form (and the masked text is in that form);
@@ -26,15 +27,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.llm import textform as tf
-from corpusloom.session import spread, table
+from corpusloom.llm.overlap import join_hot
+from corpusloom.session import cut, discard, spread, table
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[STREET_ADDRESS]", "person_name": "[PERSON_NAME]"}
-GAZETTEER = 50_000
+#: Spans of each type that train the classifier (a sample by hash), and its inputs.
+SAMPLE = 20_000
+HASHED = 1 << 12
+#: Weight of the belief, beside the corpus, that a labeler's vote means what it says.
+BELIEF = 0.05
 
 # ---- fixed values: words the labelers know ------------------------------------
 
@@ -108,10 +116,16 @@ AGAINST = {
 
 
 class Gazetteer:
-    """Given names, learned from the corpus."""
+    """Given names, learned from the corpus: a table, or a few of them as a set."""
 
-    def __init__(self, given: frozenset[str]):
-        self.given = given
+    def __init__(self, given: frozenset[str] | None = None, names: DataFrame | None = None):
+        self.names, self._given = names, given
+
+    @property
+    def given(self) -> frozenset[str]:
+        if self._given is None:  # only for texts looked at one by one
+            self._given = frozenset(r.word for r in self.names.collect())
+        return self._given
 
 
 def _digits(s: str) -> int:
@@ -228,44 +242,103 @@ CLOSED = r"(?:[Rr]egards|[Tt]hanks|[Tt]hank you|Cheers|Sincerely|Best|soon|faith
 
 def learn_gazetteer(records: DataFrame, least: int = 2) -> Gazetteer:
     """Names that greet or sign; counted in the JVM over all records."""
-    found = F.explode(F.concat(F.regexp_extract_all("text", F.lit(GREETED), F.lit(1)), F.regexp_extract_all("text", F.lit(CLOSED), F.lit(1)))).alias("name")
-    top = records.select(found).groupBy("name").count().where(F.col("count") >= least).orderBy(F.desc("count"), "name").limit(GAZETTEER).collect()
-    names = {r.name for r in top if r.name not in COMMON_SET and r.name not in TITLE and r.name not in CAL}
+    found = F.explode(F.concat(F.regexp_extract_all("text", F.lit(GREETED), F.lit(1)), F.regexp_extract_all("text", F.lit(CLOSED), F.lit(1)))).alias("word")
+    names = records.select(found).groupBy("word").count().where((F.col("count") >= least) & ~F.col("word").isin([*COMMON, *TITLES, *CALENDAR])).select("word")
     # Accented names also match when their accents were lost or garbled.
-    names |= {regex.sub(r"[^A-Za-z]+", "*", n) for n in names if not n.isascii()}
-    return Gazetteer(frozenset(names))
+    return Gazetteer(names=cut(names.unionByName(names.where(F.col("word").rlike(r"[^\x00-\x7f]")).select(_garbled("word").alias("word"))).distinct()))
+
+
+def _garbled(c: str | Column) -> Column:
+    return F.regexp_replace(c, "[^A-Za-z]+", "*")
 
 
 def plain(text: str) -> str:
     return tf.canonical(text)
 
 
-def count_patterns(records: DataFrame, gaz: Gazetteer) -> dict[str, Counter]:
-    """Vote patterns of all candidates of all records."""
+@F.pandas_udf(StringType())
+def _plain(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else plain(t))
+
+
+def with_names(records: DataFrame, gaz: Gazetteer) -> DataFrame:
+    """src, rec_id, text, plain and the gazetteer's names that occur in it. Equal
+    records share their names, which are joined by the hash of the record."""
+    odd = F.col("text").rlike(r"[^\t\n\r\x20-\x7e]")
+    rows = records.select("src", "rec_id", "text", F.when(odd, _plain("text")).otherwise(F.col("text")).alias("plain"))
+    rows = cut(rows.withColumn("row", F.xxhash64("src", "rec_id", "text")))
+    found = F.array_distinct(F.regexp_extract_all("plain", F.lit(r"(\p{Lu}[^\s,.;:!?|<>()\[\]{}\"/@0-9_#+=*~$%&]+)"), F.lit(1)))
+    one = F.explode(F.array_distinct(F.flatten(F.transform(found, lambda w: F.array(w, F.regexp_replace(w, "['’]+$", ""), F.when(w.rlike(r"[^\x00-\x7f]"), _garbled(w)).otherwise(w)))))).alias("word")
+    words = rows.select("row", one)
+    freq = cut(words.groupBy("word").agg(F.count("*").alias("freq")).join(gaz.names, "word", "left_semi"))
+    total = freq.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
+    names = join_hot(words, freq, "word", "freq", total).groupBy("row").agg(F.collect_set("word").alias("names"))
+    return rows.join(names, "row", "left").drop("row")
+
+
+def features(text: str, a: int, b: int) -> list[int]:
+    """Hashed: shape, first and last word of the span, words around it, place."""
+    value = text[a:b]
+    form = regex.sub(r"(.)\1+", r"\1", regex.sub(r"\p{Ll}", "a", regex.sub(r"\p{Lu}", "A", regex.sub(r"\d", "9", value[:60]))))
+    left = regex.findall(r"\w+|[^\w\s]|\n", text[max(0, a - 60) : a].lower())[-3:]
+    right = regex.findall(r"\w+|[^\w\s]|\n", text[b : b + 60].lower())[:2]
+    own = regex.findall(r"\w+", regex.sub(r"\d", "9", value[:200].lower()))
+    got = ["s" + form, "f" + (own[0] if own else ""), "e" + (own[-1] if own else ""), "n" + str(min(len(own), 8)), "2" + " ".join(left[-2:])]
+    got += [f"l{i}{w}" for i, w in enumerate(reversed(left))] + [f"r{i}{w}" for i, w in enumerate(right)]
+    got.append("b" + ("^" if a == 0 or text[a - 1] == "\n" else "") + ("$" if b == len(text) or text[b] == "\n" else ""))
+    return sorted({xxhash.xxh32_intdigest(g) % HASHED for g in got})
+
+
+def candidates(records: DataFrame, gaz: Gazetteer) -> DataFrame:
+    """src, rec_id, text, plain (null if it is the text) and the spans proposed in
+    it, with votes and features. Written once; all later steps read it."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n: Counter = Counter()
-            for t in pdf["text"]:
-                for kind, _, _, votes in spans(plain(t), gaz):
-                    n[(kind, ",".join(map(str, votes)))] += 1
-            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "votes", "n"])
+            out = []
+            for t, names in zip(pdf["plain"], pdf["names"]):
+                own = Gazetteer(frozenset(names if names is not None else ()))
+                out.append([] if not t else [(k, a, b, list(v), features(t, a, b)) for k, a, b, v in spans(t, own)])
+            same = pdf["plain"].where(pdf["plain"] != pdf["text"], None)
+            yield pd.DataFrame({"src": pdf["src"], "rec_id": pdf["rec_id"], "text": pdf["text"], "plain": same, "spans": out})
+
+    kind = "array<struct<kind:string,a:int,b:int,votes:array<tinyint>,f:array<smallint>>>"
+    return cut(with_names(records, gaz).mapInPandas(go, f"src string, rec_id bigint, text string, plain string, spans {kind}"))
+
 
-    got = records.where("text is not null").select("text").mapInPandas(go, "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
+def patterns_of(found: DataFrame) -> dict[str, Counter]:
+    got = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).collect()
     out: dict[str, Counter] = {k: Counter() for k in TYPES}
     for r in got:
-        out[r.kind][tuple(map(int, r.votes.split(",")))] += r.n
+        out[r.kind][tuple(r.votes)] += r.n
+    return out
+
+
+def count_patterns(records: DataFrame, gaz: Gazetteer) -> dict[str, Counter]:
+    """Vote patterns of all candidates of all records."""
+    return patterns_of(candidates(records, gaz))
+
+
+def sampled(found: DataFrame, patterns: dict[str, Counter]) -> dict[str, list[tuple]]:
+    """About SAMPLE (votes, features) of each type, by the hash of the span."""
+    share = F.coalesce(*(F.when(F.col("s.kind") == k, F.lit(min(1.0, SAMPLE / max(1, sum(n.values()))))) for k, n in patterns.items()))
+    u = F.pmod(F.xxhash64("src", "rec_id", "s.kind", "s.a"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    out: dict[str, list[tuple]] = {k: [] for k in TYPES}
+    for r in found.select("src", "rec_id", F.explode("spans").alias("s")).where(u < share).select("s.kind", "s.votes", "s.f").collect():
+        out[r.kind].append((tuple(r.votes), r.f))
     return out
 
 
 def estimate(patterns: Counter, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM over labelers that are independent given the truth: patterns, their
-    weights and P(true). A labeler's reliability is P(vote | truth); votes stay
-    better than chance, which keeps the two classes from trading places."""
+    weights and P(true). A labeler's reliability is P(vote | truth), estimated from
+    the corpus and from BELIEF of its size in spans where the vote is right, which
+    keeps the two classes from trading places."""
     if not patterns:
         return np.zeros((0, 0), dtype=int), np.zeros(0), np.zeros(0)
     votes = np.array(sorted(patterns), dtype=int)
     n = np.array([patterns[tuple(v)] for v in votes], dtype=float)
+    belief = BELIEF * n.sum() + 2
     # Start: labelers' plain majority, an opposing vote weighing double.
     q = 1 / (1 + np.exp(-(1.5 * (votes == 1).sum(1) - 3.0 * (votes == -1).sum(1) - 1.0)))
     for _ in range(rounds):
@@ -274,20 +347,19 @@ def estimate(patterns: Counter, rounds: int = 30) -> tuple[np.ndarray, np.ndarra
         for j in range(votes.shape[1]):
             for v in (-1, 0, 1):
                 at = votes[:, j] == v
-                yes = ((n * q)[at].sum() + 1) / ((n * q).sum() + 3)
-                no = ((n * (1 - q))[at].sum() + 1) / ((n * (1 - q)).sum() + 3)
-                weight = math.log(yes / no)
-                weight = max(weight, 0.2) if v == 1 else min(weight, -2.0) if v == -1 else float(np.clip(weight, -3, 1.0))
-                logit[at] += np.clip(weight, -8, 8)
+                sure = belief * (v == 1), belief * (v == -1)
+                yes = ((n * q)[at].sum() + 1 + sure[0]) / ((n * q).sum() + 3 + belief)
+                no = ((n * (1 - q))[at].sum() + 1 + sure[1]) / ((n * (1 - q)).sum() + 3 + belief)
+                logit[at] += math.log(yes / no)
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return votes, n, q
 
 
 class SpanClassifier:
-    """Logistic regression on the votes (one weight per labeler and vote)."""
+    """Logistic regression on votes (one weight per labeler and vote) and features."""
 
-    def __init__(self, weights: dict[str, np.ndarray]):
-        self.weights = weights
+    def __init__(self, weights: dict[str, np.ndarray], own: dict[str, np.ndarray] | None = None):
+        self.weights, self.own = weights, own or {}
         self.memo: dict = {}
 
     @staticmethod
@@ -295,8 +367,9 @@ class SpanClassifier:
         return np.hstack([np.ones((len(votes), 1)), votes == 1, votes == -1]).astype(float)
 
     @classmethod
-    def train(cls, patterns: dict[str, Counter], rounds: int = 400) -> SpanClassifier:
-        weights = {}
+    def train(cls, patterns: dict[str, Counter], sample: dict[str, list[tuple]] | None = None, rounds: int = 400) -> SpanClassifier:
+        """On the votes of all patterns; then, with a sample, on features as well."""
+        weights, own = {}, {}
         for kind, seen in patterns.items():
             votes, n, q = estimate(seen)
             if not len(votes):
@@ -311,27 +384,49 @@ class SpanClassifier:
                 if np.abs(step).max() < 1e-6:
                     break
             weights[kind] = beta
-        return cls(weights)
+            if sample and sample.get(kind):
+                own[kind] = cls._learn(sample[kind], dict(zip(map(tuple, votes.tolist()), q)), beta)
+        return cls(weights, own)
 
-    def accept(self, kind: str, votes: tuple[int, ...]) -> bool:
+    @classmethod
+    def _learn(cls, sample: list[tuple], truth: dict[tuple, float], beta: np.ndarray, rounds: int = 60) -> np.ndarray:
+        """Weights of the hashed features beside the votes: gradient steps with a ridge."""
+        q = np.array([truth[v] for v, _ in sample])
+        base = cls.features(np.array([v for v, _ in sample])) @ beta
+        rows = np.repeat(np.arange(len(sample)), [len(f) for _, f in sample])
+        cols = np.concatenate([np.asarray(f, np.int64) for _, f in sample])
+        count = np.bincount(cols, minlength=HASHED)
+        w = np.zeros(HASHED)
+        for _ in range(rounds):
+            z = base + np.bincount(rows, w[cols], minlength=len(sample))
+            g = np.bincount(cols, (q - 1 / (1 + np.exp(-np.clip(z, -30, 30))))[rows], minlength=HASHED)
+            w += 0.5 * (g - 0.5 * w) / (count + 5.0)
+        return w
+
+    def accept(self, kind: str, votes: tuple[int, ...], own: list[int] | None = None) -> bool:
         key = (kind, votes)
         if key not in self.memo:
             beta = self.weights.get(kind)
-            self.memo[key] = beta is not None and float((self.features(np.array([votes])) @ beta)[0]) > 0
-        return self.memo[key]
+            self.memo[key] = -math.inf if beta is None else float((self.features(np.array([votes])) @ beta)[0])
+        w = self.own.get(kind)
+        return self.memo[key] + (float(w[own].sum()) if w is not None and own is not None and len(own) else 0.0) > 0
 
 
-def finds(text: str, gaz: Gazetteer, model: SpanClassifier) -> list[tuple[str, int, int]]:
+def chosen(got: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
     """Accepted spans that do not overlap, in order."""
-    got = sorted(((a, -b, TYPES.index(k), k) for k, a, b, v in spans(text, gaz) if model.accept(k, v)))
     out, end = [], -1
-    for a, b, _, k in got:
+    for a, b, _, k in sorted((a, -b, TYPES.index(k), k) for a, b, k in got):
         if a >= end:
             out.append((k, a, -b))
             end = -b
     return out
 
 
+def finds(text: str, gaz: Gazetteer, model: SpanClassifier) -> list[tuple[str, int, int]]:
+    """Finds in one text."""
+    return chosen([(a, b, k) for k, a, b, v in spans(text, gaz) if model.accept(k, v, features(text, a, b) if model.own else None)])
+
+
 def mask(text: str, found: list[tuple[str, int, int]]) -> str:
     out, at = [], 0
     for kind, a, b in found:
@@ -340,26 +435,26 @@ def mask(text: str, found: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(records: DataFrame) -> DataFrame:
-    """src, rec_id, text with placeholders, finds (type, value): one row per row."""
+def redact(records: DataFrame, classify: bool = True) -> DataFrame:
+    """src, rec_id, text with placeholders, finds (type, value): one row per row.
+    ``classify`` switches the span classifier's own features off."""
     gaz = learn_gazetteer(records)
-    model = SpanClassifier.train(count_patterns(records, gaz))
+    found = candidates(records, gaz)
+    discard(gaz.names)
+    patterns = patterns_of(found)
+    model = SpanClassifier.train(patterns, sampled(found, patterns) if classify else None)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, found = [], []
-            for t in pdf["text"]:
-                if t is None:
-                    texts.append(None)
-                    found.append([])
-                    continue
-                p = plain(t)
-                got = finds(p, gaz, model)
+            texts, out = [], []
+            for t, p, all_ in zip(pdf["text"], pdf["plain"], pdf["spans"]):
+                p = t if p is None else p
+                got = chosen([(x["a"], x["b"], x["kind"]) for x in all_ if model.accept(x["kind"], tuple(x["votes"]), x["f"])])
                 texts.append(mask(p, got) if got else t)
-                found.append([{"pii_type": k, "value": p[a:b]} for k, a, b in got])
-            yield pd.DataFrame({"src": pdf["src"], "rec_id": pdf["rec_id"], "text": texts, "finds": found})
+                out.append([{"pii_type": k, "value": p[a:b]} for k, a, b in got])
+            yield pd.DataFrame({"src": pdf["src"], "rec_id": pdf["rec_id"], "text": texts, "finds": out})
 
-    return records.select("src", "rec_id", "text").mapInPandas(go, "src string, rec_id bigint, text string, finds array<struct<pii_type:string,value:string>>")
+    return found.mapInPandas(go, "src string, rec_id bigint, text string, finds array<struct<pii_type:string,value:string>>")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
