@@ -83,10 +83,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input with fewer splits than cores; an
-    input that already has enough splits is left alone (no shuffle)."""
+    """Give every core a share of an input with splits for at most half of them; an
+    input with more is left alone, as evening it out is not worth a shuffle."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    return df.repartition(want) if 2 * df.rdd.getNumPartitions() <= want else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,10 +30,11 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> D
 
 
 def jsonl_tolerant(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, number of bad lines)."""
+    """(good rows, number of bad lines). The scan does not answer questions about its
+    bad lines alone, so the count reads a column of the schema, too."""
     wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     raw = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return raw.where("_bad is null").drop("_bad"), raw.agg(F.count("_bad").alias("n_bad"))
+    return raw.where("_bad is null").drop("_bad"), raw.agg(F.count_if(F.col("_bad").isNotNull() & (F.xxhash64(schema[0].name) != 0)).alias("n_bad"))
 
 
 def jsonl_with_provenance(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
@@ -100,10 +101,11 @@ def zipped_tsv(spark: SparkSession, path: str) -> DataFrame:
     def members(_: str, content: bytes) -> Iterator[tuple]:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             for name in z.namelist():
-                for line in z.read(name).decode("utf-8", "replace").splitlines():
-                    label, tab, text = line.partition("\t")
-                    if tab:
-                        yield name, label, text
+                with z.open(name) as lines:  # streamed: a member is never whole in memory
+                    for line in lines:
+                        label, tab, text = line.decode("utf-8", "replace").rstrip("\r\n").partition("\t")
+                        if tab:
+                            yield name, label, text
 
     return _members(binary(spark, path), members, "member string, label string, text string")
 
@@ -190,22 +192,33 @@ def body(raw: bytes, prefer_plain: bool = True) -> tuple[str | None, str | None,
     return head("subject"), head("from"), head("date"), text
 
 
-def mbox(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of mbox files: subject, from, date, text, in file order."""
+def mbox_messages(spark: SparkSession, path: str) -> DataFrame:
+    """(file, position, raw): messages split at ``From `` lines by the text scan
+    itself, so that a file of any size is read by many tasks. Positions grow in file
+    order; the bytes are as stored."""
+    # The delimiter takes the words "From " off all messages but the first of a file.
+    r = spark.read.option("lineSep", "\nFrom ").text(path)
+    return r.select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("position"), F.col("value").cast("binary").alias("raw")).where(F.length("raw") > 0)
 
-    def members(p: str, content: bytes) -> Iterator[tuple]:
-        at = [m.start() for m in re.finditer(rb"^From \S", content, re.M)]
-        for i, (a, b) in enumerate(zip(at, [*at[1:], len(content)])):
-            message = content[a:b].partition(b"\n")[2]
-            yield (p.rsplit("/", 1)[-1], i + 1, *body(re.sub(rb"^>(>*From )", rb"\1", message, flags=re.M)))
 
-    return _members(binary(spark, path), members, "file string, position int, subject string, from_addr string, date_raw string, text string")
+def mbox(spark: SparkSession, path: str, prefer_plain: bool = True) -> DataFrame:
+    """Messages of mbox files: subject, from, date, text."""
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for f, i, raw in zip(pdf["file"], pdf["position"], pdf["raw"]):
+                message = bytes(raw).partition(b"\n")[2]
+                rows.append((f, i, *body(re.sub(rb"^>(>*From )", rb"\1", message, flags=re.M), prefer_plain)))
+            yield pd.DataFrame(rows, columns=["file", "position", "subject", "from_addr", "date_raw", "text"])
+
+    return mbox_messages(spark, path).mapInPandas(go, "file string, position bigint, subject string, from_addr string, date_raw string, text string")
 
 
 def mbox_by_regex(spark: SparkSession, path: str) -> DataFrame:
     """Messages split at ``From `` lines in the JVM; the body follows the first blank line."""
-    parts = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^(?=From \S)")).alias("message"))
-    return parts.where(F.col("message").startswith("From ")).select(F.regexp_extract("message", r"(?s)\A.*?\n\n(.*)\z", 1).alias("text"))
+    raw = mbox_messages(spark, path).select(F.col("raw").cast("string").alias("message"))
+    return raw.select(F.regexp_extract("message", r"(?s)\A.*?\n\n(.*)\z", 1).alias("text"))
 
 
 def answers(spark: SparkSession, path: str) -> DataFrame:
@@ -236,16 +249,30 @@ def prompt_blocks(text: str, separator: str = r"^=+\s*$") -> list[str]:
 
 
 def first_that_works(ways: list[Callable[[], DataFrame]]) -> DataFrame:
-    """The first source that can be opened; the last error if none can."""
+    """The first source that can be read (a row is asked for); the last error if none can."""
     last: Exception | None = None
     for way in ways:
         try:
-            return way()
+            df = way()
+            df.limit(1).collect()
+            return df
         except Exception as e:  # noqa: BLE001 - try the next mirror
             last = e
     raise last or FileNotFoundError("no source given")
 
 
+def prompt_files(spark: SparkSession, path: str, separator: str = r"(?m)^=+\s*$") -> DataFrame:
+    """(file, block): non-empty blocks of prompt files between separator lines."""
+    r = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.explode(F.split("value", separator)).alias("block"))
+    return r.withColumn("block", F.regexp_replace("block", r"^\s+|\s+$", "")).where("block != ''")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever file system it names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def pending_scores(rows: DataFrame, cache: DataFrame, key: str, needed: list[str]) -> DataFrame:
     """Rows whose cached values are missing or incomplete."""
     have = cache.dropna(subset=needed).select(key).distinct()

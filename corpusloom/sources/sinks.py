@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import json
+import os
 import re
+import tarfile
+import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,9 +62,38 @@ def csv_table(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small result table as Markdown; ``limit`` rows at most (a report)."""
-    rows = df.limit(limit).collect()
+def archives(df: DataFrame, folder: str, kind: str) -> int:
+    """One ``zip`` or ``tar.gz`` a partition with the rows (member, content) of ``df``,
+    in a folder that all executors mount; written aside and renamed, so a task that
+    runs again leaves one archive. Returns the number of members."""
+    place = folder.removeprefix("file:")
+    place = "/" + place.lstrip("/")
+    os.makedirs(place, exist_ok=True)
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = TaskContext.get()
+        path = f"{place}/part-{context.partitionId():05d}.{kind}"
+        aside, n = f"{place}/.{context.taskAttemptId()}.{kind}", 0
+        with zipfile.ZipFile(aside, "w", zipfile.ZIP_DEFLATED) if kind == "zip" else tarfile.open(aside, "w:gz") as out:
+            for pdf in batches:
+                for member, content in zip(pdf["member"], pdf["content"]):
+                    data = content.encode()
+                    if kind == "zip":
+                        out.writestr(member, data)
+                    else:
+                        info = tarfile.TarInfo(member)
+                        info.size = len(data)
+                        out.addfile(info, io.BytesIO(data))
+                    n += 1
+        os.replace(aside, path)
+        yield pd.DataFrame({"n": [n]})
+
+    return df.select("member", "content").mapInPandas(go, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def markdown(df: DataFrame) -> str:
+    """A result table as Markdown, fetched part by part (a report)."""
+    rows = df.toLocalIterator()
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
 

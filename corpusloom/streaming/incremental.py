@@ -23,20 +23,26 @@ def first_seen(stream: DataFrame, text: str, at: str, late: str = "7 days") -> D
 
 
 def append_new_keys(stream: DataFrame, key: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch appends only keys that ``out`` does not hold; a batch that is
-    run again after a failure finds its keys there and adds nothing."""
-
-    def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        try:
-            new = new.join(spark.read.parquet(out).select(key).distinct(), key, "left_anti")
-        except Exception as e:  # noqa: BLE001 - nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        new.write.mode("append").parquet(out)
-
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Appends the first row of every key. Keys seen before are state beside the
+    checkpoint, so a run that goes on from it reads only new files, and neither what
+    was written nor the input is read again; the file sink writes each batch once."""
+    new = stream.dropDuplicates([key])
+    return new.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def written_windows(counts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Counts of windows that are still open as well: each batch that changes them
+    writes the changed ones under its number; :func:`latest` reads the last of each."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.withColumn("_batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str, keys: list[str], value: str) -> DataFrame:
+    r = spark.read.option("recursiveFileLookup", "true").parquet(out)
+    return r.groupBy(*keys).agg(F.max_by(value, "_batch").alias(value))
 
 
 def tumbling(events: DataFrame, at: str, width: str, late: str, *by: str) -> DataFrame:
