@@ -7,11 +7,15 @@ the small table of strata, never on rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.joins import seeded
 from corpusloom.operators.windows import ordinal, seeded_rank, take_per
+from corpusloom.session import cut
+from corpusloom.sources.readers import exists
 
 
 def _all():  # noqa: ANN202 - WindowSpec over a table of strata
@@ -64,6 +68,30 @@ def stratified_split(df: DataFrame, strata: list[str], key: str, val: float, tes
     return r.select(key, F.when(small, "train").when(F.col("_r") <= F.col("_t"), "test").when(F.col("_r") <= F.col("_t") + F.col("_v"), "val").otherwise("train").alias("new_split"))
 
 
+def nested_split(df: DataFrame, strata: list[str], key: str, train: float, val: float, seed: int) -> DataFrame:
+    """key and ``new_split``: a stratified train sample, a stratified val sample of the
+    rest, and test."""
+    n = df.count()
+    a = cut(downsample(df, int(n * train), strata, key, seed).select(key))
+    v = downsample(df.join(a, key, "left_anti"), int(n * val), strata, key, seed + 1).select(key)
+    marks = a.withColumn("new_split", F.lit("train")).unionByName(v.withColumn("new_split", F.lit("val")))
+    return df.select(key).join(marks, key, "left").withColumn("new_split", F.coalesce("new_split", F.lit("test")))
+
+
+def stratified_or_random(df: DataFrame, n: int, strata: list[str], key: str, seed: int) -> DataFrame:
+    """A stratified sample of n rows, or a plain one if a stratum has a single row."""
+    if df.groupBy(*strata).count().where("count < 2").limit(1).count():
+        return df.select(key).orderBy(*seeded(seed, F.col(key))).limit(n)
+    return downsample(df, n, strata, key, seed).select(key)
+
+
+def ensure_sample(spark: SparkSession, path: str, draw: Callable[[], DataFrame]) -> DataFrame:
+    """The sample that stands at ``path``; drawn and written only if none does."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        draw().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def group_split(df: DataFrame, group: str, seed: int) -> DataFrame:
     """Rows with ``new_split``, equal for all rows of a group. Groups are ranked by
     hash across partitions, so their number does not matter."""

@@ -13,6 +13,7 @@ from corpusloom.operators import windows as W
 from corpusloom.plans.q_records import FAMILY, SPLIT, family, split_norm
 from corpusloom.plans.q_text import SQL_CHANNEL, TOKENS, channel_norm, q, sql_bin, sql_words
 from corpusloom.plans.registry import Tables, query
+from corpusloom.session import remove_at_exit, shared_folder
 
 FAM = FAMILY.format(c="scenario_family")
 
@@ -468,6 +469,90 @@ def b21_cover_then_fill(t: Tables) -> DataFrame:
     return S.cover_then_fill(core(t).select("core_row_id", "family", "bin"), ["family"], ["family", "bin"], 60, "core_row_id", 9)
 
 
+def sample_sql(src: str, n: str, keys: list[str], seed: int, key: str = "core_row_id") -> str:
+    """Keys of a stratified sample of n rows by largest remainders."""
+    by = ", ".join(keys)
+    return f"""SELECT {key} FROM (SELECT {key}, {by}, row_number() OVER (PARTITION BY {by} ORDER BY md5('{seed}|' || {key}), {key}) AS r FROM {src}) JOIN (
+ SELECT {by}, least(cnt, CAST(floor(e) AS BIGINT) + CASE WHEN place <= rem THEN 1 ELSE 0 END) AS quota FROM (
+ SELECT *, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, {by}) AS place, {n} - sum(floor(e)) OVER () AS rem FROM (
+ SELECT *, {n} * cnt / CAST(sum(cnt) OVER () AS DOUBLE) AS e FROM (SELECT {by}, count(*) AS cnt FROM {src} GROUP BY {by})))) USING ({by}) WHERE r <= quota"""
+
+
+@query("b8_merge_relabel", "SELECT core_row_id, label, CASE WHEN label = 0 THEN 'human' ELSE 'llm' END AS label_str FROM core_records WHERE label IN (0, 1)")
+def b8_merge_relabel(t: Tables) -> DataFrame:
+    """Groups are merged, relabelled, and their helper column is dropped."""
+    r = t("core_records").where("label in (0, 1)").select("core_row_id", "label")
+    parts = [r.where(F.col("label") == n).withColumn("_group", F.lit(g)) for n, g in ((0, "A"), (1, "B"))]
+    return J.union_all(*parts).withColumn("label_str", F.when(F.col("label") == 0, "human").otherwise("llm")).drop("_group")
+
+
+_PAIRS = """(SELECT c.question_id, coalesce(lower(trim(c.length_bin)), '') AS bin FROM core_records c JOIN (SELECT question_id FROM core_records WHERE question_id IS NOT NULL AND label IN (0, 1) GROUP BY 1
+ HAVING count(*) FILTER (WHERE label = 0) = 1 AND count(*) FILTER (WHERE label = 1) = 1) USING (question_id) WHERE c.label = 0)"""
+
+
+@query("b13_pair_sample", f"SELECT core_row_id FROM core_records WHERE label IN (0, 1) AND question_id IN ({sample_sql(_PAIRS, '800', ['bin'], 7, 'question_id')})")
+def b13_pair_sample(t: Tables) -> DataFrame:
+    """Up to 800 complete question pairs, stratified by the human side's bin."""
+    r = t("core_records").where("label in (0, 1)")
+    pairs = J.complete_pairs(r, "question_id", F.col("label") == 0)
+    human = r.where("label = 0").join(pairs, "question_id").select("question_id", F.coalesce(F.lower(F.trim("length_bin")), F.lit("")).alias("bin"))
+    return r.join(S.downsample(human, 800, ["bin"], "question_id", 7).select("question_id"), "question_id", "left_semi").select("core_row_id")
+
+
+_CORE = f"(SELECT core_row_id, coalesce(family, '') AS family, coalesce(bin, '') AS bin FROM ({CORE}))"
+_N = "(SELECT count(*) FROM core_records)"
+
+
+@query(
+    "b15_nested_split",
+    f"""WITH a AS ({sample_sql(_CORE, f"CAST(floor({_N} * 0.75e0) AS BIGINT)", ['family', 'bin'], 42)}), rest AS (SELECT * FROM {_CORE} WHERE core_row_id NOT IN (SELECT core_row_id FROM a)),
+v AS ({sample_sql('rest', f"CAST(floor({_N} * 0.15e0) AS BIGINT)", ['family', 'bin'], 43)})
+SELECT core_row_id, CASE WHEN core_row_id IN (SELECT core_row_id FROM a) THEN 'train' WHEN core_row_id IN (SELECT core_row_id FROM v) THEN 'val' ELSE 'test' END AS new_split FROM core_records""",
+)
+def b15_nested_split(t: Tables) -> DataFrame:
+    """Train is drawn first, val from what is left, test is the remainder."""
+    r = core(t).select("core_row_id", F.coalesce("family", F.lit("")).alias("family"), F.coalesce("bin", F.lit("")).alias("bin"))
+    return S.nested_split(r, ["family", "bin"], "core_row_id", 0.75, 0.15, 42)
+
+
+@query("b19_stratified_or_random", f"SELECT 'strata' AS way, core_row_id FROM ({sample_sql(_CORE, '200', ['family'], 42)}) UNION ALL SELECT 'random', core_row_id FROM (SELECT core_row_id FROM core_records ORDER BY md5('42|' || core_row_id), core_row_id LIMIT 200)")
+def b19_stratified_or_random(t: Tables) -> DataFrame:
+    """By strata where each has two rows; plainly random where one has not."""
+    r = core(t).select("core_row_id", F.coalesce("family", F.lit("")).alias("family"))
+    a, b = S.stratified_or_random(r, 200, ["family"], "core_row_id", 42), S.stratified_or_random(r, 200, ["core_row_id"], "core_row_id", 42)
+    return a.select(F.lit("strata").alias("way"), "core_row_id").unionByName(b.select(F.lit("random").alias("way"), "core_row_id"))
+
+
+@query("b22_freeze_once", "SELECT doc_id FROM documents ORDER BY md5('11|' || doc_id), doc_id LIMIT 50")
+def b22_freeze_once(t: Tables) -> DataFrame:
+    """The second call, with another seed, gets the sample that the first one wrote."""
+    path = remove_at_exit(t.spark, shared_folder(t.spark, "b22"))
+    draw = lambda seed: t("documents").select("doc_id").orderBy(*J.seeded(seed, F.col("doc_id"))).limit(50)
+    S.ensure_sample(t.spark, path, lambda: draw(11))
+    return S.ensure_sample(t.spark, path, lambda: draw(12))
+
+
+_POOL = "list_filter(['short', 'medium', 'long'], lambda b: b <> lower(length_bin))"
+
+
+@query(
+    "b24_generation_grid",
+    f"""WITH g AS (SELECT target_id, target_permille AS n, least(12, CASE lower(channel) WHEN 'sms' THEN 12 WHEN 'email' THEN 5 ELSE 4 END) AS size, [lower(length_bin)] || {_POOL} AS pool FROM sample_targets),
+k AS (SELECT *, unnest(range(0, CAST(ceil(n / CAST(size AS DOUBLE)) AS BIGINT))) AS batch FROM g)
+SELECT target_id, batch, least(size, n - size * batch) AS size, pool[1 + batch % len(pool)] AS bin FROM k""",
+)
+def b24_generation_grid(t: Tables) -> DataFrame:
+    """Jobs of at most the channel's size, each with the next bin of its cell's pool,
+    the wanted bin first."""
+    c = F.lower("channel")
+    size = F.when(c == "sms", 12).when(c == "email", 5).otherwise(4)
+    own = F.lower("length_bin")
+    pool = F.concat(F.array(own), F.filter(F.array(F.lit("short"), F.lit("medium"), F.lit("long")), lambda b: b != own))
+    n = F.ceil(F.col("target_permille") / size).cast("long")
+    g = t("sample_targets").select("target_id", "target_permille", size.alias("s"), pool.alias("pool"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("batch"))
+    return g.select("target_id", "batch", F.least("s", F.col("target_permille") - F.col("s") * F.col("batch")).alias("size"), F.get("pool", (F.col("batch") % F.size("pool")).cast("int")).alias("bin"))
+
+
 @query("b23_simple_sample", "SELECT doc_id FROM documents ORDER BY md5('11|' || doc_id), doc_id LIMIT 50")
 def b23_simple_sample(t: Tables) -> DataFrame:
     return t("documents").select("doc_id").orderBy(*J.seeded(11, F.col("doc_id"))).limit(50)

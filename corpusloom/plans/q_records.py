@@ -250,6 +250,36 @@ def j8_tiered_match(t: Tables) -> DataFrame:
     return J.match_tiers(held, human, "core_row_id", _TIER)
 
 
+_SET = "WITH m AS (SELECT * FROM (" + _tier_sql() + f")), h AS (SELECT core_row_id, {FAMILY.format(c='scenario_family')} AS family, coalesce(contains(lower(origin_model), 'claude'), false) AS held, label FROM core_records)"
+
+
+@query(
+    "b18_companion_report",
+    _SET
+    + """ SELECT family, CAST(count(*) AS BIGINT) AS n_held, count(tier) AS n_matched, count(*) FILTER (WHERE tier = 0) AS n_tier0, count(*) FILTER (WHERE tier = 1) AS n_tier1, count(*) FILTER (WHERE tier = 2) AS n_tier2,
+ CASE WHEN count(tier) = count(*) THEN 'none' WHEN count(tier) = 0 THEN 'no human text' ELSE 'too few human texts' END AS shortfall, count(*) FILTER (WHERE tier <= 1) >= 0.5e0 * count(tier) AS half_tier_0_or_1
+ FROM h LEFT JOIN m ON m.left_id = h.core_row_id WHERE held AND label = 1 GROUP BY 1""",
+)
+def b18_companion_report(t: Tables) -> DataFrame:
+    """Per family: held-out texts, their human companions by tier, why some have none,
+    and whether at least half were matched in the two best tiers."""
+    held, human = tier_sides(t)
+    m = J.match_tiers(held, human, "core_row_id", _TIER).select(F.col("left_id").alias("core_row_id"), "tier")
+    g = held.select("core_row_id", "family").join(m, "core_row_id", "left").groupBy("family")
+    n, k = F.count("*"), F.count("tier")
+    why = F.when(k == n, "none").when(k == 0, "no human text").otherwise("too few human texts")
+    tier = lambda i: F.count_if(F.col("tier") == i).alias(f"n_tier{i}")
+    return g.agg(n.alias("n_held"), k.alias("n_matched"), tier(0), tier(1), tier(2), why.alias("shortfall"), (F.count_if(F.col("tier") <= 1) >= F.lit(0.5) * k).alias("half_tier_0_or_1"))
+
+
+@query("b18_companion_set", _SET + " SELECT core_row_id, 1 AS label, tier FROM h JOIN m ON m.left_id = core_row_id UNION ALL SELECT right_id, 0, tier FROM m")
+def b18_companion_set(t: Tables) -> DataFrame:
+    """The balanced set: held-out texts and their human companions."""
+    m = J.match_tiers(*tier_sides(t), "core_row_id", _TIER)
+    side = lambda c, n: m.select(F.col(c).alias("core_row_id"), F.lit(n).alias("label"), "tier")
+    return side("left_id", 1).unionByName(side("right_id", 0))
+
+
 @query(
     "j9_nearest_length",
     """WITH p AS (SELECT row_number() OVER (ORDER BY gen_id) AS p, 0 AS z, channel, fraudness, length(text) AS s FROM llm_mass_generation WHERE text IS NOT NULL AND channel IS NOT NULL AND fraudness IS NOT NULL),
