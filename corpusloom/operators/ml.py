@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, CountVectorizer, VectorAssembler
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import stats
+from corpusloom.session import cut
 
 
 def scale(train: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
@@ -29,14 +31,16 @@ def impute(train: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def word_grams(c: Column, low: int = 1, high: int = 2) -> Column:
-    """Word n-grams of the lower-cased text."""
+    """Word n-grams of the lower-cased text. Longer ones are zipped from shorter ones
+    and shifted words, because what stands inside a lambda is evaluated per element."""
     w = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-
-    def of(n: int) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
-
-    return F.concat(*(w if n == 1 else of(n) for n in range(low, high + 1)))
+    of, got = w, [w] if low == 1 else []
+    for n in range(2, high + 1):
+        left = F.greatest(F.size(w) - (n - 1), F.lit(0))
+        of = F.zip_with(F.slice(of, F.lit(1), left), F.slice(w, F.lit(n), left), lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= low:
+            got.append(of)
+    return F.concat(*got)
 
 
 def char_grams(c: Column, low: int = 2, high: int = 4) -> Column:
@@ -46,20 +50,24 @@ def char_grams(c: Column, low: int = 2, high: int = 4) -> Column:
     return F.concat(*(of(n) for n in range(low, high + 1)))
 
 
-def tfidf_long(docs: DataFrame, key: str, terms: str, vocabulary: DataFrame, n_docs: int) -> DataFrame:
-    """(key, term, weight): 1 + ln(tf), times ln((1 + n) / (1 + df)) + 1, scaled to
-    unit length; ``vocabulary`` has term and df of the training documents."""
-    tf = docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    w = tf.join(vocabulary, "term").withColumn("w", (1 + F.ln("tf")) * (F.ln(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("_n")).alias("weight"))
+def term_counts(docs: DataFrame, key: str, terms: str) -> DataFrame:
+    """(key, term, tf), written once: vocabulary and weights both read it."""
+    return cut(docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
+
 
+def vocabulary(counts: DataFrame, n_docs: int, size: int, min_df: int = 3, max_df: float = 0.95) -> DataFrame:
+    """(term, df) of the ``size`` most frequent terms within the document-frequency bounds."""
+    v = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    return v.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).orderBy(F.desc("cf"), "term").limit(size).select("term", "df")
 
-def vocabulary(docs: DataFrame, key: str, terms: str, size: int, min_df: int = 3, max_df: float = 0.95) -> tuple[DataFrame, int]:
-    """(term, df) of the most frequent terms within the document-frequency bounds."""
-    n = docs.count()
-    tf = docs.select(key, F.explode(terms).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
-    return tf.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("cf"), "term").limit(size).select("term", "df"), n
+
+def tfidf_long(counts: DataFrame, key: str, vocabulary: DataFrame, n_docs: int) -> DataFrame:
+    """(key, term, weight): 1 + ln(tf), times ln((1 + n) / (1 + df)) + 1, scaled to
+    unit length; ``vocabulary`` has term and df of the training documents. Only terms
+    of the vocabulary (bounded by its size, hence broadcast) are moved, once."""
+    w = counts.join(F.broadcast(vocabulary), "term").select(key, "term", ((1 + F.ln("tf")) * (F.ln(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1)).alias("w"))
+    one = w.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("_t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
+    return one.select(key, "_n", F.explode("_t").alias("_t")).select(key, F.col("_t.term").alias("term"), (F.col("_t.w") / F.col("_n")).alias("weight"))
 
 
 def balanced_weights(train: DataFrame, label: str = "label") -> DataFrame:
@@ -79,6 +87,11 @@ def registry(n_train: int) -> dict[str, object]:
         "decision_tree": DecisionTreeClassifier(maxDepth=8, minInstancesPerNode=5, seed=42, **common),
         "random_forest": RandomForestClassifier(numTrees=40, maxDepth=8, seed=42, **common),
         "gbt": GBTClassifier(maxIter=15, maxDepth=4, seed=42, **common),
+        "lr_l1": LogisticRegression(regParam=1.0 / max(1, n_train), elasticNetParam=1.0, weightCol="weight", maxIter=60, **common),
+        "sgd_log": LogisticRegression(regParam=1e-4, weightCol="weight", maxIter=10, **common),
+        "gaussian_nb": NaiveBayes(modelType="gaussian", weightCol="weight", **common),
+        "bagging": RandomForestClassifier(numTrees=20, maxDepth=8, featureSubsetStrategy="all", subsamplingRate=0.5, seed=42, **common),
+        "deep_tree": DecisionTreeClassifier(maxDepth=16, seed=42, **common),
     }
 
 
@@ -87,15 +100,51 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit(train: DataFrame, name: str, features: list[str]) -> tuple[PipelineModel, float]:
-    """(fitted pipeline, seconds)."""
+    """(fitted pipeline, seconds). Features are numeric columns or array columns of
+    terms; the latter become blocks of TF-IDF weights beside the others."""
     data = balanced_weights(train).persist()
     began = time.time()
-    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), registry(data.count())[name]]).fit(data)
+    model = Pipeline(stages=[*blocks(train, features), registry(data.count())[name]]).fit(data)
     took = time.time() - began
     data.unpersist()
     return model, took
 
 
+def blocks(rows: DataFrame, features: list[str], size: int = 2000, min_df: int = 3) -> list:
+    """Stages that put numeric columns and the TF-IDF of term columns side by side."""
+    terms = [f for f in features if rows.schema[f].dataType.typeName() == "array"]
+    stages: list = []
+    for f in terms:
+        stages += [CountVectorizer(inputCol=f, outputCol=f"_tf_{f}", vocabSize=size, minDF=min_df), IDF(inputCol=f"_tf_{f}", outputCol=f"_idf_{f}"), Normalizer(inputCol=f"_idf_{f}", outputCol=f"_w_{f}")]
+    columns = [f"_w_{f}" if f in terms else f for f in features]
+    return [*stages, VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")]
+
+
+def save(model: PipelineModel, path: str, meta: dict) -> None:
+    """The fitted pipeline (scaling and vocabularies included) and its description."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load(path: str) -> tuple[PipelineModel, dict]:
+    return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.active().read.text(f"{path}/meta").first()[0])
+
+
+def best_experiment(train: DataFrame, val: DataFrame, models: list[str], sets: dict[str, list[str]]) -> list[dict]:
+    """Every model on every feature set, with F1 on ``val`` and timings, best first
+    (then by name)."""
+    out = []
+    n_val = val.count()
+    for name in models:
+        for block, features in sets.items():
+            model, took = fit(train, name, features)
+            began = time.time()
+            got = evaluate(predict(model, val).withColumn("_all", F.lit(1)), ["_all"], name).first()
+            out.append({"model": name, "features": block, "f1": float(got["f1"] or 0.0), "train_time_s": took, "infer_time_per_sample": (time.time() - began) / max(1, n_val), "fitted": model})
+    return sorted(out, key=lambda r: (-r["f1"], r["model"], r["features"]))
+
+
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Adds ``score`` in [0, 1]: the probability, or the margin's logistic."""
     out = model.transform(rows)
@@ -122,5 +171,3 @@ def linear_attribution(rows: DataFrame, features: list[str], coefficients: list[
     r = rows.join(F.broadcast(m)).agg(*(F.avg(F.abs(F.lit(float(w)) * (F.col(f) - F.col(f"_m_{f}")))).alias(f) for f, w in zip(features, coefficients)))
     return r.select(F.expr(f"stack({len(features)}, " + ", ".join(f"'{f}', `{f}`" for f in features) + ") as (feature, mean_abs)"))
 
-
-__all__ = ["CountVectorizer", "assemble", "balanced_weights", "char_grams", "evaluate", "fit", "impute", "linear_attribution", "predict", "project", "registry", "scale", "tfidf_long", "vocabulary", "word_grams"]
