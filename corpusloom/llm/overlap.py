@@ -48,13 +48,13 @@ from corpusloom.session import cut, discard, spread, table
 THRESHOLD = 0.8
 #: Least fraction of the longer text's words in shared chunks for a candidate.
 SHARE = 0.15
-#: A cut after about every sixth word; the window of the rolling hash is one word.
-MEAN_CHUNK = 6
+#: A cut after about every seventh word; the window of the rolling hash is one word.
+MEAN_CHUNK = 7
 LONGEST_CHUNK = 16
 #: Longest text (in words) that is met under pairs of words.
-SHORT = 40
+SHORT = 48
 #: Shortest text that is met under chunks; shorter ones have no partner over SHORT.
-LEAST = 33
+LEAST = 39
 #: Columns of a sketch of 256 bits of a text's words.
 SKETCH = ["s0", "s1", "s2", "s3"]
 #: Pairs that one chunk may propose before it is replaced by pairs of chunks.
@@ -248,9 +248,11 @@ def candidate_pairs(keys: tuple[DataFrame, DataFrame], cls: DataFrame, share: fl
     differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in SKETCH), F.lit(0))
     met = one(keys[0], "a").join(one(keys[1], "b"), ["k1", "k2"])
     pairs = met.where((F.least("na", "nb") >= need) & (differ <= F.col("na") + F.col("nb") - 2 * need)).select("a", "b", "na", "nb").distinct()
-    # The whole overlap of the pair; digests of one text differ from each other.
-    part = lambda cond, i: cls.where(cond).where("c is not null").select(F.col("id").alias(i), F.col("c").alias(f"c{i}"))
-    shared = F.aggregate(F.array_intersect("ca", "cb"), F.lit(0), lambda x, c: x + c.bitwiseAND(F.lit(255)).cast("int"))
+    # The whole overlap of the pair, from short forms of the chunks (23 bits of the
+    # digest and the size): a chance agreement only lets a pair through to the check.
+    brief = F.transform("c", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    part = lambda cond, i: cls.where(cond).where("c is not null").select(F.col("id").alias(i), brief.alias(f"c{i}"))
+    shared = F.aggregate(F.array_intersect("ca", "cb"), F.lit(0), lambda x, c: x + c.bitwiseAND(F.lit(255)))
     return pairs.join(part("train", "a"), "a").join(part("not train", "b"), "b").where(shared >= F.lit(share) * F.greatest("na", "nb") - 1e-9).select("a", "b")
 
 
