@@ -21,6 +21,7 @@ their own.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -276,14 +277,20 @@ def with_names(records: DataFrame, gaz: Gazetteer) -> DataFrame:
     return rows.join(names, "row", "left").drop("row")
 
 
+_TOKEN, _OWN, _AGAIN = re.compile(r"\w+|[^\w\s]|\n"), re.compile(r"\w+"), re.compile(r"(.)\1+", re.S)
+
+
+def _form(value: str) -> str:
+    return _AGAIN.sub(r"\1", "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in value))
+
+
 def features(text: str, a: int, b: int) -> list[int]:
     """Hashed: shape, first and last word of the span, words around it, place."""
     value = text[a:b]
-    form = regex.sub(r"(.)\1+", r"\1", regex.sub(r"\p{Ll}", "a", regex.sub(r"\p{Lu}", "A", regex.sub(r"\d", "9", value[:60]))))
-    left = regex.findall(r"\w+|[^\w\s]|\n", text[max(0, a - 60) : a].lower())[-3:]
-    right = regex.findall(r"\w+|[^\w\s]|\n", text[b : b + 60].lower())[:2]
-    own = regex.findall(r"\w+", regex.sub(r"\d", "9", value[:200].lower()))
-    got = ["s" + form, "f" + (own[0] if own else ""), "e" + (own[-1] if own else ""), "n" + str(min(len(own), 8)), "2" + " ".join(left[-2:])]
+    left = _TOKEN.findall(text[max(0, a - 40) : a].lower())[-3:]
+    right = _TOKEN.findall(text[b : b + 40].lower())[:2]
+    own = ["9" if x[0].isdigit() else x for x in _OWN.findall(value[:200].lower())] or [""]
+    got = ["s" + _form(value[:60]), "f" + own[0], "e" + own[-1], f"n{min(len(own), 8)}", "2" + " ".join(left[-2:])]
     got += [f"l{i}{w}" for i, w in enumerate(reversed(left))] + [f"r{i}{w}" for i, w in enumerate(right)]
     got.append("b" + ("^" if a == 0 or text[a - 1] == "\n" else "") + ("$" if b == len(text) or text[b] == "\n" else ""))
     return sorted({xxhash.xxh32_intdigest(g) % HASHED for g in got})
