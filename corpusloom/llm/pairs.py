@@ -1,10 +1,10 @@
 """Problem 5: broken prompt and response pairs.
 
-Responses are sorted by text and compared with their successor, which finds
-shortened versions of other responses; length-limit spikes and the look-up of
-each response's last phrase (:mod:`corpusloom.llm.endings`) find those whose
-longer version is not there; then copy, refusal and language rules apply. A pair
-has one defect, the first of empty, copies_prompt, refusal, wrong_language,
+Responses and their sentences are sorted by text and compared with their successor,
+which finds shortened versions of other responses; length-limit spikes and the counts
+of each response's last phrase (:mod:`corpusloom.llm.endings`) find those whose longer
+version is not there; copy, refusal and language rules apply to the whole response. A
+pair has one defect, the first of empty, copies_prompt, refusal, wrong_language,
 truncated.
 
 Defined results: a null or blank response, or one that is only a placeholder, is

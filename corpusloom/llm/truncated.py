@@ -1,10 +1,10 @@
 """Problem 10: texts cut off by field limits.
 
-Values are sorted and compared with their successor: a strict prefix of a longer
-copy elsewhere is cut off. Most cut texts have no whole copy, so the same prefix
-join is repeated on their last phrase (see :mod:`corpusloom.llm.endings`): where
-its copies elsewhere go on, it was cut. Lengths that a source has far too often
-mark its field limit.
+Values (texts and their sentences, masked) are sorted and compared with their
+successor: an unfinished one that is a strict prefix of a longer value elsewhere is
+cut off. Where no longer copy exists, counts of the last phrase decide, and lengths
+that a source has far too often mark its field limit (see
+:mod:`corpusloom.llm.endings`, which also says how each step is weighed).
 
 Defined results: null, empty and blank texts are no case; a null source is a
 source of its own; copies of a text count as one text and are judged alike.
