@@ -30,7 +30,7 @@ from corpusloom.session import cut
 
 TOKEN = regex.compile(r"\n+|\[URL\]|(?:[$€£]|US\$)?\d[\d.,:]*\d%?|(?:[$€£]|US\$)?\d%?|[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*|[^\s\p{L}\p{M}\p{N}]")
 #: The same for ASCII texts, by the faster engine.
-_ASCII = re.compile(r"\n+|\[URL\]|(?:\$|US\$)?[0-9][0-9.,:]*[0-9]%?|(?:\$|US\$)?[0-9]%?|[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*|[^\sA-Za-z0-9]")
+_ASCII = re.compile(r"\n+|\[URL\]|(?:\$|US\$)?[0-9][0-9.,:]*[0-9]%?|(?:\$|US\$)?[0-9]%?|[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*|[^ \t-\rA-Za-z0-9]")
 TERMINAL = frozenset(".!?。！？")
 CLOSERS = "\"'”’»)]*_"
 #: Key levels from the least to the most specific: the last word; two words and
