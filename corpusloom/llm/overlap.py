@@ -18,9 +18,10 @@ Scale and skew:
 * In a short text few edits can leave no chunk whole. Texts of at most
   :data:`SHORT` words are therefore met under pairs of their rarest words: two
   texts with 80 % of their words in common share two of the first
-  ``n - ceil(0.8 n) + 2`` (prefix filtering, exact for the threshold).
-* A sketch of the words travels with the keys of the longer texts and drops pairs
-  that cannot have 80 % in common before any pair is moved.
+  ``n - ceil(0.8 n) + 2`` (prefix filtering, exact for the threshold). A frequent
+  pair is replaced by its triples, as the third shared word is one place later at most.
+* A sketch of the words travels with all keys and drops pairs that cannot have 80 %
+  in common before any pair is moved.
 * Hot keys (a digest or a text that many rows hold) are few by arithmetic and are
   joined by broadcast; members of large classes are expanded in blocks.
 * Lengths must be within 80 % of each other, which is part of the join.
@@ -39,6 +40,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,12 @@ HOT_PAIRS = 2_000
 WIDE = 5_000
 #: Places of the table of word frequencies; words that share one count together.
 PLACES = 1 << 18
+#: Short texts on which the pairs of words are counted, and the least sightings of a
+#: pair among them for it to be replaced by triples.
+SAMPLE = 200_000
+SEEN = 16
+#: Odd factor that spreads the digest of a pair before the third word is added.
+MIX = 0x9E3779B97F4A7C15
 #: Members of a class that are expanded in one block.
 BLOCK = 10_000
 
@@ -266,48 +274,85 @@ def word_places(cls: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out
 
 
-def word_offers(cls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, n, k) of the train and of the evaluation side: pairs of the rarest words of short texts, as one number.
+def word_keys(n: int, v: np.ndarray, freq: np.ndarray, hot: frozenset[int]) -> list[int]:
+    """Keys of a short text with the word digests ``v``: pairs of its rarest words; a
+    pair that is ``hot`` is replaced by its triples.
+
+    Any order of the words that is the same for all texts keeps the filter exact: the
+    first two words that two near-same texts share are among the first spare + 2 of
+    either, the third is among the first spare + 3. Words of a place seen on one side
+    only cannot be shared. A text of one word has that word as its key; one of two has
+    no third word, as have all that it may meet."""
+    f = freq[v & (PLACES - 1)]
+    spare = int(n * (1 - THRESHOLD) + 1e-9) - int((f == 0).sum())  # words that a near-same text may lack
+    if spare < 0:
+        return []
+    v, f = v[f > 0], f[f > 0]
+    first = v[np.lexsort((v, f))][: spare + 3].tolist()
+    if n == 1:
+        first = first * 2
+    out = []
+    for j, x in enumerate(first[: spare + 2]):
+        for m in range(j + 1, min(len(first), spare + 2)):
+            k = (x << 32) ^ (first[m] & 0xFFFFFFFF)
+            if k not in hot or n < 3:
+                out.append(k)
+            else:  # digests that agree by chance only let more pairs be compared
+                out += [((k * MIX + z) & ((1 << 64) - 1)) - (1 << 63) for z in first[m + 1 :]]
+    return out
 
-    Any order of the words that is the same for all texts keeps the filter exact;
-    words of a place seen on one side only cannot be shared. A text of one word has
-    that word as its key."""
-    t, e = word_places(cls)
-    table_ = cls.sparkSession.sparkContext.broadcast(np.where((t > 0) & (e > 0), t + e, 0))
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        freq = table_.value
-        for pdf in batches:
-            rows = []
-            for i, n, v in zip(pdf["id"], pdf["n"], pdf["v"]):
-                v = np.asarray(v, np.int64)
-                f = freq[v & (PLACES - 1)]
-                spare = int(n * (1 - THRESHOLD) + 1e-9)  # words that a near-same text may lack
-                gone = int((f == 0).sum())
-                if gone > spare:
-                    continue
-                v, f = v[f > 0], f[f > 0]
-                v = v[np.lexsort((v, f))][: spare - gone + 2].tolist()  # the first two shared words are here
-                if n == 1:
-                    v = v * 2
-                rows += [(i, n, (x << 32) ^ (y & 0xFFFFFFFF)) for j, x in enumerate(v) for y in v[j + 1 :]]
-                if len(rows) > 20_000:  # a batch of texts has many keys
-                    yield pd.DataFrame(rows, columns=["id", "n", "k"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["id", "n", "k"])
+def word_offers(cls: DataFrame, hot_pairs: int = HOT_PAIRS, sample: int = SAMPLE, least: int = SEEN) -> tuple[DataFrame, DataFrame]:
+    """(id, n, k, s) of the train and of the evaluation side: the keys of short texts
+    (:func:`word_keys`) and a sketch of their words in one number.
 
-    one = lambda cond: cls.where(cond).where("v is not null").select("id", "n", "v").mapInPandas(go, "id bigint, n int, k bigint")
-    return one("train"), one("not train")
+    Which pairs are hot is counted on a sample of the texts: a pair that it overlooks
+    costs time, not results. ``least`` sightings in the sample bound their number."""
+    t, e = word_places(cls)
+    sc = cls.sparkSession.sparkContext
+    table_ = sc.broadcast(np.where((t > 0) & (e > 0), t + e, 0))
+    short = cls.where("v is not null")
+
+    def keys(texts: DataFrame, hot: Broadcast) -> DataFrame:
+        def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            freq, found = table_.value, frozenset(hot.value.tolist())
+            for pdf in batches:
+                rows = []
+                for i, tr, n, v in zip(pdf["id"], pdf["train"], pdf["n"], pdf["v"]):
+                    v = np.asarray(v, np.int64)
+                    s = int(np.bitwise_or.reduce(np.int64(1) << (v >> 20 & 63)))
+                    rows += [(i, tr, n, k, s) for k in word_keys(n, v, freq, found)]
+                    if len(rows) > 20_000:  # a batch of texts has many keys
+                        yield pd.DataFrame(rows, columns=["id", "train", "n", "k", "s"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["id", "train", "n", "k", "s"])
+
+        return texts.select("id", "train", "n", "v").mapInPandas(go, "id bigint, train boolean, n int, k bigint, s bigint")
+
+    every = max(1, short.count() // sample)
+    some = keys(short.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), sc.broadcast(np.zeros(0, np.int64)))
+    seen = some.groupBy("k").agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e"))
+    seen = seen.where((F.col("t") * F.col("e") * F.lit(every * every) > hot_pairs) & (F.col("t") + F.col("e") >= least))
+    hot = sc.broadcast(seen.select("k").toPandas()["k"].to_numpy(np.int64))
+    return keys(short.where("train"), hot), keys(short.where("not train"), hot)
+
+
+def word_candidates(keys: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Distinct (a, b, need) that meet under a key and by their sketches may share the
+    ``need`` words that are 80 % of the longer one."""
+    one = lambda side_, i: side_.select("k", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("s").alias(f"s{i}"))
+    need = F.ceil(F.lit(THRESHOLD) * F.greatest("na", "nb") - 1e-9)
+    # Bits that differ are words of one text only, as in candidate_pairs.
+    differ = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
+    met = one(keys[0], "a").join(one(keys[1], "b"), "k")
+    return met.where((F.least("na", "nb") >= need) & (differ <= F.col("na") + F.col("nb") - 2 * need)).select("a", "b", need.alias("need")).distinct()
 
 
 def word_pairs(keys: tuple[DataFrame, DataFrame], cls: DataFrame) -> DataFrame:
-    """Distinct (a, b) that meet under a pair of words and hold 80 % of the longer
-    one's words in the other."""
-    one = lambda side_, i: side_.select("k", F.col("id").alias(i), F.col("n").alias(f"n{i}"))
-    need = F.ceil(F.lit(THRESHOLD) * F.greatest("na", "nb") - 1e-9)
-    met = one(keys[0], "a").join(one(keys[1], "b"), "k").where(F.least("na", "nb") >= need).select("a", "b", need.alias("need")).distinct()
+    """Distinct (a, b) that meet under a key and hold 80 % of the longer one's words
+    in the other."""
     w = lambda cond, i: cls.where(cond).where("v is not null").select(F.col("id").alias(i), F.col("v").alias(f"v{i}"))
-    return met.join(w("train", "a"), "a").join(w("not train", "b"), "b").where(F.size(F.array_intersect("va", "vb")) >= F.col("need")).select("a", "b")
+    return word_candidates(keys).join(w("train", "a"), "a").join(w("not train", "b"), "b").where(F.size(F.array_intersect("va", "vb")) >= F.col("need")).select("a", "b")
 
 
 def overlaps(records: DataFrame, key: str, share: float = SHARE, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame, DataFrame]:

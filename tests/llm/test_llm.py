@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -453,3 +454,23 @@ def test_leaks_anchors():
 def test_tokens_of_ascii_and_other_texts_agree():
     text = "Pay US$12.50, $3 or 45% by 10:30!\n\nIt's state-of-the-art [URL] (x1 2a) \x1c \t end."
     assert endings.tokens(text) == endings.TOKEN.findall(text)
+
+
+def test_short_texts_propose_few_pairs(spark):
+    """300 train and 300 evaluation texts over one vocabulary: most of the 90,000 pairs
+    meet under a pair of words, few are moved, and triples of words lose none."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [rng.choices(vocabulary, k=rng.randint(1, 40)) for _ in range(500)]
+    for t in texts[:100]:  # near copies
+        t = [w for w in t if rng.random() > 0.08] or t
+        texts.append([rng.choice(vocabulary) if rng.random() < 0.08 else w for w in t])
+    side = [rng.random() < 0.5 for _ in texts]
+    df = spark.createDataFrame([(i, "train" if s else "val", " ".join(t)) for i, (t, s) in enumerate(zip(texts, side))], "key long, split string, text string")
+    cls = overlap.prepare(df, "key").withColumnRenamed("key", "id").cache()
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if side[i] and not side[j] and overlap.near_same(a, b)}
+    assert len(want) > 20
+    for hot in ({}, {"hot_pairs": 0, "least": 1}, {"sample": 100, "least": 2}):
+        keys = overlap.word_offers(cls, **hot)
+        assert overlap.word_candidates(keys).count() < 5_000
+        assert want <= {(r.a, r.b) for r in overlap.word_pairs(keys, cls).collect()}
