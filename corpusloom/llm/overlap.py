@@ -65,12 +65,12 @@ HOT_PAIRS = 2_000
 WIDE = 5_000
 #: Places of the table of word frequencies; words that share one count together.
 PLACES = 1 << 18
-#: Short texts on which the pairs of words are counted, and the least sightings of a
-#: pair among them for it to be replaced by triples.
-SAMPLE = 200_000
+#: Short texts on which the pairs of words are counted at least, and the least
+#: sightings of a pair among them for it to be replaced by triples.
+SAMPLE = 20_000
 SEEN = 16
 #: Odd factor that spreads the digest of a pair before the third word is added.
-MIX = 0x9E3779B97F4A7C15
+MIX = np.int64(-7046029254386353131)
 #: Members of a class that are expanded in one block.
 BLOCK = 10_000
 
@@ -101,25 +101,28 @@ def chunks(ws: list[str]) -> tuple[list[int], list[int]]:
     sizes: list[int] = []
     seen: dict[int, int] = {}
     start, n = 0, len(ws)
-    for i, w in enumerate(ws):
-        if word_hash(w) % MEAN_CHUNK == 0 or i - start + 1 == LONGEST_CHUNK or i + 1 == n:
-            d = xxhash.xxh64_intdigest(" ".join(ws[start : i + 1]))
+    for end in [i for i, h in enumerate(map(word_hash, ws), 1) if h % MEAN_CHUNK == 0 or i == n]:
+        while start < end:
+            stop = min(end, start + LONGEST_CHUNK)
+            d = xxhash.xxh64_intdigest(" ".join(ws[start:stop]))
             k = seen[d] = seen.get(d, 0) + 1
             if k > 1:
                 d = xxhash.xxh64_intdigest(f"{d}/{k}")
             ds.append(d - (1 << 63))
-            sizes.append(i + 1 - start)
-            start = i + 1
+            sizes.append(stop - start)
+            start = stop
     return ds, sizes
 
 
 def word_digests(ws: list[str]) -> list[int]:
     """A digest a word; repeats are kept apart by their ordinal."""
-    out: list[int] = []
-    seen: dict[str, int] = {}
-    for w in ws:
-        k = seen[w] = seen.get(w, 0) + 1
-        out.append((word_hash(w) if k == 1 else xxhash.xxh32_intdigest(f"{w}/{k}")) - (1 << 31))
+    out = [h - (1 << 31) for h in map(word_hash, ws)]
+    if len(set(ws)) < len(ws):
+        seen: dict[str, int] = {}
+        for i, w in enumerate(ws):
+            k = seen[w] = seen.get(w, 0) + 1
+            if k > 1:
+                out[i] = xxhash.xxh32_intdigest(f"{w}/{k}") - (1 << 31)
     return out
 
 
@@ -274,9 +277,14 @@ def word_places(cls: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out
 
 
-def word_keys(n: int, v: np.ndarray, freq: np.ndarray, hot: frozenset[int]) -> list[int]:
+@lru_cache(maxsize=64)
+def _pairs(m: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(m, 1)
+
+
+def word_keys(n: int, v: np.ndarray, freq: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Keys of a short text with the word digests ``v``: pairs of its rarest words; a
-    pair that is ``hot`` is replaced by its triples.
+    pair that is in ``hot`` (sorted) is replaced by its triples.
 
     Any order of the words that is the same for all texts keeps the filter exact: the
     first two words that two near-same texts share are among the first spare + 2 of
@@ -284,30 +292,33 @@ def word_keys(n: int, v: np.ndarray, freq: np.ndarray, hot: frozenset[int]) -> l
     only cannot be shared. A text of one word has that word as its key; one of two has
     no third word, as have all that it may meet."""
     f = freq[v & (PLACES - 1)]
-    spare = int(n * (1 - THRESHOLD) + 1e-9) - int((f == 0).sum())  # words that a near-same text may lack
+    there = f > 0
+    spare = int(n * (1 - THRESHOLD) + 1e-9) - (len(f) - int(there.sum()))  # words that a near-same text may lack
     if spare < 0:
-        return []
-    v, f = v[f > 0], f[f > 0]
-    first = v[np.lexsort((v, f))][: spare + 3].tolist()
+        return v[:0]
+    v, f = v[there], f[there]
+    first = v[np.lexsort((v, f))][: spare + 3]
     if n == 1:
-        first = first * 2
-    out = []
-    for j, x in enumerate(first[: spare + 2]):
-        for m in range(j + 1, min(len(first), spare + 2)):
-            k = (x << 32) ^ (first[m] & 0xFFFFFFFF)
-            if k not in hot or n < 3:
-                out.append(k)
-            else:  # digests that agree by chance only let more pairs be compared
-                out += [((k * MIX + z) & ((1 << 64) - 1)) - (1 << 63) for z in first[m + 1 :]]
-    return out
+        first = np.repeat(first, 2)
+    x, y = _pairs(min(len(first), spare + 2))
+    out = (first[x] << 32) ^ (first[y] & 0xFFFFFFFF)
+    if n < 3 or not len(hot):
+        return out
+    at = np.minimum(np.searchsorted(hot, out), len(hot) - 1)
+    is_hot = hot[at] == out
+    if not is_hot.any():
+        return out
+    # Digests that agree by chance only let more pairs be compared.
+    return np.concatenate([out[~is_hot], *(out[i : i + 1] * MIX + first[y[i] + 1 :] for i in np.flatnonzero(is_hot))])
 
 
 def word_offers(cls: DataFrame, hot_pairs: int = HOT_PAIRS, sample: int = SAMPLE, least: int = SEEN) -> tuple[DataFrame, DataFrame]:
     """(id, n, k, s) of the train and of the evaluation side: the keys of short texts
     (:func:`word_keys`) and a sketch of their words in one number.
 
-    Which pairs are hot is counted on a sample of the texts: a pair that it overlooks
-    costs time, not results. ``least`` sightings in the sample bound their number."""
+    Which pairs are hot is counted on a part of the texts, an eighth of a table with
+    more than eight times ``sample``: a pair that it overlooks costs time, not results.
+    ``least`` sightings in the part bound their number."""
     t, e = word_places(cls)
     sc = cls.sparkSession.sparkContext
     table_ = sc.broadcast(np.where((t > 0) & (e > 0), t + e, 0))
@@ -315,25 +326,23 @@ def word_offers(cls: DataFrame, hot_pairs: int = HOT_PAIRS, sample: int = SAMPLE
 
     def keys(texts: DataFrame, hot: Broadcast) -> DataFrame:
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            freq, found = table_.value, frozenset(hot.value.tolist())
+            freq, found = table_.value, hot.value
             for pdf in batches:
-                rows = []
-                for i, tr, n, v in zip(pdf["id"], pdf["train"], pdf["n"], pdf["v"]):
-                    v = np.asarray(v, np.int64)
-                    s = int(np.bitwise_or.reduce(np.int64(1) << (v >> 20 & 63)))
-                    rows += [(i, tr, n, k, s) for k in word_keys(n, v, freq, found)]
-                    if len(rows) > 20_000:  # a batch of texts has many keys
-                        yield pd.DataFrame(rows, columns=["id", "train", "n", "k", "s"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["id", "train", "n", "k", "s"])
+                for at in range(0, len(pdf), 1000):  # a batch of texts has many keys
+                    part = pdf.iloc[at : at + 1000]
+                    vs = [np.asarray(v, np.int64) for v in part["v"]]
+                    ks = [word_keys(n, v, freq, found) for n, v in zip(part["n"], vs)]
+                    s = [np.bitwise_or.reduce(np.int64(1) << (v >> 20 & 63)) for v in vs]
+                    many = [len(k) for k in ks]
+                    yield pd.DataFrame({c: np.repeat(part[c].to_numpy(), many) for c in ("id", "train", "n")} | {"k": np.concatenate(ks), "s": np.repeat(s, many)})
 
         return texts.select("id", "train", "n", "v").mapInPandas(go, "id bigint, train boolean, n int, k bigint, s bigint")
 
-    every = max(1, short.count() // sample)
+    every = min(8, max(1, short.count() // sample))
     some = keys(short.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), sc.broadcast(np.zeros(0, np.int64)))
     seen = some.groupBy("k").agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e"))
     seen = seen.where((F.col("t") * F.col("e") * F.lit(every * every) > hot_pairs) & (F.col("t") + F.col("e") >= least))
-    hot = sc.broadcast(seen.select("k").toPandas()["k"].to_numpy(np.int64))
+    hot = sc.broadcast(np.sort(seen.select("k").toPandas()["k"].to_numpy(np.int64)))
     return keys(short.where("train"), hot), keys(short.where("not train"), hot)
 
 
@@ -367,8 +376,9 @@ def overlaps(records: DataFrame, key: str, share: float = SHARE, hot_pairs: int
     cls = cut(cls)
     discard(prepared)
     member = cls.select("train", "id", F.col("id").alias("key")).unionByName(copies)
-    by_chunk = candidate_pairs(offers(cls, share, hot_pairs), cls, share)
-    by_word = word_pairs(word_offers(cls), cls)
+    # Written one after the other: the shuffle files of the first are gone by then.
+    by_chunk = cut(candidate_pairs(offers(cls, share, hot_pairs), cls, share))
+    by_word = cut(word_pairs(word_offers(cls), cls))
     pairs = cut(by_chunk.unionByName(by_word).distinct())
     text = records.select(F.col(key).cast("bigint").alias("id"), "text", side(F.col("split")).alias("train"))
     ta = text.where("train").select(F.col("id").alias("a"), F.col("text").alias("xa"))

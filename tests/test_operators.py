@@ -3,11 +3,13 @@
 import io
 import os
 import tarfile
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import session
 from corpusloom.operators import checks, joins, neardup, sampling, stats, windows
 from corpusloom.sources import readers, sinks
 
@@ -146,3 +148,17 @@ def test_nearest_by_ties(spark):
         want |= {(p, i, d, r + 1) for r, (d, _, i) in enumerate(near)}
     got = joins.nearest_by(probes, pool, ["g"], "p", "id", "s").collect()
     assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x for x in (files.apply(i).getName() for i in range(files.size())) if x.startswith("shuffle_")}
+
+    before = shuffles()
+    out = session.cut(spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").count())
+    end = time.time() + 10
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert len(out.collect()) == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
