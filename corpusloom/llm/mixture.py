@@ -8,10 +8,11 @@ source (by label) match their target share of all tokens; last, each source is
 shifted to its own target. So labels fix how much of a source is used, and the
 classifier which of its documents: those that look like what is lacking elsewhere.
 
-A posterior is kept as its two likeliest domains and a weight in eighths, which
-bounds the different ones by sources x domains^2 x 5 however many documents there
-are. Tokens are summed by these groups in one pass over the documents; the fit
-runs over the groups, and a document's rate is that of its group.
+Every document has a rate of its own, from its whole posterior. The documents are
+fitted in blocks by hash, about :data:`BLOCK` in each and all in one where they are
+fewer. Of a domain's target a block has the part that it has of the domain's tokens,
+so that blocks which meet their parts meet the whole, and the blocks run side by side
+in bounded memory. The shift of a source is found over all its documents.
 
 Defined results: null or empty texts have no tokens and are never used; documents
 of a source without a weight are not used; a domain without documents, or whose
@@ -41,9 +42,12 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Hashed words of the classifier; the model has domains x BUCKETS numbers.
 BUCKETS = 4096
-#: Steps of a posterior's weight.
-PARTS = 8
+#: Documents that are fitted together, about.
+BLOCK = 50_000
 ITERATIONS = 300
+#: Shifts of each source that one pass over the rates tries, and the passes.
+TRIES = 64
+PASSES = 6
 #: Sightings that each word bucket has beforehand in each domain.
 SMOOTHING = 0.05
 #: Weights of the evidence that calibration chooses from.
@@ -124,55 +128,101 @@ def calibrate(counted: DataFrame, domains: list[str]) -> float:
     return min(got, key=lambda t: (got[t][0], t)) if got else TEMPERS[0]
 
 
-def group_of(p: np.ndarray) -> int:
-    """The posterior's two likeliest domains and the weight of the first, as a number."""
-    first, second = (int(x) for x in np.argsort(-p, kind="stable")[:2]) if len(p) > 1 else (0, 0)
-    both = p[first] + (p[second] if len(p) > 1 else 0.0)
-    return (first * len(p) + second) * (PARTS + 1) + int(round(PARTS * p[first] / both))
-
-
-def soft(group: np.ndarray, n: int) -> np.ndarray:
-    """Memberships (one row a group) that the numbers stand for."""
-    w, pair = group % (PARTS + 1) / PARTS, group // (PARTS + 1)
-    out = np.zeros((len(group), n))
-    np.add.at(out, (np.arange(len(group)), pair // n), w)
-    np.add.at(out, (np.arange(len(group)), pair % n), 1 - w)
-    return out
-
-
 def memberships(counted: DataFrame, logp: np.ndarray, temper: float) -> DataFrame:
-    """doc_id, source, n_tokens, grp."""
+    """doc_id, source, n_tokens, p: the document's posterior."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [group_of(posterior(logp, np.asarray(w, np.int64), temper)) for w in pdf["words"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": pdf["n_tokens"], "grp": np.array(got, np.int64)})
+            p = [posterior(logp, np.asarray(w, np.int64), temper).astype(np.float32) for w in pdf["words"]]
+            yield pdf[["doc_id", "source", "n_tokens"]].assign(p=p)
 
-    return counted.mapInPandas(go, "doc_id bigint, source string, n_tokens bigint, grp bigint")
+    return counted.mapInPandas(go, "doc_id bigint, source string, n_tokens bigint, p array<float>")
 
 
-def fit(tokens: np.ndarray, p: np.ndarray, source: np.ndarray, caps: np.ndarray, targets: np.ndarray, iterations: int) -> np.ndarray:
-    """Rates of the groups: projected gradient on domain totals by posterior and by
-    label, each step scaled by the domain's mass; then each source on its target."""
-    n = len(targets)
-    cap = caps[source]
+def masses(member: DataFrame, place: dict[str, int], classify: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each domain by posterior and by label, of the documents of its sources."""
+    n = len(place)
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        soft = np.zeros(n)
+        for pdf in batches:
+            soft += pdf["n_tokens"].to_numpy(float) @ np.stack(pdf["p"].to_numpy()).astype(float)
+        yield pd.DataFrame({"domain": np.arange(n), "n": soft})
+
+    own = member.where(F.col("source").isin(list(place)))
+    hard = np.zeros(n)
+    for r in own.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect():
+        hard[place[r.source]] = r.n
+    if not classify:
+        return hard, hard
+    soft = np.zeros(n)
+    for r in own.mapInPandas(go, "domain int, n double").groupBy("domain").agg(F.sum("n").alias("n")).collect():
+        soft[r.domain] = round(r.n)  # whole tokens: the same for any order of the sum
+    return soft, hard
+
+
+def fit(tokens: np.ndarray, p: np.ndarray, source: np.ndarray, caps: np.ndarray, targets: np.ndarray, soft_all: np.ndarray, hard_all: np.ndarray, iterations: int) -> np.ndarray:
+    """Rates of a block's documents: projected gradient on domain totals by posterior
+    and by label, each step scaled by the domain's mass. ``soft_all`` and ``hard_all``
+    are the masses of all blocks, by which a block has its part of the targets."""
+    n, cap = len(targets), caps[source]
     r = np.minimum(1.0, cap)
-    label = np.eye(n)[source]
-    soft_mass, hard_mass = np.maximum(tokens @ p, 1.0), np.maximum(tokens @ label, 1.0)
+    soft, hard = tokens @ p, np.bincount(source, tokens, n)
+    want, want_label = targets * soft / np.maximum(soft_all, 1.0), targets * hard / np.maximum(hard_all, 1.0)
+    soft_mass, hard_mass = np.maximum(soft, 1.0), np.maximum(hard, 1.0)
     for _ in range(iterations):
         used = tokens * r
-        step = p @ ((used @ p - targets) / soft_mass) + label @ ((used @ label - targets) / hard_mass)
+        step = p @ ((used @ p - want) / soft_mass) + ((np.bincount(source, used, n) - want_label) / hard_mass)[source]
         r = np.clip(r - 0.5 * step, 0.0, cap)
-    for d in range(n):
-        own = source == d
-        low, high = -float(caps[d]) - 1, float(caps[d]) + 1
-        for _ in range(60):  # the shift at which the source has its target
-            mid = (low + high) / 2
-            low, high = (mid, high) if (tokens[own] * np.clip(r[own] + mid, 0, cap[own])).sum() < targets[d] else (low, mid)
-        r[own] = np.clip(r[own] + high, 0, cap[own])
     return r
 
 
+def rates(member: DataFrame, place: dict[str, int], caps: np.ndarray, targets: np.ndarray, iterations: int, classify: bool, block: int = BLOCK) -> DataFrame:
+    """doc_id, source, n_tokens, r: the fitted rate of each document, before the shift."""
+    soft_all, hard_all = masses(member, place, classify)
+    blocks = max(1, -(-member.count() // block))
+
+    def go(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", kind="stable", ignore_index=True)  # sums in one order
+        source = pdf["source"].map(place)
+        own = source.notna().to_numpy()
+        r = np.zeros(len(pdf))
+        if own.any():
+            at = source[own].to_numpy(int)
+            p = np.stack(pdf["p"][own].to_numpy()).astype(float) if classify else np.eye(len(place))[at]
+            r[own] = fit(pdf["n_tokens"][own].to_numpy(float), p, at, caps, targets, soft_all, hard_all, iterations)
+        return pdf[["doc_id", "source", "n_tokens"]].assign(r=r)
+
+    part = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(blocks)).alias("block")
+    return member.groupBy(part).applyInPandas(go, "doc_id bigint, source string, n_tokens bigint, r double")
+
+
+def shifts(fitted: DataFrame, place: dict[str, int], caps: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """The least shift of each source's rates at which it has its target, over all its
+    documents; a source that cannot have it is shifted to its repeats."""
+    n = len(place)
+    low, high = -caps - 1, caps + 1
+    own = fitted.where(F.col("source").isin(list(place)) & (F.col("n_tokens") > 0))
+    for _ in range(PASSES):
+        grid = low[:, None] + (high - low)[:, None] * np.arange(1, TRIES + 1) / TRIES
+
+        def go(batches: Iterator[pd.DataFrame], grid: np.ndarray = grid) -> Iterator[pd.DataFrame]:
+            out = np.zeros((n, TRIES))
+            for pdf in batches:
+                source, r, tokens = pdf["source"].map(place).to_numpy(int), pdf["r"].to_numpy(), pdf["n_tokens"].to_numpy(float)
+                for d in np.unique(source):
+                    at = source == d
+                    out[d] += tokens[at] @ np.clip(r[at][:, None] + grid[d], 0, caps[d])
+            yield pd.DataFrame({"domain": np.arange(n), "n": list(out)})
+
+        got = np.zeros((n, TRIES))
+        for x in own.mapInPandas(go, "domain int, n array<double>").collect():  # domains x TRIES numbers a task
+            got[x.domain] += x.n
+        first = np.where((got >= targets[:, None]).any(1), (got >= targets[:, None]).argmax(1), TRIES - 1)
+        low, high = np.where(first > 0, grid[np.arange(n), first - 1], low), grid[np.arange(n), first]
+    return high
+
+
 def mix(docs: DataFrame, weights: DataFrame, iterations: int = ITERATIONS, folder: str = TOKENIZERS, name: str = VOCABULARY, classify: bool = True) -> tuple[DataFrame, DataFrame]:
     """(mixture: doc_id, source, n_tokens, repeats; shares per source). ``classify``
     switches the classifier off (each document is its label), to see what it does."""
@@ -182,25 +232,24 @@ def mix(docs: DataFrame, weights: DataFrame, iterations: int = ITERATIONS, folde
     counted = cut(count_tokens(docs, folder, name))
     member = cut(memberships(counted, train(counted, domains), calibrate(counted, domains)))
     discard(counted)
-    groups = member.where(F.col("source").isin(domains)).groupBy("source", "grp").agg(F.sum("n_tokens").alias("n")).collect()
     total = member.agg(F.sum("n_tokens")).first()[0] or 0
-    rates: dict[tuple[str, int], float] = {}
-    if groups:
-        source = np.array([place[g.source] for g in groups])
-        p = soft(np.array([g.grp for g in groups]), len(w)) if classify else np.eye(len(w))[source]
-        r = fit(np.array([float(g.n) for g in groups]), p, source, caps, np.array([x.target_share for x in w]) * total, iterations)
-        rates = {(g.source, g.grp): x for g, x in zip(groups, r)}
+    targets = np.array([float(x.target_share) for x in w]) * total
+    fitted = cut(rates(member, place, caps, targets, iterations, classify))
+    discard(member)
+    shift = shifts(fitted, place, caps, targets)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            r = np.array([rates.get(x, 0.0) for x in zip(pdf["source"], pdf["grp"])])
+            at = pdf["source"].map(place)
+            own, at = at.notna().to_numpy(), at.fillna(0).to_numpy(int)
+            cap = np.where(own, caps[at], 0.0)
+            r = np.clip(pdf["r"].to_numpy() + shift[at], 0, cap)
             u = np.array([xxhash.xxh64_intdigest(f"{SEED}|{i}".encode()) / 2**64 for i in pdf["doc_id"]])
             whole = np.floor(r + 1e-9)
-            cap = np.array([caps[place[s]] if s in place else 0.0 for s in pdf["source"]])
             pdf["repeats"] = np.where(pdf["n_tokens"] > 0, np.minimum(whole + (u < r - whole), cap), 0).astype(int)
             yield pdf[["doc_id", "source", "n_tokens", "repeats"]]
 
-    mixture = member.mapInPandas(go, "doc_id bigint, source string, n_tokens bigint, repeats int")
+    mixture = fitted.mapInPandas(go, "doc_id bigint, source string, n_tokens bigint, repeats int")
     have = mixture.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixture_tokens"))
     share = weights.join(have, "source", "left").na.fill(0, ["available_tokens", "mixture_tokens"])
     all_ = have.agg(F.sum("mixture_tokens").alias("_all"))

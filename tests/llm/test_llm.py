@@ -5,6 +5,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -474,3 +475,29 @@ def test_short_texts_propose_few_pairs(spark):
         keys = overlap.word_offers(cls, **hot)
         assert overlap.word_candidates(keys).count() < 5_000
         assert want <= {(r.a, r.b) for r in overlap.word_pairs(keys, cls).collect()}
+
+
+def test_rates_use_whole_posteriors():
+    """The third domain's weight counts too: two documents alike in their two likeliest
+    domains get other rates."""
+    p = np.array([[0.5, 0.3, 0.2, 0.0], [0.5, 0.3, 0.0, 0.2]] * 20)
+    tokens, source = np.full(40, 100.0), np.zeros(40, int)
+    soft, hard = tokens @ p, np.bincount(source, tokens, 4)
+    r = mixture.fit(tokens, p, source, np.full(4, 3.0), np.array([2000.0, 1200.0, 600.0, 200.0]), soft, hard, 300)
+    assert r[0] > r[1] + 0.1 and np.allclose(r[::2], r[0])
+
+
+def test_mixture_blocks(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], f"{'money room cup'.split()[(i * 7) % 3]} word{i % 11} talk " * 10) for i in range(600)], "doc_id long, source string, text string")
+    counted = mixture.count_tokens(docs).cache()
+    place, caps = {"a": 0, "b": 1, "c": 2}, np.full(3, 2.0)
+    member = mixture.memberships(counted, mixture.train(counted, list(place)), 0.5).cache()
+    total = member.agg(F.sum("n_tokens")).first()[0]
+    targets = np.array([0.5, 0.3, 0.2]) * total
+    for block in (1000, 100):
+        fitted = mixture.rates(member, place, caps, targets, 300, True, block).cache()
+        shift = mixture.shifts(fitted, place, caps, targets)
+        got = [0.0] * 3
+        for x in fitted.collect():
+            got[place[x.source]] += x.n_tokens * min(2.0, max(0.0, x.r + shift[place[x.source]]))
+        assert np.allclose(got, targets, rtol=1e-6) and fitted.count() == 600
