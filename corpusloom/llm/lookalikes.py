@@ -167,7 +167,8 @@ def unify(records: DataFrame, keys: list[str], text: str, limit: float = LIMIT)
         for pdf in batches:
             found = [sorted({p for k, p in tf.pieces(t) if k == "run" and unusual(p)}) for t in pdf.iloc[:, -1]]
             out = pdf.iloc[:, :-1].assign(run=found).explode("run", ignore_index=True).dropna(subset=["run"])
-            yield out.assign(key=[skeleton(r) for r in out["run"]])
+            # Typed, as a batch may hold unusual characters but no unusual run.
+            yield out.assign(key=pd.Series([skeleton(r) for r in out["run"]], index=out.index, dtype=object))
 
     asked = cut(odd.mapInPandas(runs_of, ", ".join([*kinds, "run string", "key string"])))
     runs = asked.groupBy("run", "key").agg(F.count("*").alias("freq"))

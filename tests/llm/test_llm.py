@@ -47,6 +47,18 @@ def test_unify(spark):
     assert lookalikes.unify(df.where("row_key < 0"), ["src", "row_key"], "text").count() == 0
 
 
+def test_unify_batch_without_runs(spark):
+    """A batch may hold accents, quotes or emoji but no run that could change."""
+    rows = [("a", 1, "café"), ("a", 2, "“ok” 👍"), ("a", 3, "plain"), ("a", 4, None)]
+    df = spark.createDataFrame(rows, "src string, row_key long, text string").coalesce(1)
+    got = lookalikes.unify(df, ["src", "row_key"], "text").collect()
+    assert sorted((r["src"], r["row_key"], r["text"]) for r in got) == rows
+    assert not any(r["changed"] for r in got)
+    odd = spark.createDataFrame([("b", 1, "Cаll")], df.schema).coalesce(1)
+    both = {(r["src"], r["row_key"]): r["text"] for r in lookalikes.unify(df.unionByName(odd), ["src", "row_key"], "text").where("changed").collect()}
+    assert both == {("b", 1): "Call"}
+
+
 def garble(text, page, times=1):
     for _ in range(times):
         text = "".join(bytes([b]).decode(page, "ignore") or chr(b) for b in text.encode("utf-8"))
