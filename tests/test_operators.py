@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import session
-from corpusloom.operators import checks, joins, neardup, sampling, stats, windows
+from corpusloom.operators import checks, joins, ml, neardup, sampling, stats, windows
 from corpusloom.sources import readers, sinks
 
 
@@ -162,3 +162,32 @@ def test_cut_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not shuffles() - before
     assert len(out.collect()) == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_experiments_count_terms_once(spark, monkeypatch):
+    rows = [(i % 2, float(i % 5), [f"w{i % 7}", f"w{(i + i % 2) % 3}", "x"][: i % 4]) for i in range(240)]
+    df = spark.createDataFrame(rows, "label int, a double, words array<string>")
+    train, val = df.where("a < 3"), df.where("a >= 3")
+    models, sets = ["lr_l2_c1", "sgd_log"], {"a": ["a"], "words": ["words"], "both": ["a", "words"]}
+    alone = {}
+    for m in models:
+        for b, features in sets.items():
+            model, _ = ml.fit(train, m, features)
+            alone[m, b] = float(ml.evaluate(ml.predict(model, val).withColumn("_all", F.lit(1)), ["_all"], m).first()["f1"] or 0.0)
+    fits, fit = [], ml.CountVectorizer._fit
+    monkeypatch.setattr(ml.CountVectorizer, "_fit", lambda self, rows: fits.append(1) or fit(self, rows))
+    done = ml.best_experiment(train, val, models, sets)
+    assert len(fits) == 1
+    assert {(d["model"], d["features"]): d["f1"] for d in done} == pytest.approx(alone) and len(set(alone.values())) > 1
+    assert [d["f1"] for d in done] == sorted(alone.values(), reverse=True)
+    assert ml.predict(done[0]["fitted"], val).where("score is not null").count() == val.count()
+    again = ml.fit_terms(train, "lr_l2_c1", sets["both"])
+    want = next(d for d in done if (d["model"], d["features"]) == ("lr_l2_c1", "both"))["fitted"]
+    a, b = ([r["score"] for r in ml.predict(m, val).orderBy("a", "words").collect()] for m in (again, want))
+    assert a == pytest.approx(b, abs=1e-6)
+
+
+def test_experiments_without_rows_of_val(spark):
+    df = spark.createDataFrame([(i % 2, float(i % 5)) for i in range(40)], "label int, a double")
+    done = ml.best_experiment(df, df.where("a < 0"), ["sgd_log"], {"a": ["a"]})
+    assert [d["f1"] for d in done] == [0.0]
